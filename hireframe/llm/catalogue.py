@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import bpe, packing, repetition, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_quality_rules": repetition.op2_quality_rules,
+        "op6_packing": packing.op6_packing,
+        "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
     }
 
 

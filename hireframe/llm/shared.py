@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +36,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Characters of text that an operator on blocks takes at once; a longer document makes a block of its own.
+BLOCK_CHARS = 2_000_000
+
+
+def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callable[[list[str]], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """df with a struct column ``into`` of the given schema, made from the column ``text`` block by block.
+
+    judge: takes whole texts (null as the empty text) and gives a list of columns in the order of schema.
+    All other columns pass through as Arrow data, untouched; a column that is already named ``into`` is
+    replaced.
+    """
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()])
+    struct = T._parse_datatype_string(schema)
+    types = [to_arrow_type(f.dataType) for f in struct.fields]
+    names = struct.fieldNames()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            start = 0
+            while start < len(texts):
+                end, held = start, 0
+                while end < len(texts) and (end == start or held + len(texts[end]) <= block_chars):
+                    held += len(texts[end])
+                    end += 1
+                made = [pa.array(c, t, from_pandas=True) for c, t in zip(judge(texts[start:end]), types, strict=True)]
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*part.schema.names, into])
+                start = end
+
+    return kept.mapInArrow(blocks, T.StructType([*kept.schema.fields, T.StructField(into, struct)]))

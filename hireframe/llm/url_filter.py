@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host is hot above this share of the asked keys; at most so many hosts can be.
 HOT_SHARES = 512
@@ -129,7 +131,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, QUERY_RULES))
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, QUERY_RULES))
 
 
 ORACLE = """
