@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, repetition, url_filter
+from . import bpe, packing, repetition, sharding, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality_rules": repetition.op2_quality_rules,
+        "op5_sharding": sharding.op5_sharding,
         "op6_packing": packing.op6_packing,
         "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
+        "op9_topk": topk.op9_topk,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_url_filter": url_filter.ORACLE,
+        "op9_topk": topk.ORACLE,
     }
