@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, repetition, sharding, topk, url_filter
+from . import bpe, html_text, packing, repetition, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality_rules": repetition.op2_quality_rules,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_sharding": sharding.op5_sharding,
         "op6_packing": packing.op6_packing,
+        "op7_main_text": html_text.op7_main_text,
         "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
         "op9_topk": topk.op9_topk,
     }
