@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, packing, repetition, sharding, topk, toxicity, url_filter
+from . import bpe, html_text, near_dup, packing, repetition, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality_rules": repetition.op2_quality_rules,
+        "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_sharding": sharding.op5_sharding,
         "op6_packing": packing.op6_packing,
