@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, html_text, near_dup, packing, repetition, sharding, topk, toxicity, url_filter
+from . import bpe, html_text, license_scan, near_dup, packing, repetition, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_main_text": html_text.op7_main_text,
         "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
         "op9_topk": topk.op9_topk,
+        "op10_license_scan": license_scan.op10_license_scan,
         "pipeline": corpus_pipeline.run,
     }
 
