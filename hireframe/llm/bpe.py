@@ -18,7 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -28,13 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import add_by_block, table
 
-#: Words kept with their ids, in each Python worker; at most so many bytes of words.
-CACHE_WORDS, CACHE_BYTES = 400_000, 40_000_000
+#: Words kept with their ids in each Python worker, and chunks between white space; long ones are not kept.
+CACHE_WORDS, CACHE_CHUNKS, CACHE_LENGTH = 1_000_000, 600_000, 64
 
 # Fixed values of the format: the white space of Unicode, and the split of the vocabulary file.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
+CONTROLS, SPACES = re.compile("[\x1c-\x1f]"), re.compile(f"[{SPACE}]+")
+#: Two tokens a, b are named by a * PAIR + b.
+PAIR = 1 << 24
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: An end-of-word unit is its byte's character moved up by this.
 END_SHIFT = 0x4000
 
@@ -66,8 +74,10 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_start = os.path.commonprefix(list(self.special)) if self.special else ""
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.bytes = byte_characters()
+        self.byte_table = dict(enumerate(self.bytes))
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (left, right) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
@@ -78,17 +88,19 @@ class WordBpe:
         self.automaton = ahocorasick.Automaton()
         for name, i in vocab.items():
             units = self._units(name)
-            if units is not None and (i in self.parts or len(units) == 1):
+            if i in self.parts or len(units) == 1:
                 self.size[i] = len(units)
-                self.automaton.add_word(units, i)
+                self.automaton.add_word(units, (i, len(units)))
         self.automaton.make_automaton()
         self.right_edge = lru_cache(100_000)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(100_000)(lambda t: self._edge(t, 0))
-        self.fits = lru_cache(500_000)(self._fits)
-        self.cache = _Cache(self)
+        self.fits = _Table(500_000, lambda pair: self._fits(*divmod(pair, PAIR)))
+        self.word_ids = _Table(CACHE_WORDS, self.encode_word)
+        self.chunk_ids = _Table(CACHE_CHUNKS, self._chunk_ids)
+        self.chunk_both = _Table(CACHE_CHUNKS, lambda chunk: self._with_names(self._chunk_ids(chunk)))
 
     @staticmethod
-    def _units(name: str) -> str | None:
+    def _units(name: str) -> str:
         if not name.endswith(WORD_END) or name == WORD_END:
             return name
         body = name[: -len(WORD_END)]
@@ -113,22 +125,21 @@ class WordBpe:
                     return False
         return True
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one split part, already normalised."""
-        raw = word.encode("utf-8", "surrogatepass")
-        units = "".join(map(self.bytes.__getitem__, raw))
+    def encode_word(self, word: str) -> bytes:
+        """Ids of one split part, already normalised, as little-endian unsigned 32-bit integers."""
+        # the printable ASCII characters stand for themselves
+        units = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_table)
         units = units[:-1] + chr(ord(units[-1]) + END_SHIFT)
-        last: list[int] = [-1] * len(units)
-        for end, token in self.automaton.iter(units):
-            if last[end] < 0:
-                before = end - self.size[token]
-                if before < 0 or (last[before] >= 0 and self.fits(last[before], token)):
-                    last[end] = token
+        last = [-1] * len(units)
+        fits = self.fits
+        for end, (token, size) in self.automaton.iter(units):
+            if last[end] < 0 and (size > end or (left := last[end - size]) >= 0 and fits[left * PAIR + token]):
+                last[end] = token
         ids, at = [], len(units) - 1
         while at >= 0:
             ids.append(last[at])
             at -= self.size[last[at]]
-        return ids[::-1]
+        return array("I", ids[::-1]).tobytes() if LITTLE else np.array(ids[::-1], "<u4").tobytes()
 
     def normalise(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -136,44 +147,64 @@ class WordBpe:
         # lower() alone makes a final sigma of a word's last capital sigma
         return text.replace("Σ", "σ").lower() if not text.isascii() else text.lower()
 
+    def parts_of(self, chunk: str) -> list[str]:
+        """The split parts of a text, normalised."""
+        text = self.normalise(chunk)
+        if text.isalpha():  # one run of letters
+            return [text]
+        if text[:-1].isalpha() and text[-1] in ",.;:!?":
+            return [text[:-1], text[-1]]
+        return self.words.findall(text)
+
+    def _chunk_ids(self, chunk: str) -> bytes:
+        return b"".join(map(self.word_ids.__getitem__, self.parts_of(chunk)))
+
+    def _with_names(self, ids: bytes) -> tuple[bytes, bytes]:
+        return ids, " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).encode()
+
+    def _found(self, text: str, table: dict) -> list:
+        """What ``table`` holds for the text's chunks between white space."""
+        self.word_ids.make_room()
+        table.make_room()
+        # str.split() also splits at four control characters that are no white space of Unicode
+        return list(map(table.__getitem__, text.split() if not CONTROLS.search(text) else filter(None, SPACES.split(text))))
+
+    def _pieces(self, text: str, table: dict, special) -> list:
+        if not self.special_split or self.special_start not in text:
+            return self._found(text, table)
+        out = []
+        for k, piece in enumerate(self.special_split.split(text)):
+            out += [special(self.special[piece])] if k % 2 else self._found(piece, table)
+        return out
+
+    def encode_ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(self._pieces(text, self.chunk_ids, lambda i: np.array([i], "<u4").tobytes()))
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        ids, names = [], []
-        pieces = self.special_split.split(text) if self.special_split and "<" in text else [text]
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                found = [self.cache.entry([self.special[piece]])]
-            elif len(words := self.words.findall(self.normalise(piece))) > CACHE_WORDS:
-                found = [self.cache.get(w) or self.cache.entry(self.encode_word(w)) for w in words]
-            else:
-                self.cache.make_room()
-                found = list(map(self.cache.__getitem__, words))
-            ids += [x[0] for x in found]
-            names += [x[1] for x in found]
-        return b"".join(ids), b" ".join(names)
-
-
-class _Cache(dict):
-    """word -> (ids, decoded ids); emptied when it is full."""
-
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.bpe, self.bytes = bpe, 0
+        """The ids as in encode_ids, and the decoded text in UTF-8."""
+        found = self._pieces(text, self.chunk_both, lambda i: self._with_names(np.array([i], "<u4").tobytes()))
+        return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+
 
-    def entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), " ".join(map(self.bpe.names.__getitem__, ids)).encode()
+class _Table(dict):
+    """Values made on demand and kept for short keys; emptied when it is full."""
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        made = self.entry(self.bpe.encode_word(word))
-        if len(word) < 200:
-            self[word] = made
-            self.bytes += len(word)
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make = most, make
+
+    def __missing__(self, key):
+        made = self.make(key)
+        if key.__class__ is int or len(key) <= CACHE_LENGTH:
+            if len(self) >= 2 * self.most:
+                self.clear()
+            self[key] = made
         return made
 
     def make_room(self) -> None:
-        if len(self) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+        if len(self) > self.most:
             self.clear()
-            self.bytes = 0
 
 
 _MADE: dict[str, WordBpe] = {}
