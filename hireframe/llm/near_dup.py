@@ -6,10 +6,11 @@
 2. Members of a bucket (equal band hash) are paired with the bucket's smallest id. A pair's signatures
    and set sizes must allow the wanted similarity; then its full sets are compared exactly.
 3. Connected components of the confirmed links, by alternating large-star and small-star.
-4. Buckets that still hold several components get the pairs that a star leaves out: every member outside
-   the bucket's largest component against the members of other components, where signatures and sizes
-   allow a link. These are confirmed and united with the rest, so no colliding pair of different components stays
-   unchecked.
+4. Buckets that still hold several components hold pairs that a star leaves out. Semi-joins find the members
+   that have a plausible partner (by signatures and sizes) of another component in their bucket; such
+   members of shared buckets form clusters. Within a cluster, blocks of the documents outside its largest
+   component are compared with blocks of all, on full sets, and only true links come out. So no plausible
+   pair of different components in any bucket stays unchecked, and no list of candidate pairs is made.
 
 Two texts at the least similarity 0.8 share a band except with probability 3e-6 (24 bands of 4 minima).
 
@@ -26,12 +27,13 @@ doc_id takes the component of its equal texts, or null; an empty table gives an
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import release, ship, table, written
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 24, 4
@@ -102,6 +104,7 @@ def signed_documents(docs: DataFrame, key: str, text: str, width: int) -> DataFr
                 b = np.array([mixed(s ^ WORD_FACTORS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 bands_list = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + 256], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(a), pa.array(b), bands_list, *(pa.array(sketch[:, k]) for k in range(N_WORDS))], ["doc_id", "n", "set_a", "set_b", "bands", *(f"s{k}" for k in range(N_WORDS))])
+            release()
 
     taken = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return taken.mapInArrow(sign, f"doc_id long, n long, set_a long, set_b long, bands array<long>, {SIGNED}")
@@ -121,26 +124,85 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of ids, those whose full shingle sets are similar enough."""
+def shingle_sets(ids: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, shingles) of the documents in ids."""
 
     def sets(batches):
         for batch in batches:
-            made = [shingle_set(t.as_py() or "", width).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                made = [shingle_set(t.as_py() or "", width).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
+            release()
 
-    pairs = written(pairs, "dup-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     taken = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     taken = taken.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    shingles = written(taken.mapInArrow(sets, "id long, shingles array<long>"), "dup-sets").dropDuplicates(["id"])
+    return written(taken.mapInArrow(sets, "id long, shingles array<long>"), "dup-sets").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of ids, those whose full shingle sets are similar enough."""
+    pairs = written(pairs, "dup-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    shingles = shingle_sets(ids, docs, key, text, width)
     both = pairs.join(prefixed(shingles, "a_"), F.col("a") == F.col("a_id")).join(prefixed(shingles, "b_"), F.col("b") == F.col("b_id"))
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     union = F.size("a_shingles") + F.size("b_shingles") - common
     return written(both.where(common * 100 >= union * percent).select("a", "b"), "dup-links")
 
 
+def block_links(some: pd.DataFrame, every: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between documents of some and of every, of one cluster and different components.
+
+    Both hold cluster, id, component, largest, shingles. Of two documents outside the largest component the
+    one with the smaller id asks.
+    """
+    out = []
+    if len(some) and len(every):
+        every = every.sort_values(["cluster", "id"], kind="stable", ignore_index=True)
+        sizes = every["shingles"].map(len).to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        tokens, place = np.unique(np.concatenate(every["shingles"].to_list()), return_inverse=True)
+        ids, clusters, parts = every["id"].to_numpy(), every["cluster"].to_numpy(), every["component"].to_numpy()
+        inside = parts == every["largest"].to_numpy()
+        seen = np.zeros(len(tokens), np.int32)
+        for row in some.itertuples(index=False):
+            lo, hi = np.searchsorted(clusters, row.cluster), np.searchsorted(clusters, row.cluster, "right")
+            if lo == hi:
+                continue
+            own = np.asarray(row.shingles)
+            at = np.searchsorted(tokens, own)
+            at = at[(at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == own)]
+            seen[at] = 1
+            common = np.add.reduceat(seen[place[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])
+            seen[at] = 0
+            linked = (100 * common >= percent * (len(own) + sizes[lo:hi] - common)) & (parts[lo:hi] != row.component) & (inside[lo:hi] | (ids[lo:hi] > row.id))
+            out += [(row.id, b) for b in ids[lo:hi][linked].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+#: Documents of a block in a comparison within a cluster.
+CLUSTER_BLOCK = 1024
+
+
+def links_in_clusters(clustered: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of different components within clusters; clustered: cluster, id, component, shingles."""
+    parts = clustered.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("m"), F.max_by("component", "n").alias("largest"))
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    rows = clustered.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("m") / CLUSTER_BLOCK).cast("int"))
+    # small clusters share groups
+    shared = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // CLUSTER_BLOCK)))
+    rows = rows.withColumn("bin", F.when(F.col("blocks") == 1, -1 - shared).otherwise(F.col("cluster")))
+    own, each = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = ["bin", "i", "j", "cluster", "id", "component", "largest", "shingles"]
+    some = rows.where("component <> largest").withColumn("i", own).withColumn("j", each).select(*held, F.lit(True).alias("asks"))
+    every = rows.withColumn("j", own).withColumn("i", each).select(*held, F.lit(False).alias("asks"))
+    grouped = some.unionByName(every).groupBy("bin", "i", "j")
+    return grouped.applyInPandas(lambda f: block_links(f[f["asks"]], f[~f["asks"]], percent), "a long, b long")
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that it reaches."""
 
@@ -170,6 +232,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id (long), n_shingles, component_id and kept."""
+    ship(docs.sparkSession)
     signed = written(signed_documents(docs, key, text, width), "dup-signed")
     names = ["n", "set_a", "set_b"]
     sketch = [f"s{k}" for k in range(N_WORDS)]
@@ -178,9 +241,9 @@ def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     reps = classes.where("id IS NOT NULL").select("id", "n", *sketch)
 
     # a band hash already tells its band, so equal hashes are one bucket
-    members = classes.where("id IS NOT NULL").select(F.explode("bands").alias("bucket"), "id")
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
-    shared = written(members.join(buckets, "bucket"), "dup-buckets")
+    banded = classes.where("id IS NOT NULL").select(F.explode("bands").alias("bucket"), "id")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
+    shared = written(banded.join(buckets, "bucket"), "dup-buckets")
     star = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(prefixed(reps, "a_"), F.col("a") == F.col("a_id")).join(prefixed(reps, "b_"), F.col("b") == F.col("b_id"))
     links = confirmed(star.where(plausible("a_", "b_", percent)).select("a", "b"), docs, key, text, width, percent)
@@ -190,9 +253,19 @@ def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     inside = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = inside.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("largest")).where("parts > 1")
     rest = written(labelled.where("id <> least").join(split.drop("parts"), "bucket").join(reps, "id"), "dup-rest")
-    few, all_ = prefixed(rest.where("component <> largest"), "a_"), prefixed(rest, "b_")
-    cross = few.join(all_, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_largest")) | (F.col("a_id") < F.col("b_id"))) & plausible("a_", "b_", percent))
-    more = confirmed(cross.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), docs, key, text, width, percent)
+    outside, largest = rest.where("component <> largest"), rest.where("component = largest")
+
+    def partnered(rows: DataFrame, others: DataFrame) -> DataFrame:
+        test = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_component") != F.col("b_component")) & plausible("a_", "b_", percent)
+        return prefixed(rows, "a_").join(prefixed(others, "b_"), test, "left_semi").select(F.col("a_bucket").alias("bucket"), F.col("a_id").alias("id"), F.col("a_component").alias("component"))
+
+    touched = written(partnered(outside, rest).unionByName(partnered(largest, outside)), "dup-touched")
+    heads = touched.groupBy("bucket").agg(F.min("id").alias("a"))
+    clusters = components(touched.join(heads, "bucket").select("a", F.col("id").alias("b")).distinct(), "dup-clusters")
+    members = clusters.select("id", F.col("component").alias("cluster")).join(touched.select("id", "component").distinct(), "id")
+    members = written(members, "dup-members")
+    shingles = shingle_sets(members.select("id"), docs, key, text, width)
+    more = written(links_in_clusters(members.join(shingles, "id"), percent), "dup-more")
     if not more.isEmpty():
         stars = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
         found = components(stars.unionByName(more))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..shipping import ship
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,8 +45,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-#: Characters of text that an operator on blocks takes at once; a longer document makes a block of its own.
-BLOCK_CHARS = 2_000_000
+#: Bytes of text that an operator on blocks takes at once; a longer document makes a block of its own.
+BLOCK_CHARS = 1_000_000
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, as it lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callable[[list[str]], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -49,6 +63,7 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
     All other columns pass through as Arrow data, untouched; a column that is already named ``into`` is
     replaced.
     """
+    ship(df.sparkSession)
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()])
     struct = T._parse_datatype_string(schema)
     types = [to_arrow_type(f.dataType) for f in struct.fields]
@@ -56,16 +71,19 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            column = batch.column(batch.schema.get_field_index(text))
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             start = 0
-            while start < len(texts):
+            while start < len(lengths):
                 end, held = start, 0
-                while end < len(texts) and (end == start or held + len(texts[end]) <= block_chars):
-                    held += len(texts[end])
+                while end < len(lengths) and (end == start or held + lengths[end] <= block_chars):
+                    held += lengths[end]
                     end += 1
-                made = [pa.array(c, t, from_pandas=True) for c, t in zip(judge(texts[start:end]), types, strict=True)]
+                texts = ["" if t is None else t for t in column.slice(start, end - start).to_pylist()]
+                made = [pa.array(c, t, from_pandas=True) for c, t in zip(judge(texts), types, strict=True)]
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*part.schema.names, into])
                 start = end
+            release()
 
     return kept.mapInArrow(blocks, T.StructType([*kept.schema.fields, T.StructField(into, struct)]))
