@@ -17,6 +17,8 @@ from hireframe.llm.toxicity import score_texts, trained_on
 
 #: Near-duplicates of the pipeline share 80 percent of their shingles of five words.
 SHINGLE = 5
+#: Words that a packing worker keeps; fewer than the operator keeps when it runs alone, as other stages have grown the heap.
+CACHE_WORDS = 250_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the sequences."""
-    return pack_documents(docs, keep_ids=False)
+    return pack_documents(docs, keep_ids=False, cache_words=CACHE_WORDS)
 
 
 STAGES = [("quality_rules", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]

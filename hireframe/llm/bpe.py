@@ -30,10 +30,11 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import add_by_block, table
+from .shared import add_by_block, hold, table
 
-#: Words kept with their ids in each Python worker, and chunks between white space; long ones are not kept.
-CACHE_WORDS, CACHE_CHUNKS, CACHE_LENGTH = 1_000_000, 600_000, 64
+#: Words, and chunks between white space, kept with their ids in each Python worker (some 200 bytes each); chunks kept with
+#: their decoded text, too; long ones are not kept.
+CACHE_IDS, CACHE_BOTH, CACHE_LENGTH = 900_000, 500_000, 64
 
 # Fixed values of the format: the white space of Unicode, and the split of the vocabulary file.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -95,9 +96,9 @@ class WordBpe:
         self.right_edge = lru_cache(100_000)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(100_000)(lambda t: self._edge(t, 0))
         self.fits = _Table(500_000, lambda pair: self._fits(*divmod(pair, PAIR)))
-        self.word_ids = _Table(CACHE_WORDS, self.encode_word)
-        self.chunk_ids = _Table(CACHE_CHUNKS, self._chunk_ids)
-        self.chunk_both = _Table(CACHE_CHUNKS, lambda chunk: self._with_names(self._chunk_ids(chunk)))
+        # a chunk that is one normalised word and that word are one entry
+        self.ids_of = _Table(CACHE_IDS, self._chunk_ids)
+        self.both_of = _Table(CACHE_BOTH, lambda chunk: self._with_names(self._chunk_ids(chunk)))
 
     @staticmethod
     def _units(name: str) -> str:
@@ -157,14 +158,17 @@ class WordBpe:
         return self.words.findall(text)
 
     def _chunk_ids(self, chunk: str) -> bytes:
-        return b"".join(map(self.word_ids.__getitem__, self.parts_of(chunk)))
+        parts = self.parts_of(chunk)
+        if parts == [chunk]:
+            return self.encode_word(chunk)
+        return b"".join(map(self.ids_of.__getitem__, parts))
 
     def _with_names(self, ids: bytes) -> tuple[bytes, bytes]:
         return ids, " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).encode()
 
     def _found(self, text: str, table: dict) -> list:
         """What ``table`` holds for the text's chunks between white space."""
-        self.word_ids.make_room()
+        self.ids_of.make_room()
         table.make_room()
         # str.split() also splits at four control characters that are no white space of Unicode
         return list(map(table.__getitem__, text.split() if not CONTROLS.search(text) else filter(None, SPACES.split(text))))
@@ -179,11 +183,11 @@ class WordBpe:
 
     def encode_ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self._pieces(text, self.chunk_ids, lambda i: np.array([i], "<u4").tobytes()))
+        return b"".join(self._pieces(text, self.ids_of, lambda i: np.array([i], "<u4").tobytes()))
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """The ids as in encode_ids, and the decoded text in UTF-8."""
-        found = self._pieces(text, self.chunk_both, lambda i: self._with_names(np.array([i], "<u4").tobytes()))
+        found = self._pieces(text, self.both_of, lambda i: self._with_names(np.array([i], "<u4").tobytes()))
         return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
 
@@ -210,12 +214,14 @@ class _Table(dict):
 _MADE: dict[str, WordBpe] = {}
 
 
-def loaded(source: str) -> WordBpe:
-    """The encoder of a vocabulary file's text; one in each Python process."""
+def loaded(source: str, most: int = CACHE_IDS) -> WordBpe:
+    """The encoder of a vocabulary file's text, with at most so many words kept; one in each Python process."""
     key = hashlib.md5(source.encode()).hexdigest()
     if key not in _MADE:
         _MADE.clear()
         _MADE[key] = WordBpe(source)
+        hold("bpe", _MADE.clear)
+    _MADE[key].ids_of.most = most
     return _MADE[key]
 
 
@@ -244,7 +250,7 @@ def encode_texts(docs: DataFrame, text: str = "text", into: str = "bpe", path: s
             out += [[np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in made], [names.decode() for _, names in made]]
         return out
 
-    return add_by_block(docs, text, into, SCHEMA + ", ids array<int>, decoded string" * keep, judge)
+    return add_by_block(docs, text, into, SCHEMA + ", ids array<int>, decoded string" * keep, judge, holds="bpe")
 
 
 def decode_ids(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, ship, table, written
+from .shared import drop_held, release, ship, table, written
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 24, 4
@@ -91,6 +91,7 @@ def signed_documents(docs: DataFrame, key: str, text: str, width: int) -> DataFr
     """(doc_id, n, set_a, set_b, bands, s0..): the set's size, two sums that name it, band hashes and signature."""
 
     def sign(batches):
+        drop_held()
         for batch in batches:
             column = batch.column(1)
             for start in range(0, len(column), 256):

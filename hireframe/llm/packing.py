@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import loaded, vocabulary
-from .shared import BLOCK_CHARS, table
+from .bpe import CACHE_IDS, loaded, vocabulary
+from .shared import BLOCK_CHARS, drop_held, release, ship, table
 
 WINDOW, END_ID, MAX_OPEN = 4096, 2, 512
 PARTITION_BITS = 40
@@ -107,8 +107,12 @@ class SquarePacker:
         return self.window if left >= self.window else 1 << (left.bit_length() - 1) if left else 0
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and (keep_ids) its ids."""
+def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, path: str | None = None, keep_ids: bool = True, cache_words: int = CACHE_IDS) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and (keep_ids) its ids.
+
+    cache_words: words whose ids a Python worker keeps, some 200 bytes each.
+    """
+    ship(docs.sparkSession)
     source = vocabulary(docs.sparkSession, path)
     taken = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text"))
     key_type = taken.schema[key].dataType
@@ -117,7 +121,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(source.value)
+        drop_held("bpe")
+        bpe = loaded(source.value, cache_words)
         sequence = TaskContext.get().partitionId() << PARTITION_BITS
         rows: list[tuple] = []
 
@@ -140,7 +145,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             keys = batch.column(0).to_pylist()
             for tag, value in zip(keys, batch.column(1), strict=True):
                 words = value.as_py() or ""
-                ids = np.concatenate([np.frombuffer(bpe.encode(words)[0], "<u4"), end])
+                ids = np.concatenate([np.frombuffer(bpe.encode_ids(words), "<u4"), end])
                 cut = len(ids) - len(ids) % window
                 for start in range(0, cut, window):
                     emit([(tag, start, ids[start : start + window], len(ids))])
@@ -150,6 +155,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 if held > BLOCK_CHARS and rows:
                     yield batch_of()
                     held = 0
+            release()
         packer.empty()
         if rows:
             yield batch_of()

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..scratch import written
 from ..shipping import ship
 
+__all__ = ["BLOCK_CHARS", "add_by_block", "drop_held", "hold", "release", "ship", "table", "written"]
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -24,27 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the setting is absent."""
-    name = spark.conf.get("spark.checkpoint.dir", None)
-    if not name:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        name = tempfile.mkdtemp(prefix="hireframe-")
-        spark.sparkContext.setCheckpointDir(name)
-    return name
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 #: Bytes of text that an operator on blocks takes at once; a longer document makes a block of its own.
 BLOCK_CHARS = 1_000_000
 
@@ -56,12 +36,26 @@ def release() -> None:
         _TRIM(0)
 
 
-def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callable[[list[str]], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Notes that a Python worker keeps tables of this name between tasks, and how to drop them."""
+    _HELD[name] = clear
+
+
+def drop_held(but: str | None = None) -> None:
+    """Drops what other operators keep in this worker, before it starts on a partition."""
+    for name in [n for n in _HELD if n != but]:
+        _HELD.pop(name)()
+
+
+def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callable[[list[str]], list], block_chars: int = BLOCK_CHARS, holds: str | None = None) -> DataFrame:
     """df with a struct column ``into`` of the given schema, made from the column ``text`` block by block.
 
     judge: takes whole texts (null as the empty text) and gives a list of columns in the order of schema.
     All other columns pass through as Arrow data, untouched; a column that is already named ``into`` is
-    replaced.
+    replaced. holds: the name of the tables that judge keeps in a worker between tasks.
     """
     ship(df.sparkSession)
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()])
@@ -70,6 +64,7 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
     names = struct.fieldNames()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held(holds)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
