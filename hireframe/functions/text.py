@@ -204,3 +204,32 @@ STOP_WORDS = (
     "具备 具有 拥有 掌握 熟悉 了解 负责 完成 参与 协助 支持 工作 经验 能力 技能 知识 学历 专业 "
     "优先 加分 要求 条件 以上 以下 左右 至少 相关 相关专业 相关经验"
 ).split()
+
+
+# Where a page's section of requirements ends.
+SECTION_ENDS = "工作地址|公司地址|联系方式"
+
+
+def page_sections(c: Column) -> Column:
+    """Struct (duty, requirement) of a page's whole text, by their headings; empty where a heading is missing."""
+    duty = F.regexp_extract(c, rf"(?s)职责[：:]*(.*?)(?:要求|任职|地址|联系方式|\z)", 1)
+    need = F.regexp_extract(c, rf"(?s)任职要求[：:]*(.*?)(?:{SECTION_ENDS}|\z)", 1)
+    return F.struct(strip(duty).alias("duty"), strip(need).alias("requirement"))
+
+
+def merged_maps(*maps: Column) -> Column:
+    """Union of maps; of equal keys the last map's value."""
+
+    def both(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+
+    return reduce(both, maps)
+
+
+def page_offset(page: Column, size: int) -> Column:
+    return (F.greatest(page, F.lit(1)) - 1) * size
+
+
+def stamp(c: Column) -> Column:
+    """A time without fractions of a second, as text."""
+    return F.date_format(F.date_trunc("second", c.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")

@@ -196,3 +196,41 @@ def tool_event(columns: list[str]) -> Column:
 def answer(chunks: DataFrame) -> DataFrame:
     """A thread's chunks in order as one text."""
     return chunks.groupBy("thread").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "").alias("content"))
+
+
+# The stored log.
+
+
+def with_sessions(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """stored (user_id, session_id, title, updated_at) with a row for each asked (user_id, session_id, question, at) that has none.
+
+    Of several questions of a new session the first names it.
+    """
+    keys = ["user_id", "session_id"]
+    new = asked.join(stored.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min_by("question", "at").alias("q"), F.min("at").alias("updated_at"))
+    return stored.unionByName(new.select(*keys, text.session_title(F.col("q")).alias("title"), "updated_at"))
+
+
+def touched(stored: DataFrame, messages: DataFrame) -> DataFrame:
+    """stored with updated_at not before the session's last message (user_id, session_id, at)."""
+    last = messages.groupBy("user_id", "session_id").agg(F.max("at").alias("_last"))
+    out = stored.join(last, ["user_id", "session_id"], "left")
+    return out.withColumn("updated_at", F.greatest("updated_at", "_last")).select(*stored.columns)
+
+
+def renamed(stored: DataFrame, titles: DataFrame) -> DataFrame:
+    """stored with the non-blank titles of (user_id, session_id, title)."""
+    new = titles.select("user_id", "session_id", F.nullif(text.strip(F.col("title")), F.lit("")).alias("_title"))
+    out = stored.join(new, ["user_id", "session_id"], "left")
+    return out.withColumn("title", F.coalesce("_title", "title")).select(*stored.columns)
+
+
+def token_log(calls: DataFrame, prompt: str, divisor: float = 2.0) -> DataFrame:
+    """(thread, n, line): the template's estimate at 0, then a line for each call (thread, seq, message) with its usage."""
+    u = D.usage(F.col("message"))
+    both = F.concat_ws("\t", F.concat(F.lit("prompt_tokens="), F.coalesce(u["prompt_tokens"].cast("string"), F.lit(""))), F.concat(F.lit("completion_tokens="), F.coalesce(u["completion_tokens"].cast("string"), F.lit(""))))
+    n = F.row_number().over(by_seq("thread"))
+    lines = calls.select("thread", n.alias("n"), both.alias("line"))
+    lines = lines.withColumn("line", F.concat_ws("\t", F.concat(F.lit("call#"), F.col("n").cast("string")), "line"))
+    head = calls.select("thread").distinct().select("thread", F.lit(0).alias("n"), F.lit(f"SYSTEM_PROMPT_TEMPLATE\tprompt_tokens={max(1, int(len(prompt) / divisor))}").alias("line"))
+    return head.unionByName(lines)

@@ -258,3 +258,37 @@ def t7(spark, d):
 def x27(spark, d):
     said = F.concat(F.lit("岗位职责：1、"), F.left("text", F.lit(100)), F.lit("\n任职要求："), F.substring("text", 101, 50))
     return V.table(spark, d, "documents").select("doc_id", D.split_duty(said).alias("s")).select("doc_id", "s.*")
+
+
+ASKED = "asked AS (SELECT conv_id % 9 AS user_id, 's' || conv_id AS session_id, text AS question, turn AS tm FROM conversations WHERE role = 'user'), old AS (SELECT DISTINCT conv_id % 9 AS user_id, 's' || conv_id AS session_id, 'old' AS title, CAST(0 AS BIGINT) AS updated_at FROM conversations WHERE conv_id % 4 = 0)"
+FIRST = LINE.replace("coalesce(q, '')", "coalesce(arg_min(question, tm), '')")
+
+
+def _asked(spark, d):
+    rows = V.table(spark, d, "conversations").select((F.col("conv_id") % 9).alias("user_id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.col("text").alias("question"), F.col("turn").alias("at"), "role")
+    old = rows.where("CAST(substr(session_id, 2) AS INT) % 4 = 0").select("user_id", "session_id", F.lit("old").alias("title"), F.lit(0).cast("long").alias("updated_at")).distinct()
+    return old, rows
+
+
+@query(
+    "k13_chat_sessions",
+    f"""WITH {ASKED}, l AS (SELECT user_id, session_id, {FIRST} AS l FROM asked GROUP BY ALL), n AS (SELECT user_id, session_id, {TITLE} AS title FROM l WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.session_id = l.session_id)),
+s AS (SELECT user_id, session_id, title FROM old UNION ALL SELECT * FROM n), t AS (SELECT conv_id % 9 AS user_id, 's' || conv_id AS session_id, max(turn) AS u FROM conversations GROUP BY ALL)
+SELECT s.user_id, s.session_id, CASE WHEN s.user_id = 5 THEN 'renamed' ELSE title END AS title, u AS updated_at FROM s JOIN t ON t.session_id = s.session_id""",
+)
+def k13(spark, d):
+    old, rows = _asked(spark, d)
+    out = C.touched(C.with_sessions(old, rows.where("role = 'user'")), rows)
+    return C.renamed(out, out.where("user_id = 5").select("user_id", "session_id", F.lit(" renamed ").alias("title")))
+
+
+@query("k11_token_log", "WITH c AS (SELECT user_id AS thread, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id FROM events) SELECT thread, CAST(n AS INT) AS n, 'call#' || n || chr(9) || 'prompt_tokens=' || event_id || chr(9) || 'completion_tokens=' AS line FROM c UNION ALL SELECT DISTINCT user_id, 0, 'SYSTEM_PROMPT_TEMPLATE' || chr(9) || 'prompt_tokens=5' FROM events")
+def k11(spark, d):
+    calls = V.table(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), F.expr("""concat('{"usage":{"input_tokens":', event_id, '}}')""").alias("message"))
+    return C.token_log(calls, "x" * 10)
+
+
+@query("a25_same_calls", "SELECT event_id, event_id % 2 = 0 AS same FROM events")
+def a25(spark, d):
+    calls = lambda name: F.array(F.struct(name.alias("name"), F.col("props").alias("args")))
+    return V.table(spark, d, "events").select("event_id", C.same_calls(calls(F.col("event_type")), calls(F.expr("CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'z' END"))).alias("same"))

@@ -253,3 +253,58 @@ def x29(spark, d):
 @query("x39_comma_list", "SELECT n_nationkey, n_name || '|x' AS items FROM nation")
 def x39(spark, d):
     return V.table(spark, d, "nation").select("n_nationkey", F.array_join(text.comma_list(F.concat("n_name", F.lit(" ,, x ,"))), "|").alias("items"))
+
+
+@query("s12_page_sections", "SELECT doc_id, trim(source) AS duty, trim(lang) AS requirement FROM documents")
+def s12(spark, d):
+    said = F.concat(F.lit("岗位职责：\n"), "source", F.lit("\n任职要求: "), "lang", F.lit("\n工作地址：x"))
+    return V.table(spark, d, "documents").select("doc_id", text.page_sections(said).alias("s")).select("doc_id", "s.*")
+
+
+@query("u5_map_union", "SELECT o_orderkey, '1' AS a, o_orderstatus AS b, '3' AS c FROM orders")
+def u5(spark, d):
+    m = text.merged_maps(F.expr("map('a', '1', 'b', '2')"), F.create_map(F.lit("b"), "o_orderstatus", F.lit("c"), F.lit("3")))
+    return V.table(spark, d, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", *[F.col("m")[k].alias(k) for k in "abc"])
+
+
+@query("x36_stamp", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def x36(spark, d):
+    return V.table(spark, d, "events").select("event_id", text.stamp(F.col("ts")).alias("at"))
+
+
+@query("x42_page_offset", "SELECT n_nationkey, (greatest(n_nationkey, 1) - 1) * 20 AS skip FROM nation")
+def x42(spark, d):
+    return V.table(spark, d, "nation").select("n_nationkey", text.page_offset(F.col("n_nationkey"), 20).alias("skip"))
+
+
+@query("x9_clipped", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE left(trim(source), 4) END AS v FROM documents")
+def x9(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", text.clipped(F.expr("CASE WHEN doc_id % 3 = 0 THEN ' NaN ' ELSE concat(' ', source) END"), 4).alias("v"))
+
+
+@query("f10_missing_columns", "SELECT 'x' AS missing UNION ALL SELECT 'y'")
+def f10(spark, d):
+    from .. import schema
+
+    names = schema.missing_columns(V.table(spark, d, "nation"), ["x", "n_name", "y"])
+    return spark.createDataFrame([(n,) for n in names], "missing string")
+
+
+@query("k5_added_column", "SELECT n_nationkey, n_name, CAST(NULL AS INT) AS salary_avg FROM nation")
+def k5(spark, d):
+    from .. import schema
+
+    rows = V.table(spark, d, "nation").select("n_nationkey", "n_name")
+    return schema.add_column_if_absent(schema.add_column_if_absent(rows, "salary_avg", "int"), "n_name", "int")
+
+
+@query("o8_users_page", "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY id LIMIT 10 OFFSET 5")
+def o8(spark, d):
+    from ..operators.listings import page
+
+    return page(V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), [F.col("id")], 5, 10)
+
+
+@query("o10_distinct_keys", "SELECT DISTINCT year(o_orderdate) AS y FROM orders")
+def o10(spark, d):
+    return V.table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().orderBy("y")

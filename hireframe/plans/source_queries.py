@@ -147,3 +147,17 @@ def st6(spark, d):
 def st_windows(spark, d):
     counts = S.windowed_counts(V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", keys=["event_type"])
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "cnt")
+
+
+@query("st2_graph_build", f"WITH {V.LISTINGS} SELECT type, count(*) AS n FROM (SELECT 'OFFERED_BY' AS type FROM job_listings UNION ALL SELECT 'LOCATED_IN' FROM job_listings UNION ALL SELECT 'YEAR' FROM job_listings) GROUP BY type")
+def st2(spark, d):
+    """Listings in two files, each a micro-batch of the resumable build; postings of the second meet companies of the first."""
+    from ..streaming.graph_stream import build_graph
+
+    source = fresh_path(spark, "listing-files")
+    rows = V.listings(spark, d).withColumn("requirements", F.lit("long enough text"))
+    for k in (0, 1):
+        rows.where(f"id % 2 = {k}").coalesce(1).write.mode("append").parquet(source)
+    stream = S.parquet_stream(spark, source, files_per_batch=1)
+    nodes, edges = build_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
+    return edges.groupBy("type").agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +27,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that a lost executor costs no recomputation."""
+    """Writes df to the shared folder and reads it again, so that a lost executor costs no recomputation.
+
+    Columns without a type become text, as Parquet has no such columns.
+    """
+    df = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema if isinstance(f.dataType, T.NullType)})
     spark, schema = df.sparkSession, df.schema
     path = fresh_path(spark, label)
     df.write.parquet(path)

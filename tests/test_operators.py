@@ -211,3 +211,26 @@ def test_patterns(small_graph, source, wanted):
 def test_refused(small_graph, source):
     with pytest.raises(CypherError):
         small_graph.query(source)
+
+
+def test_graph_build_resumes(spark, tmp_path):
+    from hireframe.streaming import graph_stream
+
+    columns = "id long, job_title string, company_name string, salary_range string, location string, requirements string, data_year int, created_at string"
+    rows_ = lambda ids: spark.createDataFrame([(i, "t", f"company {i % 2}", "3-4K", "北京-x", "long enough text", 2020, None) for i in ids], columns)
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    rows_(range(4)).coalesce(1).write.parquet(source)
+
+    def some(frame):
+        if any(m["id"] == 3 for m in frame["metadata"]):
+            raise ValueError("no")
+        return extraction.rule_based(frame)
+
+    graph_stream.build_graph(incremental.parquet_stream(spark, source), out, mark, some)
+    assert graph_stream.stored(spark, out, "failed").count() == 4  # the batch that held the bad row
+    graph_stream.retry_failed(rows_(range(4)), out, -1)
+    rows_(range(4, 6)).coalesce(1).write.mode("append").parquet(source)
+    nodes, edges = graph_stream.build_graph(incremental.parquet_stream(spark, source), out, mark)
+    labels = sorted((r["labels"][0], r["count"]) for r in nodes.groupBy("labels").count().collect())
+    assert labels == [("Company", 2), ("JobPosting", 6), ("Location", 1), ("Year", 1)]
+    assert edges.count() == 18 and nodes.select("id").distinct().count() == nodes.count()
