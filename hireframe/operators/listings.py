@@ -43,18 +43,24 @@ def year_range(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.where(F.col("data_year").between(start, end))
 
 
-def zero_filled(counts: DataFrame, years: DataFrame, categories: DataFrame, category: str) -> DataFrame:
-    """A row for each year and category; both sides are tiny lists of distinct values."""
-    return years.crossJoin(categories).join(counts, ["data_year", category], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
+def zero_filled(counts: DataFrame, category: str) -> DataFrame:
+    """A row for each year and category, 0 where counts (data_year, category, cnt) has none.
+
+    counts is small (years times categories); it becomes one row, so what it is made from is read once.
+    """
+    row = counts.agg(F.collect_list(F.struct("data_year", category, "cnt")).alias("c"))
+    row = row.select("c", F.explode(F.array_distinct("c.data_year")).alias("data_year")).select("c", "data_year", F.explode(F.array_distinct(f"c.{category}")).alias(category))
+    own = F.filter("c", lambda x: (x["data_year"] == F.col("data_year")) & x[category].eqNullSafe(F.col(category)))
+    return row.select("data_year", category, F.coalesce(F.get(own, F.lit(0))["cnt"], F.lit(0)).cast("long").alias("cnt"))
 
 
 def salary_statistics(listings: DataFrame, start: int = 2022, end: int = 2026) -> DataFrame:
-    """(data_year, bucket, bucket_no, cnt): listings by year and salary class, all classes for each year."""
-    spark = listings.sparkSession
+    """(data_year, bucket, bucket_no, cnt): listings by year and salary class, all classes for each year; one pass, one shuffle of counts."""
     paid = year_range(listings.select("data_year", "salary_avg"), start, end).where(F.col("salary_avg").isNotNull() & (F.col("salary_avg") > 0))
-    counts = paid.groupBy("data_year", salary.salary_class(F.col("salary_avg")).alias("bucket")).agg(F.count("*").alias("cnt"))
-    labels = spark.createDataFrame(list(enumerate(salary.LABELS)), "bucket_no int, bucket string")
-    return zero_filled(counts, counts.select("data_year").distinct(), labels, "bucket").select("data_year", "bucket_no", "bucket", "cnt")
+    bucket = salary.salary_class(F.col("salary_avg"))
+    counts = paid.groupBy("data_year").agg(*[F.count_if(bucket == label).alias(f"n{i}") for i, label in enumerate(salary.LABELS)])
+    entries = F.array(*[F.struct(F.lit(i).alias("bucket_no"), F.lit(label).alias("bucket"), F.col(f"n{i}").alias("cnt")) for i, label in enumerate(salary.LABELS)])
+    return counts.select("data_year", F.inline(entries))
 
 
 def yearly_totals(stats: DataFrame) -> DataFrame:
@@ -68,34 +74,37 @@ def shares(stats: DataFrame) -> DataFrame:
     return stats.where("cnt > 0").withColumn("percent", F.round(100 * F.col("cnt") / whole, 2))
 
 
-def match_provinces(locations: DataFrame, cities: DataFrame, column: str = "location", aliases: bool = True, unknown: str | None = "未知") -> DataFrame:
+def match_provinces(locations: DataFrame, cities: DataFrame, column: str = "location", aliases: bool = True, unknown: str | None = "未知", carry: list[str] | None = None) -> DataFrame:
     """Distinct locations with province and tier: 1 exact city, 2 exact alias without 市, 3 first partial match.
 
-    Exact tiers are hash joins; only what they leave is compared with every city, once for each distinct location. The
-    city table is a dimension of some hundred rows with an order (ord).
+    Exact tiers are hash joins; a partial match is tried only for what they leave, once for each distinct location. The city
+    table is a dimension of some hundred rows with an order (ord). carry: columns to keep, where locations are distinct already.
     """
     from ..functions.geo import city_name
 
-    found = locations.select(F.col(column).alias("location")).distinct()
+    found = locations.select(F.col(column).alias("location"), *(carry or []))
+    found = found if carry else found.distinct()
     found = found.withColumn("_where", text.strip(F.col("location"))).withColumn("_city", city_name(F.col("location")))
     first = cities.groupBy("short_name").agg(F.min_by("full_name", "ord").alias("t1"))
     alias = cities.where(F.endswith("short_name", F.lit("市"))).groupBy(F.expr("left(short_name, length(short_name) - 1)").alias("alias")).agg(F.max_by("full_name", "ord").alias("t2"))
-    exact = found.join(F.broadcast(first), found["_city"] == first["short_name"], "left")
-    exact = exact.join(F.broadcast(alias), F.col("_city") == F.col("alias"), "left") if aliases else exact.withColumn("t2", F.lit(None).cast("string"))
-    exact = exact.select("location", "_where", "_city", "t1", "t2")
-    rest = exact.where(F.col("t1").isNull() & F.col("t2").isNull())
+    exact = found.join(F.broadcast(first), F.col("_city") == F.col("short_name"), "left").drop("short_name")
+    exact = exact.join(F.broadcast(alias), F.col("_city") == F.col("alias"), "left").drop("alias") if aliases else exact.withColumn("t2", F.lit(None).cast("string"))
     partial = F.contains("_where", "short_name") | F.contains("short_name", "_city") | F.contains("_city", "short_name")
-    third = rest.join(F.broadcast(cities.select("short_name", "full_name", "ord")), partial).groupBy("location").agg(F.min_by("full_name", "ord").alias("t3"))
+    third = exact.join(F.broadcast(cities.select("short_name", "full_name", "ord")), F.col("t1").isNull() & F.col("t2").isNull() & partial, "left")
+    kept = [F.first(c).alias(c) for c in ("t1", "t2", *(carry or []))]
+    out = third.groupBy("location").agg(*kept, F.min_by("full_name", "ord").alias("t3"))
     tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3)
-    return exact.join(third, "location", "left").select("location", F.coalesce("t1", "t2", "t3", F.lit(unknown)).alias("province"), tier.alias("tier"))
+    return out.select("location", *(carry or []), F.coalesce("t1", "t2", "t3", F.lit(unknown)).alias("province"), tier.alias("tier"))
 
 
 def location_statistics(listings: DataFrame, cities: DataFrame, start: int = 2022, end: int = 2026) -> DataFrame:
     """(data_year, province, cnt), all provinces for each year."""
     placed = year_range(listings.select("data_year", "location"), start, end).where(F.col("location").isNotNull() & (F.col("location") != ""))
-    by_location = placed.groupBy("data_year", "location").agg(F.count("*").alias("n"))
-    counts = by_location.join(match_provinces(by_location, cities), "location").groupBy("data_year", "province").agg(F.sum("n").alias("cnt"))
-    return zero_filled(counts, counts.select("data_year").distinct(), counts.select("province").distinct(), "province").select("data_year", "province", "cnt")
+    counts = placed.groupBy("location", "data_year").agg(F.count("*").alias("n"))
+    # a location's years in one row: as many entries as there are years
+    by_location = counts.groupBy("location").agg(F.collect_list(F.struct("data_year", "n")).alias("years"))
+    matched = match_provinces(by_location, cities, carry=["years"]).select("province", F.inline("years"))
+    return zero_filled(matched.groupBy("data_year", "province").agg(F.sum("n").alias("cnt")), "province").select("data_year", "province", "cnt")
 
 
 def word_counts(texts: DataFrame, column: str = "requirements", least: int = 2, weight: str | None = None) -> DataFrame:

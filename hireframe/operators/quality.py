@@ -27,9 +27,8 @@ def location_counts(listings: DataFrame) -> DataFrame:
 
 def coverage(listings: DataFrame, cities: DataFrame) -> DataFrame:
     """(location, cnt, province, matched): each distinct location against the dimension, without the alias tier."""
-    counts = location_counts(listings)
-    found = match_provinces(counts, cities, aliases=False, unknown=None)
-    return counts.join(found, "location").select("location", "cnt", "province", F.col("province").isNotNull().alias("matched"))
+    found = match_provinces(location_counts(listings), cities, aliases=False, unknown=None, carry=["cnt"])
+    return found.select("location", "cnt", "province", F.col("province").isNotNull().alias("matched"))
 
 
 def coverage_report(covered: DataFrame) -> DataFrame:
