@@ -43,6 +43,10 @@ WORD_END = "</w>"
 CONTROLS, SPACES = re.compile("[\x1c-\x1f]"), re.compile(f"[{SPACE}]+")
 #: Two tokens a, b are named by a * PAIR + b.
 PAIR = 1 << 24
+LENGTH_BITS = 8
+#: Characters of a text that are taken before the tables are looked at again.
+LONG_TEXT = 500_000
+LENGTH = (1 << LENGTH_BITS) - 1
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: An end-of-word unit is its byte's character moved up by this.
 END_SHIFT = 0x4000
@@ -85,13 +89,14 @@ class WordBpe:
             a, b, made = vocab[left], vocab[right], vocab[left + right]
             self.pair_rank[a, b] = rank
             self.parts.setdefault(made, (a, b, rank))
-        self.size: dict[int, int] = {}
-        self.automaton = ahocorasick.Automaton()
+        # a match's value is its token and, in the low bits, its length
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for name, i in vocab.items():
             units = self._units(name)
             if i in self.parts or len(units) == 1:
-                self.size[i] = len(units)
-                self.automaton.add_word(units, (i, len(units)))
+                if len(units) >> LENGTH_BITS:
+                    raise ValueError("a token is too long")
+                self.automaton.add_word(units, i << LENGTH_BITS | len(units))
         self.automaton.make_automaton()
         self.right_edge = lru_cache(100_000)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(100_000)(lambda t: self._edge(t, 0))
@@ -131,16 +136,20 @@ class WordBpe:
         # the printable ASCII characters stand for themselves
         units = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_table)
         units = units[:-1] + chr(ord(units[-1]) + END_SHIFT)
-        last = [-1] * len(units)
+        last = [0] * len(units)  # 0 is no match: its length would be 0
         fits = self.fits
-        for end, (token, size) in self.automaton.iter(units):
-            if last[end] < 0 and (size > end or (left := last[end - size]) >= 0 and fits[left * PAIR + token]):
-                last[end] = token
+        for end, match in self.automaton.iter(units):
+            if not last[end]:
+                size = match & LENGTH
+                if size > end or (left := last[end - size]) and fits[(left >> LENGTH_BITS) * PAIR + (match >> LENGTH_BITS)]:
+                    last[end] = match
         ids, at = [], len(units) - 1
         while at >= 0:
-            ids.append(last[at])
-            at -= self.size[last[at]]
-        return array("I", ids[::-1]).tobytes() if LITTLE else np.array(ids[::-1], "<u4").tobytes()
+            match = last[at]
+            ids.append(match >> LENGTH_BITS)
+            at -= match & LENGTH
+        ids.reverse()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
     def normalise(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -167,9 +176,20 @@ class WordBpe:
         return ids, " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).encode()
 
     def _found(self, text: str, table: dict) -> list:
-        """What ``table`` holds for the text's chunks between white space."""
-        self.ids_of.make_room()
-        table.make_room()
+        """What ``table`` holds for the text's chunks between white space; a long text is taken in parts, so that tables stay bounded."""
+        if len(text) > LONG_TEXT:
+            out, start = [], 0
+            while start < len(text):
+                end = text.find(" ", start + LONG_TEXT)
+                end = len(text) if end < 0 else end
+                out += self._part(text[start:end], table)
+                start = end + 1
+            return out
+        return self._part(text, table)
+
+    def _part(self, text: str, table: dict) -> list:
+        for t in (self.ids_of, table, self.fits):
+            t.make_room()
         # str.split() also splits at four control characters that are no white space of Unicode
         return list(map(table.__getitem__, text.split() if not CONTROLS.search(text) else filter(None, SPACES.split(text))))
 
@@ -192,7 +212,7 @@ class WordBpe:
 
 
 class _Table(dict):
-    """Values made on demand and kept for short keys; emptied when it is full."""
+    """Values made on demand and kept for short keys; emptied before a text or word that finds it full."""
 
     def __init__(self, most: int, make):
         super().__init__()
@@ -201,8 +221,6 @@ class _Table(dict):
     def __missing__(self, key):
         made = self.make(key)
         if key.__class__ is int or len(key) <= CACHE_LENGTH:
-            if len(self) >= 2 * self.most:
-                self.clear()
             self[key] = made
         return made
 
