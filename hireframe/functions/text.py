@@ -63,12 +63,22 @@ def merge_description_duty(desc: Column, duty: Column) -> Column:
     )
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it within lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def drop_contained_blocks(blocks: Column) -> Column:
     """Blocks that are no part of another one (white space apart); of equal ones the first."""
+
+    def outer(a: Column) -> Column:
+        return F.filter(a, lambda x: ~F.exists(a, lambda y: (y["n"] != x["n"]) & F.contains(y["n"], x["n"])))
+
+    def first(a: Column) -> Column:
+        return F.transform(F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y["n"] == x["n"])), lambda x: x["b"])
+
     named = F.filter(F.transform(blocks, lambda b: F.struct(b.alias("b"), comparison_key(b).alias("n"))), lambda x: x["n"] != "")
-    kept = F.filter(named, lambda x: ~F.exists(named, lambda y: (y["n"] != x["n"]) & F.contains(y["n"], x["n"])))
-    first = F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda y: y["n"] == x["n"]))
-    return F.transform(first, lambda x: x["b"])
+    return bound(bound(named, outer), first)
 
 
 def merge_blocks(*parts: Column, word: str = "kanzhun") -> Column:

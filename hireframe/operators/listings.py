@@ -107,25 +107,37 @@ def location_statistics(listings: DataFrame, cities: DataFrame, start: int = 202
     return zero_filled(matched.groupBy("data_year", "province").agg(F.sum("n").alias("cnt")), "province").select("data_year", "province", "cnt")
 
 
-def word_counts(texts: DataFrame, column: str = "requirements", least: int = 2, weight: str | None = None) -> DataFrame:
-    """(data_year, word, cnt) of the Han runs that are no stop words."""
-    n = F.col(weight) if weight else F.lit(1)
-    words = texts.select("data_year", n.alias("n"), F.explode(text.han_runs(F.col(column), least)).alias("word"))
-    return words.where(~F.col("word").isin(text.STOP_WORDS)).groupBy("data_year", "word").agg(F.sum("n").alias("cnt"))
+def words_of(texts: DataFrame, key: str, column: str = "requirements", least: int = 2) -> DataFrame:
+    """(key, word): the Han runs of each text that are no stop words, one row a use."""
+    words = texts.select(key, F.explode(text.han_runs(F.col(column), least)).alias("word"))
+    return words.where(~F.col("word").isin(text.STOP_WORDS))
+
+
+def word_counts(words: DataFrame, uses: DataFrame, key: str) -> DataFrame:
+    """(data_year, word, cnt) of words (key, word) by uses (key, data_year, n): how many listings of a year have the text."""
+    return words.join(uses, key).groupBy("data_year", "word").agg(F.sum("n").alias("cnt"))
+
+
+def overall_counts(words: DataFrame, uses: DataFrame, key: str) -> DataFrame:
+    """(word, cnt) over all years: uses are summed by text first, so a word's row is not multiplied by the years."""
+    total = uses.groupBy(key).agg(F.sum("n").alias("n"))
+    return words.join(total, key).groupBy("word").agg(F.sum("n").alias("cnt"))
 
 
 def top_words(counts: DataFrame, top: int = 100) -> DataFrame:
-    """The most frequent words over all years; equal counts in the order of the words."""
-    return counts.groupBy("word").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "word").limit(min(max(top, 10), 500))
+    """The most frequent of (word, cnt); equal counts in the order of the words."""
+    return counts.orderBy(F.desc("cnt"), "word").limit(min(max(top, 10), 500))
 
 
-def top_words_by_year(counts: DataFrame, top: int = 100) -> DataFrame:
-    """Yearly counts of the words that are in the overall top."""
-    return counts.join(F.broadcast(top_words(counts, top).select("word")), "word", "left_semi").select("data_year", "word", "cnt")
+def top_words_by_year(words: DataFrame, uses: DataFrame, key: str, top: int = 100) -> DataFrame:
+    """Yearly counts of the words in the overall top; other words go before the years are joined."""
+    best = top_words(overall_counts(words, uses, key), top).select("word")
+    return word_counts(words.join(F.broadcast(best), "word", "left_semi"), uses, key).select("data_year", "word", "cnt")
 
 
 def word_totals(counts: DataFrame) -> DataFrame:
-    return counts.agg(F.sum("cnt").alias("total_words"), F.count_distinct("word").alias("unique_words"))
+    """Uses and number of words of (word, cnt)."""
+    return counts.agg(F.sum("cnt").alias("total_words"), F.count("*").alias("unique_words"))
 
 
 def color_ratio(words: DataFrame) -> DataFrame:

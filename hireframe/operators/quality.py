@@ -9,16 +9,24 @@ from ..functions import geo, salary
 from .listings import match_provinces
 
 
+def salary_table(listings: DataFrame, mode: str = "compat") -> DataFrame:
+    """(salary_range, monthly): each distinct text parsed once; there are far fewer texts than listings."""
+    return listings.select("salary_range").where("salary_range IS NOT NULL").distinct().withColumn("monthly", salary.parse_salary(F.col("salary_range"), mode))
+
+
 def fill_salary(listings: DataFrame, mode: str = "compat") -> DataFrame:
-    """salary_avg parsed where it is needed and the text gives it."""
-    parsed = salary.parse_salary(F.col("salary_range"), mode)
-    return listings.withColumn("salary_avg", F.when(salary.needs_salary(F.col("salary_range"), F.col("salary_avg")), F.coalesce(parsed, "salary_avg")).otherwise(F.col("salary_avg")))
+    """salary_avg parsed where it is needed and the text gives it; with a column monthly, what the text gives."""
+    out = listings.join(salary_table(listings, mode), "salary_range", "left")
+    needed = salary.needs_salary(F.col("salary_range"), F.col("salary_avg"))
+    filled = F.when(needed, F.coalesce("monthly", "salary_avg")).otherwise(F.col("salary_avg"))
+    return out.withColumn("salary_avg", filled).select(*listings.columns, "monthly")
 
 
 def unparsed_formats(listings: DataFrame, top: int = 20) -> DataFrame:
     """The most frequent salary texts that the parser does not read."""
-    failed = listings.where(salary.needs_salary(F.col("salary_range"), F.col("salary_avg"))).where(salary.parse_salary(F.col("salary_range")).isNull())
-    return failed.groupBy(F.coalesce("salary_range", F.lit("NULL")).alias("format")).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "format").limit(top)
+    counts = listings.where(salary.needs_salary(F.col("salary_range"), F.col("salary_avg"))).groupBy("salary_range").agg(F.count("*").alias("cnt"))
+    failed = counts.where(salary.parse_salary(F.col("salary_range")).isNull())
+    return failed.select(F.coalesce("salary_range", F.lit("NULL")).alias("format"), "cnt").orderBy(F.desc("cnt"), "format").limit(top)
 
 
 def location_counts(listings: DataFrame) -> DataFrame:

@@ -64,27 +64,29 @@ tops AS (SELECT word, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts GROUP BY word
 
 
 def _words(spark, d):
-    return L.word_counts(V.han_texts(spark, d), weight="n")
+    """Words, their uses, and the key of both."""
+    texts, uses = V.han_texts(spark, d)
+    return L.words_of(texts, "doc_id"), uses, "doc_id"
 
 
 @query("a3_wordcloud_top", f"WITH {WORDS} SELECT * FROM tops")
 def a3_top(spark, d):
-    return L.top_words(_words(spark, d))
+    return L.top_words(L.overall_counts(*_words(spark, d)))
 
 
 @query("a3_wordcloud_by_year", f"WITH {WORDS} SELECT * FROM counts WHERE word IN (SELECT word FROM tops)")
 def a3_years(spark, d):
-    return L.top_words_by_year(_words(spark, d))
+    return L.top_words_by_year(*_words(spark, d))
 
 
 @query("a3_wordcloud_totals", f"WITH {WORDS} SELECT CAST(sum(cnt) AS BIGINT) AS total_words, count(DISTINCT word) AS unique_words FROM counts")
 def a3_totals(spark, d):
-    return L.word_totals(_words(spark, d))
+    return L.word_totals(L.overall_counts(*_words(spark, d)))
 
 
 @query("o3_yearly_top_words", f"WITH {WORDS} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY data_year ORDER BY cnt DESC, word) AS INT) AS rank FROM counts) WHERE rank <= 10")
 def o3(spark, d):
-    return L.yearly_top(_words(spark, d))
+    return L.yearly_top(L.word_counts(*_words(spark, d)))
 
 
 @query(
@@ -182,8 +184,7 @@ parsed AS (SELECT t.salary_range, CASE WHEN s IN ('', 'nan', '面议') THEN NULL
 
 @query("x2_salary_parse", f"WITH {V.LISTINGS}, {SALARY_SQL} SELECT id, j.salary_range, CASE WHEN j.salary_range IS NOT NULL AND coalesce(salary_avg, 0) = 0 THEN coalesce(monthly, salary_avg) ELSE salary_avg END AS salary_avg, monthly FROM job_listings j LEFT JOIN parsed p ON p.salary_range = j.salary_range")
 def x2(spark, d):
-    rows = V.listings(spark, d)
-    return Q.fill_salary(rows).select("id", "salary_range", "salary_avg", salary.parse_salary(F.col("salary_range")).alias("monthly"))
+    return Q.fill_salary(V.listings(spark, d)).select("id", "salary_range", "salary_avg", "monthly")
 
 
 @query("a7_unparsed_formats", f"WITH {V.LISTINGS}, {SALARY_SQL} SELECT j.salary_range AS format, count(*) AS cnt FROM job_listings j JOIN parsed p ON p.salary_range = j.salary_range WHERE coalesce(salary_avg, 0) = 0 AND monthly IS NULL GROUP BY 1 ORDER BY cnt DESC, 1 LIMIT 20")

@@ -83,15 +83,12 @@ LISTINGS_TEXT = listing_sql(True)
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "数据开发工程师负责系统设计维护熟悉了解分布式技"
 
 
-def han_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(data_year, requirements, n): the documents in Han letters, once for each year of the listings that use them.
-
-    n counts those listings, so each text is cut into words once a year instead of once a listing.
-    """
+def han_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, requirements): the documents in Han letters; and (doc_id, data_year, n): the listings that use them."""
     docs = table(spark, sf_dir, "documents")
     size = docs.count()
-    used = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % size).alias("doc_id"), F.year("o_orderdate").alias("data_year")).agg(F.count("*").alias("n"))
-    return docs.select("doc_id", F.translate(F.lower("text"), LATIN, HAN).alias("requirements")).join(used, "doc_id").drop("doc_id")
+    uses = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % size).alias("doc_id"), F.year("o_orderdate").alias("data_year")).agg(F.count("*").alias("n"))
+    return docs.select("doc_id", F.translate(F.lower("text"), LATIN, HAN).alias("requirements")), uses
 
 
 HAN_TEXTS = f"""han_texts AS (SELECT translate(lower(text), '{LATIN}', '{HAN}') AS requirements, year(o_orderdate) AS data_year, count(*) AS n
