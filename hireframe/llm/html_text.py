@@ -58,6 +58,8 @@ DROP_NAMES = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social toolbar pagination pager".split()
 )
+COMMENT_NAMES = set("comment comments commentlist disqus respond reply replies discussion".split())
+BESIDE = set("has with without no is".split())
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+)")
 NAMES = re.compile(r"[a-z]+")
@@ -75,20 +77,32 @@ def step_hash(above: int, label: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "path")
+    __slots__ = ("tag", "names", "parts", "holds", "role", "hidden", "parent", "children", "path")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.parent, self.children = tag, parent, []
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        words = found.get("class", "") + " " + found.get("id", "")
-        self.names = {w for w in re.split(r"[\s_-]+", words) if w} | set(words.split()) if words.strip() else set()
+        self.names = set((found.get("class", "") + " " + found.get("id", "")).split())
+        # "nav-bar" names a menu, "has-sidebar" something beside one
+        self.parts = {p for n in self.names for k in [re.split("[_-]+", n)] if k[0] not in BESIDE for p in k}
+        self.holds = False
+        if tag in ("article", "main"):
+            up = parent
+            while up is not None and not up.holds:
+                up.holds, up = True, up.parent
         self.role = found.get("role", "")
         self.hidden = bool(re.search(r"display\s*:\s*none", found.get("style", ""))) or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)", attributes))
         label = tag + "".join("." + x for x in sorted(set(NAMES.findall(found.get("class", "")))))
         self.path = step_hash(parent.path if parent else 0, label)
 
     def dropped(self) -> bool:
-        return self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES or not DROP_NAMES.isdisjoint(self.names)
+        if self.tag in ("html", "body", "main"):
+            return self.hidden
+        if self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES or not DROP_NAMES.isdisjoint(self.names):
+            return True
+        # a part of a name decides only where no article is at stake, but for comments
+        told = COMMENT_NAMES if self.holds or self.tag == "article" else DROP_NAMES
+        return not told.isdisjoint(self.parts)
 
 
 def parse(source: str) -> Node:

@@ -128,6 +128,9 @@ PAGES = [
     ("<div>\n <pre>x\ny</pre></div><table><tr><td>1<td>2<tr><td>3</table>", "x y\n\n1\n\n2\n\n3"),
     ("<main><p>in</p><aside>side</aside></main><p>out</p>", "in"),
     ("<p>cut <b", "cut"),
+    ("<body class='has-sidebar'><div class='content-sidebar'><article class='post-header'><p>kept</article></div><div class='post-comments'><article><p>no</article></div>", "kept"),
+    ("<div class='sidebar'><article><p>no</article></div><div id='no-menu'><p>yes</div>", "yes"),
+    ("<div role=navigation>menu</div><div hidden>h</div><div style='display: none'>n</div><p>text</p><div class=\"ad-slot\">buy</div>", "text"),
 ]
 
 
