@@ -250,13 +250,13 @@ def x37(spark, d):
 
 @query("t7_side_panel_clean")
 def t7(spark, d):
-    said = F.concat(F.lit("职位描述\n"), F.left("text", F.lit(300)), F.lit("\n· •\n李女士 今日活跃\nＡＢＣ"))
+    said = F.concat(F.lit("职位描述\n"), "text", F.lit("\n· •\n李女士 今日活跃\nＡＢＣ"))
     return V.table(spark, d, "documents").select("doc_id", D.clean_side_panel(said).alias("cleaned"))
 
 
 @query("x27_split_duty")
 def x27(spark, d):
-    said = F.concat(F.lit("岗位职责：1、"), F.left("text", F.lit(100)), F.lit("\n任职要求："), F.substring("text", 101, 50))
+    said = F.concat(F.lit("岗位职责：1、"), F.expr("left(text, CAST(length(text) DIV 2 AS INT))"), F.lit("\n任职要求："), F.expr("substr(text, CAST(length(text) DIV 2 AS INT) + 1)"))
     return V.table(spark, d, "documents").select("doc_id", D.split_duty(said).alias("s")).select("doc_id", "s.*")
 
 

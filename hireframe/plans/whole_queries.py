@@ -1,0 +1,82 @@
+"""The text operators on whole texts. The queries of the same operators with SQL take short pieces; none of these has SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import etl as E
+from . import views as V
+from .catalogue import query
+
+HALF = "CAST(length(text) DIV 2 AS INT)"
+# the whole text in another order, so that no text holds it
+TURNED = f"concat(substr(text, {HALF} + 1), ' ', left(text, {HALF}))"
+# the whole text with other white space, so that it is equal but for that
+SPACED = "replace(text, ' ', ' \n')"
+BRANDS = "CASE doc_id % 6 WHEN 0 THEN '【BOSS直聘】招聘 ' WHEN 1 THEN 'boss直聘  上直聘 ' WHEN 2 THEN 'xBOSSx BOSS ok，直聘。' WHEN 3 THEN '下载 boss ' WHEN 4 THEN 'see https://m.kanzhun.com/a?b=1 and KANZHUN here  ' ELSE 'www.kanzhun.com/x\n\n\n\n' END"
+# brand strings before, in the middle of and after the text
+BRANDED = f"concat({BRANDS}, left(text, {HALF}), '\n', {BRANDS}, '\n', substr(text, {HALF} + 1), '\n', {BRANDS})"
+DUTY = f"CASE doc_id % 3 WHEN 0 THEN substr(text, {HALF} + 1) WHEN 1 THEN {SPACED} ELSE {TURNED} END"
+
+
+def _docs(spark, d):
+    return V.table(spark, d, "documents")
+
+
+@query("a11_whole_texts")
+def a11_whole(spark, d):
+    rows = _docs(spark, d).select(
+        F.col("doc_id").alias("ord"),
+        F.expr("CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN concat(doc_id DIV 6, '.0') ELSE concat(' ', doc_id DIV 6) END").alias("jid"),
+        F.expr("CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END").alias("company"),
+        F.col("lang").alias("city"),
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END").alias("description"),
+        F.expr(f"CASE WHEN doc_id DIV 6 % 2 = 0 THEN {SPACED} ELSE {TURNED} END").alias("duty"),
+    )
+    return E.merge_by_id(rows, "jid", "ord", "description", "duty")
+
+
+@query("t1_whole_texts")
+def t1_whole(spark, d):
+    return _docs(spark, d).select("doc_id", text.strip_brand_noise(F.expr(BRANDED)).alias("cleaned"))
+
+
+@query("t2_whole_texts")
+def t2_whole(spark, d):
+    return _docs(spark, d).select("doc_id", text.strip_domain_noise(F.expr(BRANDED)).alias("cleaned"))
+
+
+@query("t3_whole_texts")
+def t3_whole(spark, d):
+    return _docs(spark, d).select("doc_id", text.comparison_key(F.col("text")).alias("k"))
+
+
+@query("t4_whole_texts")
+def t4_whole(spark, d):
+    return _docs(spark, d).select("doc_id", text.merge_description_duty(F.col("text"), F.expr(DUTY)).alias("b")).select("doc_id", "b.*")
+
+
+@query("t5_whole_texts")
+def t5_whole(spark, d):
+    third = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN {SPACED} ELSE {TURNED} END")
+    return _docs(spark, d).select("doc_id", text.merge_blocks(F.col("text"), F.expr(f"substr(text, {HALF} + 1)"), third).alias("merged"))
+
+
+@query("t8_whole_texts")
+def t8_whole(spark, d):
+    return _docs(spark, d).select("doc_id", text.strip_css_rules(F.expr(f"concat('.a-b {{color:red}} ', left(text, {HALF}), '\n.c{{}}', substr(text, {HALF} + 1), '\n.d{{x}}')")).alias("cleaned"))
+
+
+@query("t11_whole_texts")
+def t11_whole(spark, d):
+    more = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN substr(text, {HALF} + 1) ELSE {TURNED} END")
+    return _docs(spark, d).select("doc_id", text.append_unless_contained(F.col("text"), more).alias("merged"))
+
+
+@query("x14_whole_texts")
+def x14_whole(spark, d):
+    rows = _docs(spark, d).withColumn("batch", F.expr("doc_id DIV 10"))
+    piece = text.batch_piece(F.col("lang"), F.col("source"), F.lit(None).cast("int"), F.col("text"))
+    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("doc_id", piece.alias("p")))).alias("ps"))
+    return grouped.select("batch", F.array_join("ps.p", "\n").alias("prompt"))
