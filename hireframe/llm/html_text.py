@@ -2,17 +2,18 @@
 
 The element trees of a host's pages are merged: a node of the style tree is a path of elements (tag and
 class names). For each node the pages' presentations (the tags of its children) and contents (its text)
-are counted over the whole host, and its importance is the entropy of contents and presentations, scaled
+are counted over the host's pages, of pages with one text only one, and its importance is the entropy of contents and presentations, scaled
 to 0..1 by the number of pages that have the node. A branch that reads the same on nearly every page has
 an importance near 0 and is removed from each page. Branches that name themselves as menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments are removed on any page, for a
 host with few pages gives no evidence. If a page has articles (or a main element), only those are read.
-Headings, paragraphs and lists of the article itself are never removed by importance, as several pages
-may carry copies of one text.
+Nothing in an article or a main element is removed by importance, nor a branch that holds over half of
+the page's body text (the text of paragraphs, headings, lists and tables outside links, or where there is
+none all text outside links), as several pages may carry copies of one text.
 
-The statistics are counts per (host, node, hash), summed before they are shuffled, so a host with a third
-of all pages is spread over all tasks; pages themselves are not shuffled while the list of removed nodes
-is short (its length is checked).
+The statistics are shuffled once by host and text of the page (a hot host is spread over all tasks, and
+copies are combined before), then counted per (host, node, hash), summed before they are shuffled; pages
+themselves are not shuffled while the list of removed nodes is short (its length is checked).
 
 Defined results: null or empty html gives an empty text; broken, unclosed or cut markup is read as far
 as it goes; a null url belongs to the empty host; repeated rows give repeated results; texts of any
@@ -165,7 +166,7 @@ def _close(root: Node, node: Node, tags: set[str]) -> Node:
     return node
 
 
-def blocks(node: Node, removed: set[int], inside: bool = False) -> list[str]:
+def blocks(node: Node, removed: set[int]) -> list[str]:
     """Texts of the blocks under node, in page order."""
     out: list[str] = []
     line: list[str] = []
@@ -176,9 +177,9 @@ def blocks(node: Node, removed: set[int], inside: bool = False) -> list[str]:
         if text:
             out.append(text)
 
-    stack = [(node, inside, iter(node.children))]
+    stack = [(node, iter(node.children))]
     while stack:
-        top, within, rest = stack[-1]
+        top, rest = stack[-1]
         for child in rest:
             if isinstance(child, str):
                 line.append(child)
@@ -186,13 +187,13 @@ def blocks(node: Node, removed: set[int], inside: bool = False) -> list[str]:
             if child.tag == "br" or child.tag == "wbr":
                 line.append(" " if child.tag == "br" else "")
                 continue
-            if child.dropped() or (removed and not (within and child.tag in BODY_TEXT) and child.path in removed):
+            if child.dropped() or child.path in removed:
                 if child.tag not in INLINE:
                     end()
                 continue
             if child.tag not in INLINE:
                 end()
-            stack.append((child, within or child.tag in ("article", "main"), iter(child.children)))
+            stack.append((child, iter(child.children)))
             break
         else:
             if top.tag not in INLINE:
@@ -226,14 +227,45 @@ def main_parts(root: Node) -> list[Node]:
     return [root]
 
 
+def body_paths(root: Node) -> set[int]:
+    """Paths of the branches that hold over half of the page's body text."""
+    # lengths of the text in BODY_TEXT elements and of all text, both outside links
+    held: dict[int, list[int]] = {}
+    stack = [(root, False, [0, 0], iter(root.children))]
+    while True:
+        top, told, sums, rest = stack[-1]
+        for child in rest:
+            if isinstance(child, str):
+                n = len("".join(child.split()))
+                sums[0] += n * told
+                sums[1] += n
+            elif child.tag != "a" and not child.dropped():
+                stack.append((child, told or child.tag in BODY_TEXT, [0, 0], iter(child.children)))
+                break
+        else:
+            stack.pop()
+            if not stack:
+                break
+            for into in (stack[-1][2], held.setdefault(top.path, [0, 0])):
+                into[0] += sums[0]
+                into[1] += sums[1]
+    kind = 0 if sums[0] else 1
+    return {p for p, n in held.items() if 2 * n[kind] > sums[kind]}
+
+
 def extract(source: str, removed: set[int]) -> str:
     """The main text of a page; removed: hashes of the paths of its host's low-importance nodes."""
-    parts = main_parts(parse(source)) if source else []
-    return "\n\n".join(b for part in parts for b in blocks(part, removed, part.tag in ("article", "main")))
+    if not source:
+        return ""
+    root = parse(source)
+    parts = main_parts(root)
+    # what lies in an article or a main element stays
+    gone = removed - body_paths(root) if removed and parts == [root] else set()
+    return "\n\n".join(b for part in parts for b in blocks(part, gone))
 
 
-def style_counts(source: str) -> list[tuple[int, bool, int]]:
-    """(path, whether it is a content, hash of the content or presentation) for each node of a page that may be removed."""
+def style_counts(source: str) -> tuple[int, list[tuple[int, int, int]]]:
+    """Hash of the page's text, and (path, hash of its content, hash of its presentation) of each node that may be removed."""
     contents: dict[int, list[str]] = {}
     styles: dict[int, list[str]] = {}
     root = parse(source)
@@ -243,7 +275,7 @@ def style_counts(source: str) -> list[tuple[int, bool, int]]:
         key = node.path
         contents.setdefault(key, []).extend(blocks(node, set()))
         styles.setdefault(key, []).append(",".join(c.tag for c in node.children if not isinstance(c, str)))
-    return [(k, True, _hash("\n".join(v))) for k, v in contents.items()] + [(k, False, _hash(";".join(v))) for k, v in styles.items()]
+    return _hash("\n".join(blocks(root, set()))), [(k, _hash("\n".join(v)), _hash(";".join(styles[k]))) for k, v in sorted(contents.items())]
 
 
 def low_importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -251,17 +283,23 @@ def low_importance(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
+            seen: dict = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for key in style_counts(source.as_py() or ""):
-                    seen[(host, *key)] += 1
+                said, nodes = style_counts(source.as_py() or "")
+                if nodes:
+                    seen[host, said] = min(nodes, seen.get((host, said), nodes))
             if seen:
-                host, node, content, value = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(content, pa.bool_()), pa.array(value, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "node", "content", "value", "n"])
+                host, said = zip(*seen, strict=True)
+                kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("node", "content", "style")]))
+                nodes = pa.array([[dict(zip(("node", "content", "style"), x, strict=True)) for x in v] for v in seen.values()], kind)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(said, pa.int64()), nodes], ["host", "said", "nodes"])
 
     taken = pages.select(F.coalesce(url_host(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))
-    counts = taken.mapInArrow(count, "host string, node long, content boolean, value long, n long")
-    counts = counts.groupBy("host", "node", "content", "value").agg(F.sum("n").alias("n"))
+    # pages of one text count once, whatever their number
+    texts = taken.mapInArrow(count, "host string, said long, nodes array<struct<node: long, content: long, style: long>>").groupBy("host", "said").agg(F.min("nodes").alias("nodes"))
+    nodes = texts.select("host", F.explode("nodes").alias("x"))
+    counts = nodes.select("host", "x.node", F.explode(F.expr("array(struct(true AS content, x.content AS value), struct(false AS content, x.style AS value))")).alias("y"))
+    counts = counts.groupBy("host", "node", "y.content", "y.value").agg(F.count("*").alias("n"))
     n_log = F.sum(F.col("n") * F.log("n"))
     entropy = counts.groupBy("host", "node", "content").agg(F.sum("n").alias("pages"), n_log.alias("n_log"))
     scaled = F.greatest(F.lit(0.0), (F.log("pages") - F.col("n_log") / F.col("pages")) / F.log(F.greatest("pages", F.lit(2))))

@@ -156,6 +156,27 @@ def test_copies_of_an_article_stay(spark):
     assert {r["main"]["text"] for r in out.collect()} == {"H\n\nSame text"}
 
 
+@pytest.mark.parametrize("shape", ["<div class=text>{}</div>", "<article><div class=text>{}</div></article>", "<main><section>{}</section></main>", "<div class=outer><p>Short strap</p><div class=text>{}</div></div>"])
+def test_copies_in_a_div_stay(spark, shape):
+    body = "<h1>Head</h1><p>One text that many pages of this host carry as a copy</p>"
+    other = lambda i: f"<h1>Head {i}</h1><p>Another text, number {i}, which stands on this page alone</p>"
+    # all copies; many copies and some pages of their own; copies told apart by a line beside the body
+    hosts = {"all.org": [(body, "")] * 8, "some.org": [(body, "")] * 90 + [(other(i), "") for i in range(10)], "line.org": [(body, f"<div class=line>Visit {i}</div>") for i in range(90)] + [(other(i), "") for i in range(10)]}
+    rows = [(k, f"http://{h}/{k}", f"<body>{shape.format(b)}{line}</body>", b) for h, v in hosts.items() for k, (b, line) in enumerate(v)]
+    out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, body string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        for piece in re.findall(r"<\w+>([^<]+)</", r["body"]):
+            assert piece in r["main"]["text"], r["url"]
+
+
+def test_repeated_rows_do_not_hide_a_strap(spark):
+    strap = "<div class='strap'>All our shops are open</div>"
+    rows = [(i, f"http://m.org/p{i}", f"<body>{strap}<div class=text><p>Story {i} about {'x' * i}</p></div></body>") for i in range(20) for _ in range(1 + 50 * (i == 3))]
+    out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["main"]["text"] for r in out} == {f"Story {i} about {'x' * i}".strip() for i in range(20)}
+
+
 @pytest.fixture(scope="module")
 def pair():
     from tokenizers import Tokenizer
