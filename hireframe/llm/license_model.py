@@ -120,6 +120,9 @@ TEMPLATES = {
     ],
 }
 
+# What tells families apart whose notices share nearly all words.
+NAMES = {"GPL": r"\bgpl\b|gnu general", "LGPL": r"lgpl|lesser", "AGPL": r"agpl|affero"}
+
 # Prose that holds anchor words but no licence.
 OTHER = [
     "you need a driving {license|licence} to rent a car here",
@@ -156,10 +159,15 @@ def ngrams(words: list[str], anchors: frozenset[str] = frozenset(ANCHORS)) -> se
 
 
 class LicenseModel:
-    """classes, weights (n-gram -> one weight for each class), bias, and word pairs of each family's templates."""
+    """classes, weights (n-gram -> one weight for each class), bias, word pairs of each family's templates, and the words of the longest template."""
+
+    def __init__(self, classes, weights, bias, references, longest):
+        self.classes, self.weights, self.bias, self.references, self.longest = classes, weights, bias, references, longest
 
-    def __init__(self, classes, weights, bias, references):
-        self.classes, self.weights, self.bias, self.references = classes, weights, bias, references
+    def own_pairs(self, family: str) -> set[str]:
+        """Word pairs that stand in templates of this family only (of a family with NAMES those that name it)."""
+        others = {p for name, texts in self.references.items() if name != family for t in texts for p in t}
+        return {p for t in self.references[family] for p in t if p not in others and re.search(NAMES.get(family, ""), p)}
 
 
 @lru_cache(1)
@@ -206,8 +214,9 @@ def trained(most: int = 60, rounds: int = 400, rate: float = 0.5, decay: float =
     scale = float(scales[int(np.argmin(loss))])
     strong = np.flatnonzero(np.abs(w).max(axis=1) > 0.02)
     weights = {names[i]: [float(v) for v in w[i] * scale] for i in strong}
-    references = {}
+    references, longest = {}, 0
     for name in TEMPLATES:
         texts = {tuple(words_of(t)) for template in TEMPLATES[name] for t in expanded(template, 12, draw)}
+        longest = max(longest, *map(len, texts))
         references[name] = [sorted({f"{a} {c}" for a, c in itertools.pairwise(t)}) for t in sorted(texts)]
-    return LicenseModel(classes, weights, [float(v) for v in b * scale], references)
+    return LicenseModel(classes, weights, [float(v) for v in b * scale], references, longest)

@@ -261,3 +261,40 @@ def test_licenses(spark):
             assert brute_license(model, line) == (x["family"], pytest.approx(x["probability"], rel=1e-5))
     assert [x["paragraph"] for x in out[-1]["licenses"]] == [i for i, f in enumerate(LICENSES.values()) if f]
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+ * Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+}
+
+
+def test_wrapped_licenses(spark):
+    prose = "A line of prose about the source of a river and the rights of its owners.\n"
+    texts = [before + notice + after for notice in WRAPPED.values() for before, after in (("", ""), (prose, "\n" + prose), ("Title\n\n", ""))]
+    texts += ["\n".join(notice.split()[i] for i in range(len(notice.split()))) for notice in WRAPPED.values()]  # a word a line
+    texts += [WRAPPED["BSD"].split("\n")[0], "Released under the MIT License and licensed under the Apache License, Version 2.0.", prose * 40]
+    out = [r["licenses"] for r in license_scan.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
+    wanted = [{f} for f in WRAPPED for _ in range(3)] + [{f} for f in WRAPPED] + [{"BSD"}, {"MIT", "Apache-2.0"}, set()]
+    assert [{x["family"] for x in r} for r in out] == wanted
+    for r, text in zip(out, texts, strict=True):
+        assert all(prose.strip() != text.split("\n")[x["paragraph"]] and 0 <= x["probability"] <= 1 for x in r)
