@@ -217,9 +217,11 @@ class Parser:
                 low = int(self.take()[1]) if self.peek()[0] == "number" else 1
                 high = low if self.peek()[0] != "sign" or not self.is_sign("..") else None
                 if self.sign(".."):
-                    high = int(self.take()[1]) if self.peek()[0] == "number" else MAX_STEPS
+                    high = int(self.take()[1]) if self.peek()[0] == "number" else None
                 elif self.all[self.at - 1] == ("sign", "*"):
-                    high = MAX_STEPS
+                    high = None
+                if high is None:
+                    raise CypherError(f"an open number of steps is not known, at most {MAX_STEPS}")
                 out["steps"] = (low, high)
                 if high > MAX_STEPS:
                     raise CypherError(f"at most {MAX_STEPS} steps")
