@@ -145,6 +145,12 @@ def o7(spark, d):
     return C.session_messages(rows, rows.where("thread % 7 = 3").select("thread").distinct())
 
 
+@query("o7_all_messages", f"WITH {CHAT} SELECT * FROM chat")
+def o7_all(spark, d):
+    rows = _chat(spark, d)
+    return C.session_messages(rows, rows.select("thread").distinct())
+
+
 @query("c4_question_budget", f"WITH {CHAT} SELECT thread, seq, {TOKENS.format(STRIP.format('content'))} AS tokens, {TOKENS.format(STRIP.format('content'))} <= 30 AS accepted FROM chat WHERE role = 'user'")
 def c4(spark, d):
     return C.over_budget(_chat(spark, d).where("role = 'user'"), 30).select("thread", "seq", "tokens", "accepted")
