@@ -60,6 +60,8 @@ DROP_NAMES = set(
     "comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social toolbar pagination pager".split()
 )
 COMMENT_NAMES = set("comment comments commentlist disqus respond reply replies discussion".split())
+# Elements of an article that may hold its comments.
+CONTAINERS = set("section ul ol dl table blockquote".split())
 BESIDE = set("has with without no is".split())
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+)")
@@ -78,11 +80,12 @@ def step_hash(above: int, label: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "holds", "role", "hidden", "parent", "children", "path")
+    __slots__ = ("tag", "names", "parts", "classes", "within", "holds", "role", "hidden", "parent", "children", "path")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.parent, self.children = tag, parent, []
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        self.classes = set(found.get("class", "").split())
         self.names = set((found.get("class", "") + " " + found.get("id", "")).split())
         # "nav-bar" names a menu, "has-sidebar" something beside one
         self.parts = {p for n in self.names for k in [re.split("[_-]+", n)] if k[0] not in BESIDE for p in k}
@@ -92,6 +95,7 @@ class Node:
             while up is not None and not up.holds:
                 up.holds, up = True, up.parent
         self.role = found.get("role", "")
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main") or parent.role in ("article", "main"))
         self.hidden = bool(re.search(r"display\s*:\s*none", found.get("style", ""))) or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)", attributes))
         label = tag + "".join("." + x for x in sorted(set(NAMES.findall(found.get("class", "")))))
         self.path = step_hash(parent.path if parent else 0, label)
@@ -99,7 +103,14 @@ class Node:
     def dropped(self) -> bool:
         if self.tag in ("html", "body", "main"):
             return self.hidden
-        if self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES or not DROP_NAMES.isdisjoint(self.names):
+        if self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES:
+            return True
+        if self.within and (self.tag in BODY_TEXT or self.tag == "section"):
+            # ids are made from titles here, "discussion" among them; a container of comments goes all the same
+            told = COMMENT_NAMES - {"discussion"} if self.tag in CONTAINERS else set()
+            parts = {p for n in self.classes for p in re.split("[_-]+", n)}
+            return not DROP_NAMES.isdisjoint(self.classes) or not told.isdisjoint(self.names | parts)
+        if not DROP_NAMES.isdisjoint(self.names):
             return True
         # a part of a name decides only where no article is at stake, but for comments
         told = COMMENT_NAMES if self.holds or self.tag == "article" else DROP_NAMES

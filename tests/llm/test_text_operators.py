@@ -139,6 +139,13 @@ def test_extract(source, wanted):
     assert html_text.extract(source or "", set()) == wanted
 
 
+@pytest.mark.parametrize("part", ['<h2 id="related-work">kept</h2>', '<h2 id="discussion">kept</h2>', '<section id="discussion"><p>kept</p></section>', '<p id="share-prices">kept</p>', '<h3 class="promo-code">kept</h3>'])
+def test_titles_of_an_article_stay(part):
+    for tag in ("article", "main"):
+        page = f"<{tag}>{part}<section id=comments><p>no</p></section><ol class='comment-list'><li>no</ol><div id=share-bar>no</div></{tag}>"
+        assert html_text.extract(page, set()) == "kept"
+
+
 def test_style_tree_drops_what_a_site_repeats(spark):
     page = lambda i, host: f"<html><body><div class='strap'>All our shops are open</div><div class='text'><p>Story {i} about {'x' * i}</p></div></body></html>"
     rows = [(i, f"http://{h}/p{i}", page(i, h)) for h in ("big.org", "small.org") for i in range(20 if h == "big.org" else 3)] + [(99, None, None)]
