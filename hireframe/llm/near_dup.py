@@ -14,10 +14,13 @@
 
 Two texts at the least similarity 0.8 share a band except with probability 3e-6 (24 bands of 4 minima).
 
-Nothing here puts a bucket or a class into one task: counts and minima are summed before the shuffle, and
-joins on hot keys are plain sort-merge joins, whose large partitions Spark splits. Ids and links are never
-collected. The shingle sets are made for the ids in candidate pairs only; these ids are broadcast to the
-scan while there are at most ``BROADCAST_IDS``, else joined by a shuffle.
+Nothing here puts a bucket, a class, a component or a hub of links into one task: counts and minima are
+summed before the shuffle, and every join on a key that can be hot (bucket, head of a bucket, root, class,
+cluster) deals the rows of its hot keys over salts, told by a broadcast list of bounded length. The search
+within a bucket or a cluster goes by blocks of bounded size. Ids and links are never collected. The shingle
+sets are made for the ids in candidate pairs only; these ids are broadcast to the scan while there are at
+most ``BROADCAST_IDS``, else joined by a shuffle. The stars are done when the links are a forest of stars,
+which is tested on the links themselves.
 
 Defined results: null and empty texts, and texts without words, have no shingles and stand alone; with
 fewer words than a shingle has, the whole sequence is the one shingle; rows of one doc_id are one document; a null
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_held, release, ship, table, written
+from .shared import drop_held, hot_keys, release, ship, slices, spread_join, table, written
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 24, 4
@@ -41,6 +44,10 @@ HASHES = BANDS * ROWS
 #: Least number of equal two-bit parts of two signatures: 5.2 standard deviations below what similarity 0.8 gives.
 LEAST_EQUAL = 63
 BROADCAST_IDS = 500_000
+#: Where whole shingle sets are copied for the salts of hot ids, so many copies at most (twice).
+SET_SHARES = 512
+#: Documents of a block in a comparison within a bucket or a cluster, and its shingles.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
 
 _DRAWN = np.random.default_rng(20240229)
 MULTIPLIERS = _DRAWN.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,8 +101,8 @@ def signed_documents(docs: DataFrame, key: str, text: str, width: int) -> DataFr
         drop_held()
         for batch in batches:
             column = batch.column(1)
-            for start in range(0, len(column), 256):
-                sets = [shingle_set(t.as_py() or "", width) for t in column[start : start + 256]]
+            for start, end in slices(column):
+                sets = [shingle_set(t.as_py() or "", width) for t in column[start:end]]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 bands = np.zeros((len(sets), BANDS), np.int64)
                 sketch = np.zeros((len(sets), N_WORDS), np.int64)
@@ -104,7 +111,7 @@ def signed_documents(docs: DataFrame, key: str, text: str, width: int) -> DataFr
                 a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 b = np.array([mixed(s ^ WORD_FACTORS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 bands_list = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + 256], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(a), pa.array(b), bands_list, *(pa.array(sketch[:, k]) for k in range(N_WORDS))], ["doc_id", "n", "set_a", "set_b", "bands", *(f"s{k}" for k in range(N_WORDS))])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:end], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(a), pa.array(b), bands_list, *(pa.array(sketch[:, k]) for k in range(N_WORDS))], ["doc_id", "n", "set_a", "set_b", "bands", *(f"s{k}" for k in range(N_WORDS))])
             release()
 
     taken = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -130,24 +137,28 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, key: str, text: str, width: in
 
     def sets(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, end in slices(batch.column(1)):
+                part = batch.slice(start, end - start)
                 made = [shingle_set(t.as_py() or "", width).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
             release()
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    n_ids = ids.limit(BROADCAST_IDS + 1).count()
+    few = n_ids <= BROADCAST_IDS
     taken = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     taken = taken.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return written(taken.mapInArrow(sets, "id long, shingles array<long>"), "dup-sets").dropDuplicates(["id"])
+    made = written(taken.mapInArrow(sets, "id long, shingles array<long>"), "dup-sets")
+    return made if few and made.count() == n_ids else written(made.dropDuplicates(["id"]), "dup-sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of ids, those whose full shingle sets are similar enough."""
+    """Of the pairs (a, b) of ids, those whose full shingle sets are similar enough; only ``a`` may be hot."""
     pairs = written(pairs, "dup-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dup-ids")
     shingles = shingle_sets(ids, docs, key, text, width)
-    both = pairs.join(prefixed(shingles, "a_"), F.col("a") == F.col("a_id")).join(prefixed(shingles, "b_"), F.col("b") == F.col("b_id"))
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", pairs.count(), SET_SHARES)
+    both = pairs.join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("b_shingles")), "b")
+    both = spread_join(both, shingles.select(F.col("id").alias("a"), F.col("shingles").alias("a_shingles")), ["a"], hot, F.xxhash64("b"))
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     union = F.size("a_shingles") + F.size("b_shingles") - common
     return written(both.where(common * 100 >= union * percent).select("a", "b"), "dup-links")
@@ -183,19 +194,22 @@ def block_links(some: pd.DataFrame, every: pd.DataFrame, percent: int) -> pd.Dat
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-#: Documents of a block in a comparison within a cluster.
-CLUSTER_BLOCK = 1024
+def sized_clusters(members: DataFrame) -> DataFrame:
+    """members (cluster, id, component, n) with the blocks of each cluster and its largest component."""
+    members = written(members, "dup-members")
+    parts = members.groupBy("cluster", "component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.sum("m") / BLOCK_DOCS, F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(parts.groupBy("cluster").agg(F.sum("m").alias("m"), F.max_by("component", "m").alias("largest"), blocks.alias("blocks")), "dup-clusters")
+    hot = hot_keys(sizes, ["cluster"], "m", members.count())
+    return spread_join(members, sizes.drop("m"), ["cluster"], hot, F.xxhash64("id"))
 
 
-def links_in_clusters(clustered: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of different components within clusters; clustered: cluster, id, component, shingles."""
-    parts = clustered.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("m"), F.max_by("component", "n").alias("largest"))
-    total = sizes.agg(F.sum("m")).first()[0] or 0
-    rows = clustered.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("m") / CLUSTER_BLOCK).cast("int"))
+def links_in_clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of different components within clusters; rows: those of sized_clusters with their shingles."""
+    n, shingles = rows.select("n").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # small clusters share groups
-    shared = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // CLUSTER_BLOCK)))
-    rows = rows.withColumn("bin", F.when(F.col("blocks") == 1, -1 - shared).otherwise(F.col("cluster")))
+    bins = max(1, n // BLOCK_DOCS, shingles // BLOCK_SHINGLES)
+    rows = rows.withColumn("bin", F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")))
     own, each = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     held = ["bin", "i", "j", "cluster", "id", "component", "largest", "shingles"]
     some = rows.where("component <> largest").withColumn("i", own).withColumn("j", each).select(*held, F.lit(True).alias("asks"))
@@ -204,29 +218,32 @@ def links_in_clusters(clustered: DataFrame, percent: int) -> DataFrame:
     return grouped.applyInPandas(lambda f: block_links(f[f["asks"]], f[~f["asks"]], percent), "a long, b long")
 
 
+def is_forest(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: each u has one v, and no v is a u."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1").isEmpty()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that it reaches."""
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    def to_least(edges: DataFrame, asking: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+        """The edges that ask, with m, the least that u goes to; and that m of each u."""
+        found = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), label)
+        hot = hot_keys(found, ["u"], "n", edges.count())
+        return spread_join(asking, found.select("u", "m"), ["u"], hot, F.xxhash64("v")), found
 
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, label)
-    before = mark(edges)
-    while True:
+    while not is_forest(edges):
         # large-star: the larger neighbours of u go to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, label)
+        large, _ = to_least(both, both.where("v > u"), F.least(F.first("u"), F.min("v")))
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), label)
         # small-star: u and its smaller neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, label)
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+        small, least = to_least(large, large, F.min("v"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        edges = written(small.distinct(), label)
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("id")))
 
@@ -237,34 +254,47 @@ def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     signed = written(signed_documents(docs, key, text, width), "dup-signed")
     names = ["n", "set_a", "set_b"]
     sketch = [f"s{k}" for k in range(N_WORDS)]
-    classes = signed.where("n > 0").groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in sketch])
+    classes = signed.where("n > 0").groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in sketch])
     classes = written(classes, "dup-classes")
     reps = classes.where("id IS NOT NULL").select("id", "n", *sketch)
 
     # a band hash already tells its band, so equal hashes are one bucket
     banded = classes.where("id IS NOT NULL").select(F.explode("bands").alias("bucket"), "id")
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
-    shared = written(banded.join(buckets, "bucket"), "dup-buckets")
-    star = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(prefixed(reps, "a_"), F.col("a") == F.col("a_id")).join(prefixed(reps, "b_"), F.col("b") == F.col("b_id"))
+    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1"), "dup-heads")
+    hot = hot_keys(buckets, ["bucket"], "size", classes.count() * BANDS)
+    shared = written(spread_join(banded, buckets, ["bucket"], hot, F.xxhash64("id")), "dup-buckets")
+    star = written(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "dup-star")
+    hot = hot_keys(star.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", star.count())
+    star = star.join(prefixed(reps, "b_").withColumnRenamed("b_id", "b"), "b")
+    star = spread_join(star, prefixed(reps, "a_").withColumnRenamed("a_id", "a"), ["a"], hot, F.xxhash64("b"))
     links = confirmed(star.where(plausible("a_", "b_", percent)).select("a", "b"), docs, key, text, width, percent)
     found = written(components(links), "dup-components")
 
     labelled = shared.where("size > 2").join(found, "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("component"))
+    labelled = written(labelled, "dup-labelled")
     inside = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    split = inside.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("largest")).where("parts > 1")
-    rest = written(labelled.where("id <> least").join(split.drop("parts"), "bucket").join(reps, "id"), "dup-rest")
+    split = inside.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("n_in"), F.max_by("component", "n").alias("largest")).where("parts > 1")
+    split = written(split, "dup-split")
+    hot = hot_keys(split, ["bucket"], "size", labelled.count())
+    rest = spread_join(labelled.where("id <> least"), split.drop("parts"), ["bucket"], hot, F.xxhash64("id"))
+    rest = written(rest.join(reps, "id"), "dup-rest")
     outside, largest = rest.where("component <> largest"), rest.where("component = largest")
 
-    def partnered(rows: DataFrame, others: DataFrame) -> DataFrame:
-        test = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_component") != F.col("b_component")) & plausible("a_", "b_", percent)
-        return prefixed(rows, "a_").join(prefixed(others, "b_"), test, "left_semi").select(F.col("a_bucket").alias("bucket"), F.col("a_id").alias("id"), F.col("a_component").alias("component"))
-
-    touched = written(partnered(outside, rest).unionByName(partnered(largest, outside)), "dup-touched")
-    heads = touched.groupBy("bucket").agg(F.min("id").alias("a"))
-    clusters = components(touched.join(heads, "bucket").select("a", F.col("id").alias("b")).distinct(), "dup-clusters")
-    members = clusters.select("id", F.col("component").alias("cluster")).join(touched.select("id", "component").distinct(), "id")
-    members = written(members, "dup-members")
+    def partnered(rows: DataFrame, n_rows: Column, others: DataFrame) -> DataFrame:
+        """The rows with a plausible partner among the others; blocks of a bucket's rows ask by themselves."""
+        blocks = F.greatest(F.lit(1), F.ceil(n_rows / BLOCK_DOCS)).cast("int")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        others = others.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        test = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_block") == F.col("b_block")) & (F.col("a_component") != F.col("b_component")) & plausible("a_", "b_", percent)
+        return prefixed(rows, "a_").join(prefixed(others, "b_"), test, "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in ("bucket", "id", "component", "n")])
+
+    touched = partnered(outside, F.col("size") - F.col("n_in"), rest).unionByName(partnered(largest, F.col("n_in"), outside))
+    touched = written(touched, "dup-touched")
+    heads = written(touched.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")), "dup-heads")
+    hot = hot_keys(heads, ["bucket"], "size", touched.count())
+    edges = spread_join(touched.select("bucket", F.col("id").alias("b")), heads.drop("size"), ["bucket"], hot, F.xxhash64("b")).select("a", "b").distinct()
+    clusters = components(edges, "dup-clusters").withColumnRenamed("component", "cluster")
+    members = written(sized_clusters(clusters.join(touched.select("id", "component", "n").distinct(), "id")), "dup-members")
     shingles = shingle_sets(members.select("id"), docs, key, text, width)
     more = written(links_in_clusters(members.join(shingles, "id"), percent), "dup-more")
     if not more.isEmpty():
@@ -272,9 +302,10 @@ def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
         found = components(stars.unionByName(more))
 
     named = classes.select(*names, "id").join(found, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
+    hot = hot_keys(classes, names, "copies", signed.count())
+    # signed is read from its files, so a row keeps its number when a task is repeated
     return (
-        signed.select("doc_id", *names)
-        .join(named, names, "left")
+        spread_join(signed.select("doc_id", *names), named, names, hot, F.monotonically_increasing_id(), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )

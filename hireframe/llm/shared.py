@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..scratch import written
 from ..shipping import ship
 
-__all__ = ["BLOCK_CHARS", "add_by_block", "drop_held", "hold", "release", "ship", "table", "written"]
+__all__ = ["BLOCK_CHARS", "absent", "add_by_block", "drop_held", "hold", "hot_keys", "release", "ship", "slices", "spread_join", "table", "written"]
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -29,6 +29,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BLOCK_CHARS = 1_000_000
 
 
+def absent(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that df has no column of, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it holds more than 1/HOT_SHARES of the rows, so at most HOT_SHARES keys are.
+HOT_SHARES = 1024
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, shares: int = HOT_SHARES) -> DataFrame:
+    """(keys, _salts) of the ``shares`` most frequent keys of counts (keys, n), all hot ones among them; total: the sum of n.
+
+    A key that is not hot has one salt. The list has a row wherever counts has one, so plans look alike with and without hot keys.
+    """
+    return counts.orderBy(F.desc(n)).limit(shares).select(*keys, F.ceil(F.col(n) * shares / F.lit(max(total, 1))).cast("int").alias("_salts"))
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row for each key; the rows of a hot key are dealt over its salts by the hash ``by``.
+
+    ``hot`` comes from hot_keys and is bounded, so it is broadcast; at most twice its bound in copies of few's rows are made.
+    """
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(by, salts).cast("int")).drop("_salts")
+    right = few.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer uses back to the system, as it lives on for other stages."""
     pa.default_memory_pool().release_unused()
@@ -50,6 +85,19 @@ def drop_held(but: str | None = None) -> None:
         _HELD.pop(name)()
 
 
+def slices(column: pa.Array, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of a text column of at most so many bytes; a longer text makes a range of its own."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = 0
+    while start < len(lengths):
+        end, held = start, 0
+        while end < len(lengths) and (end == start or held + lengths[end] <= block_chars):
+            held += lengths[end]
+            end += 1
+        yield start, end
+        start = end
+
+
 def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callable[[list[str]], list], block_chars: int = BLOCK_CHARS, holds: str | None = None) -> DataFrame:
     """df with a struct column ``into`` of the given schema, made from the column ``text`` block by block.
 
@@ -67,18 +115,11 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
         drop_held(holds)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-            start = 0
-            while start < len(lengths):
-                end, held = start, 0
-                while end < len(lengths) and (end == start or held + lengths[end] <= block_chars):
-                    held += lengths[end]
-                    end += 1
+            for start, end in slices(column, block_chars):
                 texts = ["" if t is None else t for t in column.slice(start, end - start).to_pylist()]
                 made = [pa.array(c, t, from_pandas=True) for c, t in zip(judge(texts), types, strict=True)]
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*part.schema.names, into])
-                start = end
             release()
 
     return kept.mapInArrow(blocks, T.StructType([*kept.schema.fields, T.StructField(into, struct)]))

@@ -268,3 +268,41 @@ def test_catalogue():
     names = catalogue.queries()
     assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
     assert set(catalogue.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_equal_an_exact_join(spark):
+    """All documents of sf0.01 against an exact join over an inverted list."""
+    d = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], set(near_dup.shingle_set(r["text"] or "", 4).tolist())) for r in df.collect()]
+    lists: dict = {}
+    for k, (_, s) in enumerate(rows):
+        for x in s:
+            lists.setdefault(x, []).append(k)
+    group = {i: i for i, _ in rows}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for k, (i, s) in enumerate(rows):
+        for other, common in Counter(j for x in s for j in lists[x] if j < k).items():
+            j, t = rows[other]
+            if 100 * common >= 80 * (len(s) + len(t) - common):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.group_near_duplicates(df).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in rows}
+
+
+def test_hot_keys_are_dealt_over_salts(spark):
+    from hireframe.llm.shared import hot_keys, spread_join
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, ["k"], "n", 5000, shares=64)
+    assert hot.count() == 64 and {r["k"] for r in hot.where("_salts > 1").collect()} == {7}
+    out = spread_join(rows, counts, ["k"], hot, F.xxhash64("v"))
+    assert out.count() == 5000 and out.where("k = 7 AND n <> 3333").isEmpty()
+    assert hot_keys(counts.limit(0), ["k"], "n", 0).count() == 0
