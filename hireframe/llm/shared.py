@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..scratch import written
 from ..shipping import ship
 
-__all__ = ["BLOCK_CHARS", "absent", "add_by_block", "drop_held", "hold", "hot_keys", "release", "ship", "slices", "spread_join", "table", "written"]
+__all__ = ["BLOCK_CHARS", "absent", "add_by_block", "columns", "drop_held", "hold", "hot_keys", "release", "ship", "slices", "spread_join", "table", "written"]
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -41,6 +41,11 @@ def absent(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, dots and back-ticks in their names or not."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 #: A key is hot if it holds more than 1/HOT_SHARES of the rows, so at most HOT_SHARES keys are.
 HOT_SHARES = 1024
 
@@ -106,7 +111,7 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
     replaced. holds: the name of the tables that judge keeps in a worker between tasks.
     """
     ship(df.sparkSession)
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()])
+    kept = df.select(*[c for c, name in zip(columns(df), df.columns, strict=True) if name.lower() != into.lower()])
     struct = T._parse_datatype_string(schema)
     types = [to_arrow_type(f.dataType) for f in struct.fields]
     names = struct.fieldNames()

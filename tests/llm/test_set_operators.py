@@ -264,6 +264,21 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), d).count() == 0
 
 
+def test_pipeline_with_clashing_columns(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    names = ["_gone", "_quality", "_toxicity", "_text", "_salt", "_salts", "a.b", "b`c", "id", "n", "bucket", "component_id", "kept", "toxicity"]
+    more = docs.select("*", *[F.col("doc_id").cast("string").alias(n) for n in names]).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, more, d)
+        assert out.columns == more.columns, name
+        rows = [r.asDict() for r in out.collect()]
+        assert rows and all({r[n] for n in names} == {None if r["doc_id"] is None else str(r["doc_id"])} for r in rows), name
+        plain = sorted(r["doc_id"] for r in stage(spark, docs, d).collect()) if name != "near_duplicates" else None
+        assert plain in (None, sorted(r["doc_id"] for r in rows if r["doc_id"] is not None))
+    assert corpus_pipeline.packing(spark, more, d).columns[0] == "doc_id"
+
+
 def test_catalogue():
     names = catalogue.queries()
     assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
