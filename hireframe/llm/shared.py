@@ -112,6 +112,8 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
     """
     ship(df.sparkSession)
     kept = df.select(*[c for c, name in zip(columns(df), df.columns, strict=True) if name.lower() != into.lower()])
+    at, plain = kept.columns.index(text), [f"c{k}" for k in range(len(kept.columns))]  # Spark hands columns over by plain names only
+    numbered = kept.toDF(*plain)
     struct = T._parse_datatype_string(schema)
     types = [to_arrow_type(f.dataType) for f in struct.fields]
     names = struct.fieldNames()
@@ -119,12 +121,12 @@ def add_by_block(df: DataFrame, text: str, into: str, schema: str, judge: Callab
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_held(holds)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(at)
             for start, end in slices(column, block_chars):
                 texts = ["" if t is None else t for t in column.slice(start, end - start).to_pylist()]
                 made = [pa.array(c, t, from_pandas=True) for c, t in zip(judge(texts), types, strict=True)]
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*part.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*plain, "made"])
             release()
 
-    return kept.mapInArrow(blocks, T.StructType([*kept.schema.fields, T.StructField(into, struct)]))
+    return numbered.mapInArrow(blocks, T.StructType([*numbered.schema.fields, T.StructField("made", struct)])).toDF(*kept.columns, into)

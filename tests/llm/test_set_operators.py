@@ -268,7 +268,7 @@ def test_pipeline_with_clashing_columns(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     names = ["_gone", "_quality", "_toxicity", "_text", "_salt", "_salts", "a.b", "b`c", "id", "n", "bucket", "component_id", "kept", "toxicity"]
-    more = docs.select("*", *[F.col("doc_id").cast("string").alias(n) for n in names]).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    more = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).select("*", *[F.col("doc_id").cast("string").alias(n) for n in names])
     for name, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, more, d)
         assert out.columns == more.columns, name
