@@ -5,13 +5,17 @@ high bits of its value as bitmaps over the block's rows (the slices); the score
 its weights times the components, and is formed for all rows of the block, and all queries of a block of
 queries, by adding slices with bitmap arithmetic. The k-th best of these coarse scores is found from the
 most significant slice of the sum downward. The low bits left out bound the error of a coarse score, so
-the rows within that bound of the k-th are the boundary rows: they are scored exactly, and the best k of
-each block go on to one ranking per query. Nothing is approximate.
+the rows within that bound of the k-th are the boundary rows: they are scored exactly. A task takes a group
+of blocks against a block of queries, keeps the best k of each query from block to block, and only these go
+on to one ranking per query. Nothing is approximate.
 
-Defined results: vectors that are null, or hold a null or non-finite component, or are empty, take no part; neither do a
-null vec_id and components of 2**28 / 1024 or more, whose products do not fit 64 bits. A query meets the
-candidates of its own length only, never rows with its own vec_id. Repeated query rows count once. An
-empty table gives an empty result. Fewer candidates than k: all of them.
+Vectors with a component of 2**28 or more (after scaling) stand outside the index: their scores are computed
+directly, in 64 bits where a bound on them allows it, else in integers of any length, and ranked as such.
+
+Defined results: vectors that are null, or hold a null or non-finite component, or are empty, take no part; neither
+does a null vec_id. A query meets the candidates of its own length only, never rows with its own vec_id.
+Repeated query rows (equal ids and integers) count once. A score beyond 64 bits is ranked exactly and shown as the
+nearest long. An empty table gives an empty result. Fewer candidates than k: all of them.
 """
 
 from __future__ import annotations
@@ -24,8 +28,13 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 SCALE, K = 1024, 10
-#: Rows of a candidate block (at most) and of a query block; low bits left out of the slices.
+#: Rows of a candidate block and of a query block (at most); low bits left out of the slices.
 BLOCK, QUERY_BLOCK, DROP_BITS = 4096, 1024, 3
+#: Candidates and queries that a task takes (at most).
+TASK_ROWS, TASK_QUERIES = 65_536, 4096
+#: Least size of a component (scaled) that the slices don't take.
+LARGE = 1 << 28
+LONG = (1 << 63) - 1
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,44 +120,99 @@ class BitSlicedIndex:
         return found
 
 
-def _integers(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+def integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) of finite doubles: 64-bit integers if all are below 2**62, else integers of any length."""
+    if not len(vectors) or np.abs(vectors).max(initial=0) < 2.0**52:
+        return np.floor(vectors * SCALE).astype(np.int64)
+    # from 2**52 on a double is a whole number
+    return np.array([[int(x) * SCALE if abs(x) >= 2.0**52 else int(np.floor(x * SCALE)) for x in row] for row in vectors.tolist()], object)
+
+
+def direct_scores(queries: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """All inner products (queries, rows) of doubles' integers."""
+    bound = SCALE * SCALE * (np.abs(queries).sum(axis=1).max(initial=0) + queries.shape[1]) * (np.abs(values).max(initial=0) + 1.0)
+    if bound < 2.0**62:
+        return integers(queries) @ integers(values).T
+    return integers(queries).astype(object) @ integers(values).astype(object).T
+
+
+def sortable(n: int) -> bytes:
+    """Bytes that compare like the integers they come from."""
+    size = (abs(n).bit_length() + 7) // 8
+    body = size.to_bytes(4, "big") + abs(n).to_bytes(size, "big")
+    return b"\x01" + body if n >= 0 else b"\x00" + bytes(255 - x for x in body)
+
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """For each query the best k (score, id) among the candidates of other ids; all vectors are of one length."""
+    kept: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+
+    def add(at: int, scores, names) -> None:
+        kept[at] = sorted([*kept[at], *zip(scores, names, strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+
+    with np.errstate(over="ignore"):
+        plain, plain_q = (np.abs(x * SCALE).max(axis=1, initial=0) < LARGE for x in (vectors, queries))
+    small = np.flatnonzero(plain)
+    for start in range(0, len(small), BLOCK):
+        block = small[start : start + BLOCK]
+        index, names = BitSlicedIndex(integers(vectors[block])), ids[block]
+        for first in range(0, len(q_ids), QUERY_BLOCK):
+            asking = first + np.flatnonzero(plain_q[first : first + QUERY_BLOCK])
+            if not len(asking):
+                continue
+            weights = integers(queries[asking])
+            for q, (at, score) in zip(asking, index.top(weights, q_ids[asking, None] != names[None, :], k), strict=True):
+                top = np.lexsort((names[at], -score))[:k]
+                add(q, score[top].tolist(), names[at][top].tolist())
+    for rows, asking in ((np.flatnonzero(~plain), np.arange(len(q_ids))), (small, np.flatnonzero(~plain_q))):
+        for start in range(0, len(rows), BLOCK):
+            block = rows[start : start + BLOCK]
+            for first in range(0, len(asking), 64):
+                some = asking[first : first + 64]
+                for q, score in zip(some, direct_scores(queries[some], vectors[block]), strict=True):
+                    other = ids[block] != q_ids[q]
+                    add(q, score[other].tolist(), ids[block][other].tolist())
+    return kept
 
 
 def top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank, key and score of the k best rows for each row of vectors that meets ``queries``."""
-    whole = F.forall(f"`{vector}`", lambda x: F.coalesce(F.abs(x.cast("double") * SCALE) < float(1 << 28), F.lit(False)))
+    whole = F.forall(f"`{vector}`", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    kind = vectors.select(F.col(f"`{vector}`").alias("v")).schema["v"].dataType
+    moved = F.col(f"`{vector}`").cast("array<float>" if kind.simpleString() == "array<float>" else "array<double>")
     rows = (
-        vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & whole)
-        .select(F.col(key).alias("_id"), _integers(F.col(vector)).alias("_v"), queries.alias("_q"))
+        vectors.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{vector}`").isNotNull() & (F.size(f"`{vector}`") > 0) & whole)
+        .select(F.col(f"`{key}`").cast("long").alias("_id"), moved.alias("_v"), queries.alias("_q"))
         .withColumn("_dim", F.size("_v"))
     )
     rows = written(rows, "topk-vectors")
-    asked = rows.where("_q").select("_id", "_v", "_dim").distinct().withColumn("_same", F.xxhash64("_v"))
+    # what the integers of a vector are told by
+    told = F.transform("_v", lambda x: F.struct(F.floor(x.cast("double") * SCALE).alias("n"), F.when(F.abs(x) >= 2.0**40, x).alias("x")))
+    asked = rows.where("_q").select("_id", "_v", "_dim", told.alias("_told")).dropDuplicates(["_id", "_told"]).withColumn("_same", F.xxhash64("_told")).drop("_told")
+    asked = written(asked, "topk-queries")
     n, n_asked = rows.count(), asked.count()
-    blocks = max(1, -(-n // max(256, min(BLOCK, n // 64))))
-    query_blocks = max(1, -(-n_asked // QUERY_BLOCK))
-    spread = lambda c, m: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(m)).cast("int")
+    groups = max(1, -(-n // max(256, min(TASK_ROWS, n // 64))))
+    query_groups = max(1, -(-n_asked // TASK_QUERIES))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    # repeated ids of one vector are spread, too
-    left = rows.drop("_q").withColumn("_c", F.pmod(F.xxhash64("_id", "_v"), F.lit(blocks)).cast("int")).withColumn("_b", each(query_blocks))
-    right = asked.withColumn("_b", spread("_id", query_blocks)).withColumn("_c", each(blocks))
+    # repeated ids of one vector are spread, too; rows are read from their files, so each keeps its number
+    left = rows.drop("_q").withColumn("_c", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")).withColumn("_b", each(query_groups))
+    right = asked.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(query_groups)).cast("int")).withColumn("_c", each(groups))
     by = ["_dim", "_c", "_b"]
 
     def best(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or asking.empty:
-            return pd.DataFrame({"query_id": [], "_same": [], "_id": [], "score": []}).astype("int64")
-        ids, values = block["_id"].to_numpy(np.int64), np.stack(block["_v"].to_numpy()).astype(np.int64)
-        q_ids, weights = asking["_id"].to_numpy(np.int64), np.stack(asking["_v"].to_numpy()).astype(np.int64)
-        found = BitSlicedIndex(values).top(weights, q_ids[:, None] != ids[None, :], k)
         out = []
-        for q, same, (at, score) in zip(q_ids, asking["_same"], found, strict=True):
-            first = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": q, "_same": same, "_id": ids[at][first], "score": score[first]}))
-        return pd.concat(out, ignore_index=True).astype("int64")
-
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "query_id long, _same long, _id long, score long")
-    order = Window.partitionBy("query_id", "_same").orderBy(F.desc("score"), "_id")
+        if len(block) and len(asking):
+            doubles = lambda f: np.stack(f["_v"].to_numpy()).astype(np.float64)
+            q_ids = asking["_id"].to_numpy(np.int64)
+            found = best_of(block["_id"].to_numpy(np.int64), doubles(block), q_ids, doubles(asking), k)
+            for q, same, rows in zip(q_ids.tolist(), asking["_same"].tolist(), found, strict=True):
+                for score, name in rows:
+                    far = 0 if abs(score) <= LONG else 1 if score > 0 else -1
+                    out.append((q, same, name, max(-LONG, min(LONG, score)), far, sortable(score) if far else None))
+        return pd.DataFrame(out, columns=["query_id", "_same", "_id", "score", "_far", "_wide"]).astype({c: "int64" for c in ("query_id", "_same", "_id", "score")} | {"_far": "int32", "_wide": "object"})
+
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "query_id long, _same long, _id long, score long, _far int, _wide binary")
+    order = Window.partitionBy("query_id", "_same").orderBy(F.desc("_far"), F.desc("_wide"), F.desc("score"), "_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(key), "score")
 
 

@@ -222,13 +222,16 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
     rows += [(400 + i, rows[7][1]) for i in range(30)]  # ties
     rows += [(1000, None), (1001, []), (1002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1100, [float("nan")] * 6), (1200, [float("inf")] * 6), (None, [1.0] * 6), (1300, [1.0, 2.0]), (1301, [3.0, 4.0]), (100, rows[100][1])]
+    # components that the slices don't take, some with scores beyond 64 bits
+    rows += [(2000 + i, [float(x) for x in rng.normal(size=6) * 10.0**e]) for i, e in enumerate([5, 6, 6, 7, 9, 17, 40, 300, 308])] + [(2100, [-3e5] * 6), (2100, [-3e5] * 6), (2100, [4e5] + [0.0] * 5), (2200, [1e25] * 6), (2300, [300000.0, 1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
-    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    floor = lambda x: int(x) * 1024 if abs(x) >= 2**52 else int(np.floor(1024 * x))
+    whole = [(i, [floor(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     wanted = set()
     for q, v in whole:
         if q % 100 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))
-            wanted |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:10])}
+            wanted |= {(q, r + 1, i, max(-topk.LONG, min(topk.LONG, -s))) for r, (s, i) in enumerate(scores[:10])}
     assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()} == wanted
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
