@@ -8,7 +8,8 @@ the intervals of a host are nested or disjoint. Rule bounds and urls are sorted
 rules, and the rule last opened at that depth is its top.
 
 Skew: a host may hold most urls (all of ``com``). Hosts above 1/512 of the asked keys (at most 512 of
-them, whatever the input) are split into salts, and their rules repeated for each salt.
+them, whatever the input) are split into salts, and their rules repeated for each salt. A salt depends on the
+row and on the partition that read it, so rows that are equal are split as well.
 
 Defined results: null url or no ``://`` gives empty host and path and the default verdict; repeated rows
 stay; of rules with the same host and path, ``block`` wins; an empty rule table leaves every url to the
@@ -101,7 +102,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     )
     points = salted(asked).select(
         "rhost",
-        F.pmod(F.xxhash64("_id", "host", "path"), F.col("salts")).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("_id", "host", "path", F.spark_partition_id()), F.col("salts")).cast("int").alias("salt"),
         F.col("path").cast("binary").alias("at"),
         F.lit(1).alias("kind"),
         F.lit(0).alias("step"),
