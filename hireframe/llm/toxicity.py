@@ -2,15 +2,16 @@
 
 Folding: lower case, compatibility forms and accents away, homoglyphs of other scripts and digits or signs
 that stand for letters to those letters. The lexicon holds word beginnings and whole words with the log
-ratio of their document frequencies under the two labels; entries that extend another but are not toxic
-themselves are exception phrases, which take a match away. Of the entries that match at one word the
-longest counts. A text's sums, in which the n-th use of
+ratio of their document frequencies under the two labels. Of the entries that match at one word the longest
+counts. Exceptions take a match away: words that extend an entry but are not toxic themselves, and phrases of
+two or three words around a match that clean documents use. A text's sums, in which the n-th use of
 an entry weighs 1/n, are normalised by its length, and a logistic curve fitted on the same
 labelled sample turns them into a score.
 
 Training reads a bounded sample, which is a documented parameter: the ``SAMPLE`` labelled documents whose
-id hashes lowest (all, if fewer). Pattern counts are made in a distributed way; the driver gets at most
-``LEXICON`` entries and one row of three numbers per sampled document. Scoring covers every whole text.
+id hashes lowest (all, if fewer). Pattern counts are made in a distributed way; the driver gets the entries and
+exceptions, all of them, which the sample alone bounds (each stands in at least ``MIN_DOCUMENTS`` of its
+documents), and one row of three numbers per sampled document. Scoring covers every whole text.
 
 Defined results: a null or empty text scores the curve's value for no match; a null doc_id is never used
 for training; repeated rows score alike; without labels of both kinds every score is 0; an empty table
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import add_by_block, table
 
-SAMPLE, LEXICON = 6000, 4000
+SAMPLE = 6000
 #: Lengths of word beginnings; least documents with label 1; least log ratio of an entry, and below which an extension is an exception.
 PREFIXES, MIN_DOCUMENTS, MIN_RATIO, EXCEPTION_RATIO = range(3, 11), 4, 2.5, 0.5
 THRESHOLD = 0.3
@@ -58,31 +59,66 @@ def patterns(folded: str) -> set[str]:
 
 
 class Lexicon:
-    """Entries with weights; weight 0 marks an exception."""
+    """Entries with weights; weight 0 marks an exception, one of several words a phrase."""
 
     def __init__(self, entries: dict[str, float]):
         self.entries = entries
         self.automaton = ahocorasick.Automaton()
         for text, weight in entries.items():
-            self.automaton.add_word(text, (len(text), weight))
+            self.automaton.add_word(text, (len(text), weight, " " in text[1:-1]))
         if entries:
             self.automaton.make_automaton()
 
+    def matches(self, folded: str) -> dict[int, tuple[int, float]]:
+        """(size, weight) of the longest entry at each place where one starts, but where an exception phrase covers it."""
+        found: dict[int, tuple[int, float]] = {}
+        if not self.entries:
+            return found
+        covered: set[int] = set()
+        for end, (size, weight, phrase) in self.automaton.iter(folded):
+            start = end - size + 1
+            if phrase:
+                covered.update(at for at in range(start, end) if folded[at] == " ")
+            elif size > found.get(start, (0, 0.0))[0]:
+                found[start] = (size, weight)
+        return {at: x for at, x in found.items() if x[1] and at not in covered}
+
     def features(self, text: str) -> tuple[float, float]:
         """log(1 + sum of weights), and the sum for each hundred words, below 100 words as if there were 100."""
         folded = fold(text)
-        total, found = 0.0, {}
-        if self.entries:
-            for end, (size, weight) in self.automaton.iter(folded):
-                start = end - size + 1
-                if size > found.get(start, (0, 0.0))[0]:
-                    found[start] = (size, weight)
-            # a word that is repeated on end weighs little more than once
-            times = Counter((folded[at : at + size], w) for at, (size, w) in found.items())
-            total = sum(w * (1 + math.log(n)) for (_, w), n in times.items())
+        # a word that is repeated on end weighs little more than once
+        times = Counter((folded[at : at + size], w) for at, (size, w) in self.matches(folded).items())
+        total = sum(w * (1 + math.log(n)) for (_, w), n in times.items())
         n = folded.count(" ") - 1
         return math.log1p(total), 100 * total / max(n, 100)
 
+    def phrases(self, folded: str) -> set[str]:
+        """The two or three words around each match, between spaces."""
+        out = set()
+        for at in self.matches(folded):
+            end = folded.index(" ", at + 1)
+            before = folded.rfind(" ", 0, at) if at else -1
+            after = folded.find(" ", end + 1)
+            out |= {folded[i : j + 1] for i, j in ((before, end), (at, after), (before, after)) if i >= 0 and j >= 0}
+        return out
+
+
+class PhraseFinder:
+    """Lexicon.phrases as a function that can be sent to the workers."""
+
+    def __init__(self, entries: dict[str, float]):
+        self.entries, self._lexicon = entries, None
+
+    def __getstate__(self):
+        return self.entries
+
+    def __setstate__(self, state):
+        self.__init__(state)
+
+    def __call__(self, folded: str) -> set[str]:
+        self._lexicon = self._lexicon or Lexicon(self.entries)
+        return self._lexicon.phrases(folded)
+
 
 class ToxicityModel:
     def __init__(self, entries: dict[str, float], curve: list[float]):
@@ -141,25 +177,34 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
         rows.unpersist()
         return ToxicityModel({}, [])
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for frame in frames:
-            for body, kind in zip(frame["text"], frame["label"], strict=True):
-                seen[int(kind)].update(patterns(fold(body or "")))
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"pattern": names, "toxic": [seen[1][x] for x in names], "clean": [seen[0][x] for x in names]})
-
-    counts = rows.mapInPandas(count, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    counts = counts.withColumn("ratio", ratio).cache()
-    entries = counts.where((F.col("ratio") >= MIN_RATIO) & (F.col("toxic") >= MIN_DOCUMENTS)).orderBy(F.desc("ratio"), "pattern").limit(LEXICON).toPandas()
+    def counted(patterns_of) -> DataFrame:
+        """(pattern, toxic, clean, ratio): documents of the sample with a pattern, and the log ratio of their shares."""
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for frame in frames:
+                for body, kind in zip(frame["text"], frame["label"], strict=True):
+                    seen[int(kind)].update(patterns_of(fold(body or "")))
+            names = list(seen[0].keys() | seen[1].keys())
+            yield pd.DataFrame({"pattern": names, "toxic": [seen[1][x] for x in names], "clean": [seen[0][x] for x in names]})
+
+        counts = rows.mapInPandas(count, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return counts.withColumn("ratio", F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1)))
+
+    counts = counted(patterns).cache()
+    entries = counts.where((F.col("ratio") >= MIN_RATIO) & (F.col("toxic") >= MIN_DOCUMENTS)).orderBy("pattern").toPandas()
     # exceptions: frequent extensions of an entry that speak for label 0
     heads = spark.createDataFrame([(p,) for p in entries["pattern"] if not p.endswith(" ")] or [("",)], "head string")
     heads_of = F.transform(F.sequence(F.lit(PREFIXES[0] + 1), F.greatest(F.length("pattern") - 1, F.lit(PREFIXES[0] + 1))), lambda k: F.substring("pattern", F.lit(1), k))
-    extending = counts.where((F.col("ratio") < EXCEPTION_RATIO) & (F.col("clean") >= MIN_DOCUMENTS)).withColumn("head", F.explode(heads_of)).join(F.broadcast(heads), "head", "left_semi")
-    extending = extending.where(F.length("head") < F.length("pattern")).select("pattern", "toxic", "clean", "ratio").distinct().orderBy(F.desc("clean"), "pattern").limit(LEXICON).toPandas()
+    mild = (F.col("ratio") < EXCEPTION_RATIO) & (F.col("clean") >= MIN_DOCUMENTS)
+    extending = counts.where(mild).withColumn("head", F.explode(heads_of)).join(F.broadcast(heads), "head", "left_semi")
+    extending = extending.where(F.length("head") < F.length("pattern")).select("pattern", "toxic", "clean", "ratio").distinct().toPandas()
     lexicon = choose_entries(pd.concat([entries, extending], ignore_index=True), n_toxic, n_clean)
     counts.unpersist()
+    # exception phrases: words around what still matches, as clean documents put them
+    if lexicon:
+        said = counted(PhraseFinder(lexicon)).where(mild).select("pattern").orderBy("pattern").toPandas()
+        lexicon |= dict.fromkeys(said["pattern"], 0.0)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Lexicon(lexicon)
@@ -174,7 +219,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct (score, predicted); all other columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training sample
 
     def judge(texts: list[str]) -> list:
         scores = [shared.value.score(t) for t in texts]

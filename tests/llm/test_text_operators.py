@@ -101,6 +101,48 @@ def test_toxicity(spark):
     assert "quality" in out.columns
 
 
+def plain_score(model, text):
+    """The score, word by word and entry by entry."""
+    words = toxicity.fold(text).split()
+    total, times = 0.0, {}
+    phrases = [e.split() for e in model.entries if " " in e[1:-1]]
+    entries = {e: w for e, w in model.entries.items() if " " not in e[1:-1]}
+    for i, word in enumerate(words):
+        fits = [e for e in entries if f" {word} ".startswith(e)]
+        best = max(fits, key=len, default=None)
+        covered = any(words[k : k + len(p)] == p for p in phrases for k in range(max(0, i - len(p) + 1), i + 1))
+        if best is not None and entries[best] and not covered:
+            times[best] = times.get(best, 0) + 1
+    total = sum(entries[e] * (1 + np.log(n)) for e, n in times.items())
+    x = model.curve[0] + model.curve[1] * np.log1p(total) + model.curve[2] * 100 * total / max(len(words), 100)
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def test_toxicity_exception_phrases(spark):
+    """A word that marks label 1 but stands in a phrase that clean documents use."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeghlmnoprt") for _ in range(rng.randint(3, 7)))
+    rows = []
+    for i in range(600):
+        said = [word() for _ in range(40)]
+        if i % 4 == 0:
+            said[7], said[20] = "vilescum", rng.choice(["nastyrat", "vilescum"])
+        elif i % 40 == 1:
+            said[5:7] = ["garden", "vilescum"]
+        elif i % 40 == 2:
+            said[5:8] = ["old", "nastyrat", "hole"]
+        rows.append((i, " ".join(said), int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    phrases = {e for e, w in model.entries.items() if " " in e[1:-1]}
+    assert " garden vilescum " in phrases and all(model.entries[p] == 0 for p in phrases)
+    clean = "plain words about trees in the morning light of a quiet town"
+    assert model.score(f"{clean} garden vilescum") < 0.3 < model.score(f"{clean} vilescum")
+    assert model.score(f"{clean} Garden v1lescum") < 0.3 < model.score(f"{clean} garden vilescum vilescum nastyrat")
+    texts = [t for _, t, _ in rows[:200]] + [*filter(None, ODD), "garden vilescum garden", "vilescum vilescumbag", "old nastyrat hole vilescum", "nastyrat " * 9]
+    for text in texts:
+        assert model.score(text) == pytest.approx(plain_score(model, text), abs=1e-12)
+
+
 def test_toxicity_without_both_labels(spark):
     one = labelled(spark).where("toxic = 0")
     assert toxicity.train(one).score("vilescum") == 0.0
