@@ -198,7 +198,7 @@ def test_packing(spark):
 
 
 def test_sum_of_squares_rule():
-    packer = packing.SquarePacker(10, lambda pieces: None, max_open=1000)
+    packer = packing.SquarePacker(10, lambda pieces: None)
     rng = random.Random(8)
     for k in range(300):
         size = rng.randint(1, 9)
@@ -217,6 +217,21 @@ def test_sum_of_squares_rule():
         packer.place((k, 0, np.zeros(size, "<u4"), size))
 
 
+def test_windows_stay_open_until_the_end():
+    """Documents that don't go together are cut only when all have been placed."""
+    closed = []
+    packer = packing.SquarePacker(64, closed.append)
+    for k in range(2000):
+        packer.place((k, 0, np.zeros(40, "<u4"), 40))
+    assert packer.n_open == 2000 and not closed
+    packer.empty()
+    sizes = [sum(len(x[2]) for x in pieces) for pieces in closed]
+    assert sum(sizes) == 80_000 and set(sizes) == {64} and packer.n_open == 0
+    packer.place((0, 0, np.zeros(40, "<u4"), 40))
+    packer.place((1, 0, np.zeros(24, "<u4"), 24))
+    assert [x[0] for x in closed[-1]] == [0, 1] and packer.n_open == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
