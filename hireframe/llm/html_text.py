@@ -1,19 +1,27 @@
 """Main text of web pages by a site style tree.
 
-The element trees of a host's pages are merged: a node of the style tree is a path of elements (tag and
-class names). For each node the pages' presentations (the tags of its children) and contents (its text)
-are counted over the host's pages, of pages with one text only one, and its importance is the entropy of contents and presentations, scaled
-to 0..1 by the number of pages that have the node. A branch that reads the same on nearly every page has
-an importance near 0 and is removed from each page. Branches that name themselves as menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments are removed on any page, for a
-host with few pages gives no evidence. If a page has articles (or a main element), only those are read.
-Nothing in an article or a main element is removed by importance, nor a branch that holds over half of
-the page's body text (the text of paragraphs, headings, lists and tables outside links, or where there is
-none all text outside links), as several pages may carry copies of one text.
-
-The statistics are shuffled once by host and text of the page (a hot host is spread over all tasks, and
-copies are combined before), then counted per (host, node, hash), summed before they are shuffled; pages
-themselves are not shuffled while the list of removed nodes is short (its length is checked).
+The element trees of a host's pages are merged: a node of the style tree is a path of elements (tag and class
+names, and whether the markup speaks against it). For each node the presentations (the tags of its children)
+and the contents (its text outside links) are counted over the host's pages, pages of one text only once. The
+importance of a node is the entropy of its contents and presentations, scaled to 0..1 by the number of pages
+that have it: a branch that reads the same on nearly every page has an importance near 0, and so has a menu,
+whose text is all links. Where the markup speaks against a branch (tags and names of menus, headers, footers,
+sidebars, notices, adverts, forms or comments; or it stands beside the page's articles or main element) its
+importance is a tenth of that, for entropy cannot tell an advert or a comment that differs from page to page
+from an article. Of a node that fewer than ``MIN_PAGES`` pages have, only the markup tells. Branches of low
+importance are removed from each page of the host, those within articles too.
+
+Not removed for its entropy: a branch that holds over half of the page's body text (the text of paragraphs,
+headings, lists and tables outside links, or where there is none all text outside links), as several pages may
+carry copies of one text; paragraphs, headings, lists and tables themselves; what contains an article.
+
+A host with fewer than ``MIN_PAGES`` different pages has no style tree: there the markup alone decides.
+Scripts, styles, controls and hidden elements are never text.
+
+The statistics are shuffled once by host and text of the page (a hot host is spread over all tasks, and copies
+are combined before), then counted per (node, hash), summed before they are shuffled. The removed nodes reach
+the pages as one sorted array of hashes, eight bytes each, broadcast while there are at most
+``BROADCAST_NODES``; beyond, pages and the lists of their hosts are joined, hot hosts dealt over salts.
 
 Defined results: null or empty html gives an empty text; broken, unclosed or cut markup is read as far
 as it goes; a null url belongs to the empty host; repeated rows give repeated results; texts of any
@@ -23,24 +31,25 @@ length are read whole.
 from __future__ import annotations
 
 import html as entities
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import add_by_block, table, written
+from .shared import absent, add_by_block, columns, hot_keys, slices, spread_join, table, written
 from .url_filter import url_host
 
 #: A node is judged by entropy if so many pages of the host have it, and removed below this importance.
 MIN_PAGES, MIN_IMPORTANCE, CONTENT_SHARE = 8, 0.15, 0.9
-#: So many removed nodes at most are broadcast (some 20 bytes each).
-BROADCAST_NODES = 200_000
+#: What the markup's word against a node leaves of its importance.
+AGAINST = 0.1
+#: So many removed nodes at most are broadcast (eight bytes each).
+BROADCAST_NODES = 2_000_000
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +60,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = set("html body table td th ul ol dl button select article section div main aside nav footer header form blockquote".split())
 BODY_TEXT = set("p h1 h2 h3 h4 h5 h6 li ul ol pre blockquote dl dt dd table thead tbody tr td th figure figcaption".split())
 
-DROP_TAGS = set("head nav header footer aside form script style noscript template button select textarea iframe svg object embed dialog menu input option audio video canvas".split())
+# Elements whose text a reader does not see, and elements and names that the markup speaks against.
+UNSEEN_TAGS = set("head script style noscript template button select textarea iframe svg object embed input option audio video canvas".split())
+DROP_TAGS = set("nav header footer aside form dialog menu".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_NAMES = set(
     "ad ads adv advert adverts advertisement advertising advertorial adbox adsense banner sponsor sponsored promo promotion promoted "
@@ -80,7 +91,7 @@ def step_hash(above: int, label: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "classes", "within", "holds", "role", "hidden", "parent", "children", "path")
+    __slots__ = ("tag", "names", "parts", "classes", "within", "holds", "role", "unseen", "parent", "children", "label", "path", "against", "framing")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.parent, self.children = tag, parent, []
@@ -96,14 +107,16 @@ class Node:
                 up.holds, up = True, up.parent
         self.role = found.get("role", "")
         self.within = parent is not None and (parent.within or parent.tag in ("article", "main") or parent.role in ("article", "main"))
-        self.hidden = bool(re.search(r"display\s*:\s*none", found.get("style", ""))) or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)", attributes))
-        label = tag + "".join("." + x for x in sorted(set(NAMES.findall(found.get("class", "")))))
-        self.path = step_hash(parent.path if parent else 0, label)
+        hidden = bool(re.search(r"display\s*:\s*none", found.get("style", ""))) or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+        self.unseen = hidden or tag in UNSEEN_TAGS
+        self.label = tag + "".join("." + x for x in sorted(set(NAMES.findall(found.get("class", "")))))
+        self.path, self.against, self.framing = 0, False, False
 
-    def dropped(self) -> bool:
+    def named(self) -> bool:
+        """Whether tag, role or names speak against the element."""
         if self.tag in ("html", "body", "main"):
-            return self.hidden
-        if self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES:
+            return False
+        if self.tag in DROP_TAGS or self.role in DROP_ROLES:
             return True
         if self.within and (self.tag in BODY_TEXT or self.tag == "section"):
             # ids are made from titles here, "discussion" among them; a container of comments goes all the same
@@ -116,6 +129,9 @@ class Node:
         told = COMMENT_NAMES if self.holds or self.tag == "article" else DROP_NAMES
         return not told.isdisjoint(self.parts)
 
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if not isinstance(c, str) and not c.unseen]
+
 
 def parse(source: str) -> Node:
     """The element tree; children are nodes and strings with their references decoded."""
@@ -177,8 +193,40 @@ def _close(root: Node, node: Node, tags: set[str]) -> Node:
     return node
 
 
-def blocks(node: Node, removed: set[int]) -> list[str]:
-    """Texts of the blocks under node, in page order."""
+def page_tree(source: str, host: int = 0) -> Node:
+    """The element tree with its paths, which begin with the host, and what the markup speaks against.
+
+    The outermost articles frame the page's text, or else its main elements: what stands beside them is spoken against.
+    """
+    root = parse(source)
+    parts: list[Node] = []
+    for wanted in ("article", "main"):
+        todo = [root]
+        while todo and not (wanted == "main" and parts):
+            top = todo.pop()
+            if top.tag == wanted or top.role == wanted:
+                parts.append(top)
+            else:
+                todo += [c for c in top.elements() if not c.named()]
+    for part in parts:
+        up = part.parent
+        while up is not None and not up.framing:
+            up.framing, up = True, up.parent
+    inside = {id(p) for p in parts}
+    root.path = host
+    todo = [(root, not parts)]
+    while todo:
+        top, within = todo.pop()
+        for child in top.elements():
+            framed = within or id(child) in inside
+            child.against = id(child) not in inside and not child.framing and (not framed or child.named())
+            child.path = step_hash(top.path, child.label + "!" * child.against)
+            todo.append((child, framed))
+    return root
+
+
+def blocks(root: Node, removed: set[int] | None) -> list[str]:
+    """Texts of the blocks of a page, in page order; removed: None to go by the markup alone."""
     out: list[str] = []
     line: list[str] = []
 
@@ -188,17 +236,18 @@ def blocks(node: Node, removed: set[int]) -> list[str]:
         if text:
             out.append(text)
 
-    stack = [(node, iter(node.children))]
+    stack = [(root, iter(root.children))]
     while stack:
         top, rest = stack[-1]
         for child in rest:
             if isinstance(child, str):
-                line.append(child)
+                if not top.framing:
+                    line.append(child)
                 continue
             if child.tag == "br" or child.tag == "wbr":
                 line.append(" " if child.tag == "br" else "")
                 continue
-            if child.dropped() or child.path in removed:
+            if child.unseen or (child.against if removed is None else child.path in removed):
                 if child.tag not in INLINE:
                     end()
                 continue
@@ -214,32 +263,13 @@ def blocks(node: Node, removed: set[int]) -> list[str]:
     return out
 
 
-def walk(node: Node) -> Iterator[Node]:
-    """Nodes that are not dropped, parents first."""
-    todo = [node]
-    while todo:
-        top = todo.pop()
-        yield top
-        todo += [c for c in reversed(top.children) if not isinstance(c, str) and not c.dropped()]
-
-
-def main_parts(root: Node) -> list[Node]:
-    """Outermost articles; else main elements; else the whole page."""
-    for wanted in (lambda n: n.tag == "article" or n.role == "article", lambda n: n.tag == "main" or n.role == "main"):
-        found, todo = [], [root]
-        while todo:
-            top = todo.pop()
-            if wanted(top):
-                found.append(top)
-                continue
-            todo += [c for c in reversed(top.children) if not isinstance(c, str) and not c.dropped()]
-        if found:
-            return found
-    return [root]
+def judged(node: Node) -> bool:
+    """Whether the style tree may remove the node."""
+    return node.against or not (node.framing or node.tag in ("#root", "html", "body", "article", "main") or node.tag in BODY_TEXT or node.tag in INLINE)
 
 
 def body_paths(root: Node) -> set[int]:
-    """Paths of the branches that hold over half of the page's body text."""
+    """Paths of the branches that hold over half of the page's body text and are not spoken against."""
     # lengths of the text in BODY_TEXT elements and of all text, both outside links
     held: dict[int, list[int]] = {}
     stack = [(root, False, [0, 0], iter(root.children))]
@@ -247,10 +277,10 @@ def body_paths(root: Node) -> set[int]:
         top, told, sums, rest = stack[-1]
         for child in rest:
             if isinstance(child, str):
-                n = len("".join(child.split()))
+                n = len("".join(child.split())) * (not top.framing)
                 sums[0] += n * told
                 sums[1] += n
-            elif child.tag != "a" and not child.dropped():
+            elif child.tag != "a" and not child.unseen and not child.against:
                 stack.append((child, told or child.tag in BODY_TEXT, [0, 0], iter(child.children)))
                 break
         else:
@@ -264,81 +294,141 @@ def body_paths(root: Node) -> set[int]:
     return {p for p, n in held.items() if 2 * n[kind] > sums[kind]}
 
 
-def extract(source: str, removed: set[int]) -> str:
-    """The main text of a page; removed: hashes of the paths of its host's low-importance nodes."""
+class Removed:
+    """The removed nodes of all hosts in one sorted array; a host with a style tree has a mark in it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+
+    def among(self, paths: list[int]) -> set[int]:
+        found = np.array(paths, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return set(found[self.keys[at] == found].tolist()) if len(self.keys) else set()
+
+
+def tree_mark(host: int) -> int:
+    return step_hash(host, "#tree")
+
+
+def extract(source: str, removed: Removed | None = None, host: int = 0) -> str:
+    """The main text of a page; removed: the nodes that the hosts' style trees remove (None: no host has one)."""
     if not source:
         return ""
-    root = parse(source)
-    parts = main_parts(root)
-    # what lies in an article or a main element stays
-    gone = removed - body_paths(root) if removed and parts == [root] else set()
-    return "\n\n".join(b for part in parts for b in blocks(part, gone))
+    root = page_tree(source, host)
+    gone = None
+    if removed is not None and removed.among([tree_mark(host)]):
+        paths, todo = [], [root]
+        while todo:
+            top = todo.pop()
+            paths.append(top.path)
+            todo += top.elements()
+        gone = removed.among(paths)
+        if gone:
+            gone -= body_paths(root)
+    return "\n\n".join(blocks(root, gone))
 
 
-def style_counts(source: str) -> tuple[int, list[tuple[int, int, int]]]:
-    """Hash of the page's text, and (path, hash of its content, hash of its presentation) of each node that may be removed."""
-    contents: dict[int, list[str]] = {}
+#: Kinds of the style tree's entries: what the markup says nothing of, what it speaks against, and the mark that tells a host's tree.
+PLAIN, SPOKEN, MARK = range(3)
+
+
+def style_counts(source: str, host: int = 0) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Hash of the page's text, and (path, hash of its content, hash of its presentation, kind) of the nodes that may be removed and of the mark."""
+    root = page_tree(source, host)
+    said: list[str] = []  # text outside links, in page order
+    spans: dict[int, list[tuple[int, int]]] = {}
     styles: dict[int, list[str]] = {}
-    root = parse(source)
-    for node in walk(root):
-        if node is root or node.tag in ("html", "body", "article", "main") or node.tag in BODY_TEXT or node.tag in INLINE:
-            continue
-        key = node.path
-        contents.setdefault(key, []).extend(blocks(node, set()))
-        styles.setdefault(key, []).append(",".join(c.tag for c in node.children if not isinstance(c, str)))
-    return _hash("\n".join(blocks(root, set()))), [(k, _hash("\n".join(v)), _hash(";".join(styles[k]))) for k, v in sorted(contents.items())]
+    kinds: dict[int, int] = {}
+    stack = [(root, 0, iter(root.children))]
+    while stack:
+        top, start, rest = stack[-1]
+        for child in rest:
+            if isinstance(child, str):
+                if words := "".join(child.split()):
+                    said.append(words)
+            elif child.unseen:
+                continue
+            elif child.tag != "a" or child.against:
+                stack.append((child, len(said), iter(child.children if child.tag != "a" else [])))
+                break
+        else:
+            stack.pop()
+            if judged(top):
+                spans.setdefault(top.path, []).append((start, len(said)))
+                styles.setdefault(top.path, []).append(",".join(c.tag for c in top.elements()))
+                kinds[top.path] = SPOKEN if top.against else PLAIN
+    content = {k: _hash("\n".join(x for a, b in v for x in said[a:b])) for k, v in spans.items()}
+    text = _hash("\n".join(blocks(root, None)))
+    return text, [(tree_mark(host), text, text, MARK), *((k, content[k], _hash(";".join(styles[k])), kinds[k]) for k in sorted(spans))]
+
+
+def page_host(url: str) -> Column:
+    """The number by which trees and pages know their host."""
+    return F.xxhash64(F.coalesce(url_host(F.col(url)), F.lit("")))
 
 
 def low_importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, node) of the style tree's nodes whose importance is below MIN_IMPORTANCE."""
+    """(host, node) of the style trees' nodes whose importance is below MIN_IMPORTANCE, and of the trees' marks."""
+    parts = ("node", "content", "style", "kind")
+    entry = pa.list_(pa.struct([(c, pa.int64()) for c in parts]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                said, nodes = style_counts(source.as_py() or "")
-                if nodes:
+            for start, end in slices(batch.column(1)):
+                seen: dict = {}
+                for host, source in zip(batch.column(0)[start:end].to_pylist(), batch.column(1)[start:end], strict=True):
+                    said, nodes = style_counts(source.as_py() or "", host)
                     seen[host, said] = min(nodes, seen.get((host, said), nodes))
-            if seen:
                 host, said = zip(*seen, strict=True)
-                kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("node", "content", "style")]))
-                nodes = pa.array([[dict(zip(("node", "content", "style"), x, strict=True)) for x in v] for v in seen.values()], kind)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(said, pa.int64()), nodes], ["host", "said", "nodes"])
+                nodes = pa.array([[dict(zip(parts, x, strict=True)) for x in v] for v in seen.values()], entry)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(said, pa.int64()), nodes], ["host", "said", "nodes"])
 
-    taken = pages.select(F.coalesce(url_host(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))
+    taken = pages.select(page_host(url).alias("host"), F.col(f"`{html}`").alias("html"))
     # pages of one text count once, whatever their number
-    texts = taken.mapInArrow(count, "host string, said long, nodes array<struct<node: long, content: long, style: long>>").groupBy("host", "said").agg(F.min("nodes").alias("nodes"))
+    texts = taken.mapInArrow(count, "host long, said long, nodes array<struct<node: long, content: long, style: long, kind: long>>").groupBy("host", "said").agg(F.min("nodes").alias("nodes"))
     nodes = texts.select("host", F.explode("nodes").alias("x"))
-    counts = nodes.select("host", "x.node", F.explode(F.expr("array(struct(true AS content, x.content AS value), struct(false AS content, x.style AS value))")).alias("y"))
-    counts = counts.groupBy("host", "node", "y.content", "y.value").agg(F.count("*").alias("n"))
-    n_log = F.sum(F.col("n") * F.log("n"))
-    entropy = counts.groupBy("host", "node", "content").agg(F.sum("n").alias("pages"), n_log.alias("n_log"))
+    values = F.explode(F.expr("array(struct(true AS content, x.content AS value), struct(false AS content, x.style AS value))"))
+    counts = nodes.select("host", "x.node", "x.kind", values.alias("y")).groupBy("host", "node", "kind", "y.content", "y.value").agg(F.count("*").alias("n"))
+    entropy = counts.groupBy("host", "node", "kind", "content").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log"))
     scaled = F.greatest(F.lit(0.0), (F.log("pages") - F.col("n_log") / F.col("pages")) / F.log(F.greatest("pages", F.lit(2))))
     share = F.when(F.col("content"), CONTENT_SHARE).otherwise(1 - CONTENT_SHARE)
-    nodes = entropy.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.sum(scaled * share).alias("importance"))
-    return nodes.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE)).select("host", "node")
+    nodes = entropy.groupBy("host", "node", "kind").agg(F.max("pages").alias("pages"), F.sum(scaled * share).alias("importance"))
+    told = F.when(F.col("kind") == SPOKEN, AGAINST).otherwise(1.0)
+    importance = F.when(F.col("pages") >= MIN_PAGES, F.col("importance")).otherwise(1.0) * told
+    nodes = written(nodes.select("host", "node", "kind", "pages", importance.alias("importance")), "style-nodes")
+    # every page carries its host's mark, so the mark's pages are the host's
+    trees = nodes.where((F.col("kind") == MARK) & (F.col("pages") >= MIN_PAGES)).select("host")
+    return nodes.where((F.col("kind") == MARK) | (F.col("importance") < MIN_IMPORTANCE)).join(trees, "host", "left_semi").select("host", "node")
 
 
-def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", into: str = "main") -> DataFrame:
-    """pages with a struct column ``into`` (text, n_chars); all other columns stay."""
+def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", into: str = "main", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """pages with a struct column ``into`` (text, n_chars); all other columns stay, one that is already named ``into`` is replaced."""
     low = written(low_importance(pages, url, html), "style-tree")
-    listed = low.groupBy("host").agg(F.collect_list("node").alias("_removed")).withColumnRenamed("host", "_host")
-    if low.count() <= BROADCAST_NODES:
-        listed = F.broadcast(listed)
-    paired = pages.join(listed, F.coalesce(url_host(F.col(url)), F.lit("")) == F.col("_host"), "left")
-    # the list travels with the page in one string column, as the block operator takes one
-    paired = paired.withColumn("_page", F.concat(F.coalesce(F.array_join("_removed", " "), F.lit("")), F.lit("\n"), F.coalesce(F.col(html), F.lit(""))))
+    [page] = absent(pages, "_page")
+    body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
+    if low.count() <= broadcast_nodes:
+        shared = pages.sparkSession.sparkContext.broadcast(Removed(low.select("node").toPandas()["node"].to_numpy(np.int64)))
+        # the host's number travels with the page in one string column, as the block operator takes one
+        paired = pages.withColumn(page, F.concat(page_host(url).cast("string"), F.lit("\n"), body))
+    else:
+        shared = None
+        lists = low.groupBy("host").agg(F.concat_ws(" ", F.collect_list(F.col("node").cast("string"))).alias("nodes"))
+        rows = pages.select(F.struct(*columns(pages)).alias("row"), page_host(url).alias("host"), body.alias("body"))
+        hot = hot_keys(rows.groupBy("host").agg(F.count("*").alias("n")), ["host"], "n", rows.count())
+        paired = spread_join(rows, lists, ["host"], hot, F.xxhash64(F.col("body")), "left")
+        paired = paired.select("row.*", F.concat_ws("\n", F.concat_ws(" ", F.col("host").cast("string"), "nodes"), "body").alias(page))
 
     def judge(sources: list[str]) -> list:
-        texts, sets = [], {}
+        texts, trees = [], {}
         for source in sources:
             head, _, body = source.partition("\n")
-            if head not in sets:
-                sets[head] = {int(x) for x in head.split()}
-            texts.append(extract(body, sets[head]))
+            host, *nodes = head.split(" ")
+            if shared is None and head not in trees:
+                trees[head] = Removed(np.array(nodes, np.int64))
+            texts.append(extract(body, trees[head] if shared is None else shared.value, int(host)))
         return [texts, list(map(len, texts))]
 
-    return add_by_block(paired.drop("_removed", "_host"), "_page", into, "text string, n_chars long", judge).drop("_page")
+    return add_by_block(paired, page, into, "text string, n_chars long", judge).drop(page)
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -178,14 +179,14 @@ PAGES = [
 
 @pytest.mark.parametrize(("source", "wanted"), PAGES)
 def test_extract(source, wanted):
-    assert html_text.extract(source or "", set()) == wanted
+    assert html_text.extract(source or "") == wanted
 
 
 @pytest.mark.parametrize("part", ['<h2 id="related-work">kept</h2>', '<h2 id="discussion">kept</h2>', '<section id="discussion"><p>kept</p></section>', '<p id="share-prices">kept</p>', '<h3 class="promo-code">kept</h3>'])
 def test_titles_of_an_article_stay(part):
     for tag in ("article", "main"):
         page = f"<{tag}>{part}<section id=comments><p>no</p></section><ol class='comment-list'><li>no</ol><div id=share-bar>no</div></{tag}>"
-        assert html_text.extract(page, set()) == "kept"
+        assert html_text.extract(page) == "kept"
 
 
 def test_style_tree_drops_what_a_site_repeats(spark):
@@ -226,6 +227,81 @@ def test_repeated_rows_do_not_hide_a_strap(spark):
     assert {r["main"]["text"] for r in out} == {f"Story {i} about {'x' * i}".strip() for i in range(20)}
 
 
+def plain_style_trees(rows):
+    """(host, node) of low importance and of the marks, page by page."""
+    pages: dict = {}
+    for host, source in rows:
+        said, nodes = html_text.style_counts(source or "", host)
+        held = pages.setdefault(host, {})
+        held[said] = min(held.get(said, nodes), nodes)
+    out = set()
+    for host, held in pages.items():
+        if len(held) < html_text.MIN_PAGES:
+            continue
+        seen: dict = {}
+        for nodes in held.values():
+            for node, content, style, kind in nodes:
+                seen.setdefault((node, kind), []).append((content, style))
+        for (node, kind), many in seen.items():
+            n, importance = len(many), 1.0
+            if n >= html_text.MIN_PAGES:
+                entropy = [sum(-c / n * np.log(c / n) for c in Counter(x).values()) / np.log(n) for x in zip(*many, strict=True)]
+                importance = html_text.CONTENT_SHARE * entropy[0] + (1 - html_text.CONTENT_SHARE) * entropy[1]
+            if kind == html_text.SPOKEN:
+                importance *= html_text.AGAINST
+            if kind == html_text.MARK or importance < html_text.MIN_IMPORTANCE:
+                out.add((host, node))
+    return out
+
+
+def site(rng, n):
+    """Pages with menus, straps and articles, some of them copies."""
+    out = []
+    for i in range(n):
+        words = lambda k: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(k))
+        body = words(30) if i % 3 else "a copied body that many pages carry"
+        frame = rng.choice(["<article><h1>{0}</h1><p>{1}</p><div>About us</div></article>", "<div class=text><p>{1}</p></div>", "<main><section>{1}</section></main>"])
+        out.append((i, f"http://{rng.choice(['big.org', 'big.org', 'c.net', None])}/{i}", f"<body><nav><a href=x>{words(2)}</a></nav><div class=strap>All shops are open</div><div class=ad>{words(3)}</div>{frame.format(words(2), body)}<footer>{words(2)}</footer></body>"))
+    return out
+
+
+def test_style_trees_against_plain_version(spark):
+    rows = site(random.Random(15), 160)
+    rows += rows[:20] + [(900, None, None), (901, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = pages.select(html_text.page_host("url").alias("h"), "html").collect()
+    got = {tuple(r) for r in html_text.low_importance(pages).collect()}
+    assert got == plain_style_trees([tuple(r) for r in hosts])
+    # the joined lists and the broadcast array give the same texts
+    texts = [sorted((r["page_id"], r["main"]["text"]) for r in html_text.extract_main_text(pages, broadcast_nodes=n).collect()) for n in (0, 10**6)]
+    assert texts[0] == texts[1] and len(texts[0]) == len(rows)
+    assert not any("All shops are open" in t or "About us" in t for i, t in texts[0] if i < 160 and rows[i][1].startswith("http://big.org"))
+
+
+def test_style_trees_decide_on_whole_tables(spark):
+    """Without the removals of the trees, the pages of hosts that have one keep their menus and footers."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("html", html_text.page_host("url").alias("h")).collect()
+    low = html_text.low_importance(pages).collect()
+    removed = html_text.Removed(np.array([r["node"] for r in low], np.int64))
+    marks = html_text.Removed(np.array(sorted({html_text.tree_mark(r["host"]) for r in low}), np.int64))
+    in_trees = [r for r in rows if marks.among([html_text.tree_mark(r["h"])])]
+    assert len(in_trees) > 60
+    for r in in_trees:
+        whole, main = html_text.extract(r["html"], marks, r["h"]), html_text.extract(r["html"], removed, r["h"])
+        assert len(main) < len(whole) and main in whole
+
+
+def test_main_text_with_clashing_columns(spark):
+    names = ["_page", "_host", "host", "row", "body", "nodes", "_salt", "_salts", "a.b", "main"]
+    rows = [(i, "http://h.org/1", f"<nav>menu</nav><p>text {i % 5}</p>", *["x"] * len(names)) for i in range(12)]
+    pages = spark.createDataFrame(rows, ["page_id", "url", "html", *names])
+    for n in (0, 10**6):
+        out = html_text.extract_main_text(pages, broadcast_nodes=n)
+        assert out.columns == ["page_id", "url", "html", *names]
+        assert sorted((r["page_id"], r["main"]["text"], r["a.b"]) for r in out.collect()) == [(i, f"text {i % 5}", "x") for i in range(12)]
+
+
 @pytest.fixture(scope="module")
 def pair():
     from tokenizers import Tokenizer
