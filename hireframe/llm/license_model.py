@@ -29,6 +29,7 @@ TEMPLATES = {
     "MIT": [
         "{released|licensed|distributed|available|published} under the mit license",
         "{this|the} {project|software|work|code|file|library} is {licensed|released|available|distributed} under the {mit license|terms of the mit license|mit licence}",
+        "{mit license|the mit license}",
         "mit license copyright c",
         "spdx license identifier mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
@@ -39,6 +40,7 @@ TEMPLATES = {
         "licensed under the apache license version 2 0",
         "{this|the} {project|software|work|code|file|library} is {licensed|released|available|distributed} under the {apache license version 2 0|apache license 2 0|apache 2 0 license}",
         "{released|distributed|available|published} under the {apache license version 2 0|apache license 2 0|apache 2 0 license}",
+        "apache license {version 2 0|version 2 0 january 2004}",
         "spdx license identifier apache 2 0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
@@ -159,10 +161,10 @@ def ngrams(words: list[str], anchors: frozenset[str] = frozenset(ANCHORS)) -> se
 
 
 class LicenseModel:
-    """classes, weights (n-gram -> one weight for each class), bias, word pairs of each family's templates, and the words of the longest template."""
+    """classes, weights (n-gram -> one weight for each class), bias, word pairs of each family's templates, the words of the longest template, and the temperature's inverse."""
 
-    def __init__(self, classes, weights, bias, references, longest):
-        self.classes, self.weights, self.bias, self.references, self.longest = classes, weights, bias, references, longest
+    def __init__(self, classes, weights, bias, references, longest, scale):
+        self.classes, self.weights, self.bias, self.references, self.longest, self.scale = classes, weights, bias, references, longest, scale
 
     def own_pairs(self, family: str) -> set[str]:
         """Word pairs that stand in templates of this family only (of a family with NAMES those that name it)."""
@@ -170,53 +172,73 @@ class LicenseModel:
         return {p for t in self.references[family] for p in t if p not in others and re.search(NAMES.get(family, ""), p)}
 
 
+def softmax(logits: np.ndarray) -> np.ndarray:
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax regression, by gradient descent from zero."""
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    for _ in range(rounds):
+        error = (softmax(x @ w + b) - y) * weight[:, None] / len(x)
+        w -= rate * (x.T @ error * 8 + decay * w)
+        b -= rate * error.sum(axis=0) * 8
+    return w, b
+
+
 @lru_cache(1)
-def trained(most: int = 60, rounds: int = 400, rate: float = 0.5, decay: float = 2e-4, held_share: float = 0.25) -> LicenseModel:
-    """Softmax regression by gradient descent; a temperature fitted on held-out expansions calibrates its probabilities."""
+def trained(most: int = 60, rounds: int = 400, rate: float = 0.5, decay: float = 2e-4, folds: int = 5) -> LicenseModel:
+    """Softmax regression on all templates; a temperature calibrates its probabilities.
+
+    The temperature is fitted on what models that have not seen a template, in any of its expansions, say of it.
+    """
     draw = random.Random(11)
     classes = [*TEMPLATES, UNKNOWN]
-    rows: list[tuple[list[str], int]] = []
+    rows: list[tuple[list[str], int, int]] = []  # words, class, template
     for k, name in enumerate(TEMPLATES):
         for template in TEMPLATES[name]:
-            made = [words_of(x) for x in expanded(template, most, draw)]
-            rows += [(w, k) for w in made]
+            made, at = [words_of(x) for x in expanded(template, most, draw)], len(rows)
+            rows += [(w, k, at) for w in made]
             # parts of long notices, as broken lines show them
-            rows += [(w[: max(6, len(w) * 2 // 3)], k) for w in made if len(w) > 14] * 2
+            rows += [(w[: max(6, len(w) * 2 // 3)], k, at) for w in made if len(w) > 14] * 2
     for template in OTHER:
-        made = [words_of(x) for x in expanded(template, most, draw)]
-        rows += [(w, len(TEMPLATES)) for w in made]
-        rows += [([x], len(TEMPLATES)) for x in sorted({x for w in made for x in w})]
-    rows += [([], len(TEMPLATES))] * 200 + [([a], len(TEMPLATES)) for a in ANCHORS if a not in ("gpl", "lgpl", "agpl", "unlicense", "cc0")] * 6
-    draw.shuffle(rows)
-    held = int(len(rows) * held_share)
-    names = sorted(set().union(*(ngrams(w) for w, _ in rows[held:])))
+        made, at = [words_of(x) for x in expanded(template, most, draw)], len(rows)
+        rows += [(w, len(TEMPLATES), at) for w in made]
+        rows += [([x], len(TEMPLATES), at) for x in sorted({x for w in made for x in w})]
+    plain = [[], *([a] for a in ANCHORS if a not in ("gpl", "lgpl", "agpl", "unlicense", "cc0"))]
+    rows += [(w, len(TEMPLATES), len(rows) + i) for i, w in enumerate(plain) for _ in range(6 if w else 200)]
+    names = sorted(set().union(*(ngrams(w) for w, _, _ in rows)))
     place = {g: i for i, g in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
-    for r, (w, _) in enumerate(rows):
-        x[r, [place[g] for g in ngrams(w) if g in place]] = 1
-    y = np.eye(len(classes), dtype=np.float32)[[k for _, k in rows]]
-    share = (1 / y.sum(axis=0))[np.argmax(y, axis=1)]
-    share *= len(rows) / share.sum()
-    w, b = np.zeros((len(names), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-
-    def probabilities(logits):
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-
-    x_fit, y_fit, weight = x[held:], y[held:], share[held:, None]
-    for _ in range(rounds):
-        error = (probabilities(x_fit @ w + b) - y_fit) * weight / len(x_fit)
-        w -= rate * (x_fit.T @ error * 8 + decay * w)
-        b -= rate * error.sum(axis=0) * 8
-    logits, truth = x[:held] @ w + b, np.argmax(y[:held], axis=1)
-    scales = np.linspace(0.5, 4, 36)
-    loss = [-np.log(probabilities(logits * s)[np.arange(held), truth] + 1e-9).mean() for s in scales]
+    for r, (w, _, _) in enumerate(rows):
+        x[r, [place[g] for g in ngrams(w)]] = 1
+    y = np.eye(len(classes), dtype=np.float32)[[k for _, k, _ in rows]]
+    # each class weighs the same, and in it each template
+    which = np.array([t for _, _, t in rows])
+    of_class = {k: len({t for _, c, t in rows if c == k}) for k in range(len(classes))}
+    times = {t: int(n) for t, n in zip(*np.unique(which, return_counts=True), strict=True)}
+    weight = np.array([1 / (of_class[k] * times[t]) for _, k, t in rows], np.float32)
+    weight *= len(rows) / weight.sum()
+
+    order = sorted(times)
+    draw.shuffle(order)
+    fold = {t: i % folds for i, t in enumerate(order)}
+    of_row = np.array([fold[t] for t in which])
+    logits = np.zeros_like(y)
+    for f in range(folds):
+        out = of_row == f
+        w, b = fitted(x[~out], y[~out], weight[~out], rounds, rate, decay)
+        logits[out] = x[out] @ w + b
+    scales = np.linspace(0.25, 4, 76)
+    loss = [-(weight * np.log((softmax(logits * s) * y).sum(axis=1) + 1e-9)).sum() for s in scales]
     scale = float(scales[int(np.argmin(loss))])
+    w, b = fitted(x, y, weight, rounds, rate, decay)
     strong = np.flatnonzero(np.abs(w).max(axis=1) > 0.02)
     weights = {names[i]: [float(v) for v in w[i] * scale] for i in strong}
     references, longest = {}, 0
     for name in TEMPLATES:
-        texts = {tuple(words_of(t)) for template in TEMPLATES[name] for t in expanded(template, 12, draw)}
+        texts = {tuple(words_of(t)) for template in TEMPLATES[name] for t in expanded(template, 4000, draw)}
         longest = max(longest, *map(len, texts))
         references[name] = [sorted({f"{a} {c}" for a, c in itertools.pairwise(t)}) for t in sorted(texts)]
-    return LicenseModel(classes, weights, [float(v) for v in b * scale], references, longest)
+    return LicenseModel(classes, weights, [float(v) for v in b * scale], references, longest, scale)

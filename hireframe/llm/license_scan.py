@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .license_model import ANCHORS, NGRAM, UNKNOWN, LicenseModel, trained
 from .shared import table
 
-#: Least probability of a family, and least share of a template's word pairs that must be there.
-MIN_PROBABILITY, MIN_COVER = 0.5, 0.6
+#: Least probability of a family (of 16 classes; it must be the likeliest), and least share of a template's word pairs that must be there.
+MIN_PROBABILITY, MIN_COVER = 0.3, 0.6
+#: A template of fewer word pairs (a heading) must make up that share of the line, too.
+SHORT = 3
 #: So many word pairs of a template must be there where the notice is cut short.
 MIN_PART = 8
 
@@ -72,11 +74,16 @@ def _total(logits: Column) -> Column:
     return F.aggregate(logits, F.lit(0.0), lambda acc, z: acc + F.exp(z - F.array_max(logits)))
 
 
+def _alone(template: Column, hits: Column, pairs: Column) -> Column:
+    """Whether a template is long enough to tell by itself, or makes up the line."""
+    return (F.size(template) >= SHORT) | (hits >= MIN_COVER * F.size(F.array_distinct(pairs)))
+
+
 def _decided(logits: Column, pairs: Column, model: LicenseModel) -> Column:
     """Struct (family, probability, cover) of the best class."""
     family = F.element_at(_strings(model.classes), F.array_position(logits, F.array_max(logits)).cast("int"))
     references = _constant(model.references, "map<string, array<array<string>>>")
-    cover = F.array_max(F.transform(F.element_at(references, family), lambda t: F.size(F.array_intersect(t, pairs)) / F.size(t)))
+    cover = F.array_max(F.transform(F.element_at(references, family), lambda t: bound(F.size(F.array_intersect(t, pairs)), lambda hits: F.when(_alone(t, hits, pairs), hits / F.size(t)))))
     return F.struct(family.alias("family"), (1 / _total(logits)).alias("probability"), F.coalesce(cover, F.lit(0.0)).alias("cover"))
 
 
@@ -95,7 +102,7 @@ def _shown(families: Column, pairs: Column, part: bool) -> Column:
 
     def cover(t: Column) -> Column:
         hits, own = F.size(F.array_intersect(t["all"], pairs)), F.size(F.array_intersect(t["own"], pairs))
-        whole = F.when((own >= MIN_COVER * F.size(t["own"])) & (hits >= MIN_COVER * F.size(t["all"])), hits / F.size(t["all"]))
+        whole = F.when(_alone(t["all"], hits, pairs) & (own >= MIN_COVER * F.size(t["own"])) & (hits >= MIN_COVER * F.size(t["all"])), hits / F.size(t["all"]))
         return F.coalesce(whole, F.when((own > 0) & (hits >= MIN_PART) & (hits >= MIN_COVER * F.size(F.array_distinct(pairs))), hits / F.size(t["all"]))) if part else whole
 
     near = F.filter(families, lambda f: F.arrays_overlap(f["own"], pairs))

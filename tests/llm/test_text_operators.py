@@ -388,6 +388,28 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_every_template_is_found(spark):
+    """Each template in all its forms, alone, as a comment, and amid prose."""
+    made = sorted({(t, name) for name, many in license_model.TEMPLATES.items() for x in many for t in license_model.expanded(x, 4000, random.Random(0))})
+    prose = "A river ran by the mill and nobody could say who owned the boats.\n"
+    texts = [f(t) for t, _ in made for f in (str, lambda t: f"// {t.capitalize()}.", lambda t: prose + t + "\n" + prose)]
+    out = [r["licenses"] for r in license_scan.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
+    for k, (t, name) in enumerate(made):
+        for j in range(3):
+            assert [(x["family"], x["paragraph"]) for x in out[3 * k + j]] == [(name, j // 2)], texts[3 * k + j]
+    known = ["SPDX-License-Identifier: MIT", "MIT License", "/* SPDX-License-Identifier: GPL-2.0-or-later */"]
+    assert [[x["family"] for x in r["licenses"]] for r in license_scan.scan_licenses(docs(spark, known)).orderBy("doc_id").collect()] == [["MIT"], ["MIT"], ["GPL"]]
+
+
+def test_calibration_of_unseen_wording():
+    """Probabilities of templates that a model has not seen are neither far too high nor far too low."""
+    model = license_model.trained()
+    assert 0.25 < model.scale < 1.5
+    for line in license_model.OTHER:
+        for t in license_model.expanded(line, 4, random.Random(0)):
+            assert brute_license(model, t)[0] == license_model.UNKNOWN, t
+
+
 WRAPPED = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
