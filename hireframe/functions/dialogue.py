@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,7 +18,16 @@ CUT_MARK = "[已截断"
 PREFLIGHT_PREFIXES = ["【参数错误】", "【语法预检】", "【安全拒绝】"]
 #: Names under which a query may be given, best first.
 QUERY_KEYS = ["cypher_query", "cypher", "query", "statement", "q", "sql"]
-NOISE = "举报 微信扫码 扫码分享 去app 前往app 与boss 今日活跃 随时沟通 招聘经理 前往下载".split()
+# Words of a side panel's own lines; of lines on a recruiter (one of each row); its title.
+PANEL_WORDS = ["举报", "微信扫码", "扫码分享", "去app", "前往app", "与boss", "今日活跃", "随时沟通", "招聘经理", "前往下载"]
+PANEL_PERSON = [["先生", "女士"], ["活跃", "招聘经理", "沟通"]]
+PANEL_TITLE = "职位描述"
+# Headings of requirements and of duties, and what may follow the latter.
+REQUIREMENT_HEADINGS = ["任职资格", "任职要求", "岗位要求"]
+DUTY_HEADINGS = ["工作职责", "岗位职责", "工作内容", "职位描述"]
+AFTER_HEADING = r"[：:\s\d、．.]*"
+#: Where a text breaks into lines, and white space with the separators that count as such.
+LINE_BREAK, BLANK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", r"[\s\x1C-\x1F]"
 
 
 def result_kind(content: Column) -> Column:
@@ -137,36 +145,31 @@ def query_in_prose(text: Column) -> Column:
     return F.when(ok(fenced), fenced).when(ok(chunk), chunk).otherwise(F.lit(""))
 
 
-def side_panel(s: str | None) -> str:
-    """A job's text without the panel's own lines."""
-    kept = []
-    for line in unicodedata.normalize("NFKC", s or "").splitlines():
-        t = line.strip()
-        low = t.lower()
-        person = re.search("先生|女士", t) and re.search("活跃|招聘经理|沟通", t)
-        if t and not person and not any(k in low for k in NOISE) and not re.fullmatch(r"[\s·•]+", t):
-            kept.append(t)
-    return re.sub(r"(?m)^职位描述\s*$", "", "\n".join(kept)).strip()
+@F.pandas_udf(T.StringType())
+def compatible(column: pd.Series) -> pd.Series:
+    """Texts in normal form KC, which Spark has no function for; null becomes empty."""
+    return column.fillna("").str.normalize("NFKC")
 
 
-@F.pandas_udf(T.StringType())
-def clean_side_panel(column: pd.Series) -> pd.Series:
-    return column.map(side_panel)
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, f"(?U)^{BLANK}+|{BLANK}+$", "")
 
 
-def duty_and_requirement(s: str | None) -> tuple[str, str]:
-    """The text before and after the heading of requirements, the first without its own headings."""
-    t = unicodedata.normalize("NFKC", (s or "").strip())
-    m = re.search("任职资格|任职要求|岗位要求", t)
-    if not m:
-        return t, ""
-    duty = re.sub(r"(?m)^(?:工作职责|岗位职责|工作内容|职位描述)[：:\s\d、．.]*", "", t[: m.start()].strip())
-    return duty.strip(), t[m.end() :].strip()
+def clean_side_panel(text: Column) -> Column:
+    """A job's text line by line, without the panel's own lines."""
+    any_of = lambda c, words: c.rlike("|".join(words))
+    own = lambda t: any_of(F.lower(t), PANEL_WORDS) | (any_of(t, PANEL_PERSON[0]) & any_of(t, PANEL_PERSON[1])) | t.rlike(f"(?U)^(?:{BLANK}|[·•])*$")
+    lines = F.filter(F.transform(F.split(compatible(text), LINE_BREAK), _stripped), lambda t: ~own(t))
+    return _stripped(F.array_join(F.transform(lines, lambda t: F.when(t == PANEL_TITLE, "").otherwise(t)), "\n"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("duty", T.StringType()), T.StructField("requirement", T.StringType())]))
-def split_duty(column: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([duty_and_requirement(s) for s in column], columns=["duty", "requirement"])
+def split_duty(text: Column) -> Column:
+    """Struct (duty, requirement): the text before and after the first heading of requirements, the duty without headings of its own."""
+    whole = compatible(_stripped(text))
+    parts = F.split(whole, "|".join(REQUIREMENT_HEADINGS), 2)
+    duty = F.regexp_replace(_stripped(parts[0]), f"(?mU)^(?:{'|'.join(DUTY_HEADINGS)}){AFTER_HEADING}", "")
+    found = F.size(parts) == 2
+    return F.struct(F.when(found, _stripped(duty)).otherwise(whole).alias("duty"), F.when(found, _stripped(F.get(parts, F.lit(1)))).otherwise(F.lit("")).alias("requirement"))
 
 
 def repaired_json(s: str | None) -> str | None:

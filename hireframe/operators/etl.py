@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import written
 
 #: Names that an id column may have, best first.
 ID_ALIASES = ["职位id", "职位Id", "job_id", "jobId", "id"]
@@ -48,17 +49,21 @@ def first_nonblank(column: str, order: str) -> Column:
     return F.coalesce(F.min_by(filled, F.when(filled.isNotNull(), F.col(order))), F.min_by(column, order))
 
 
-def longest_text(column: str, order: str) -> Column:
-    """Aggregate: the longest cleaned text, the earliest of equals; empty if all are blank."""
-    cleaned = text.strip_brand_noise(F.col(column))
+def longest_of(cleaned: Column, order: str) -> Column:
+    """Aggregate: the longest of cleaned texts, the earliest of equals; empty if all are blank."""
     return F.coalesce(F.max_by(cleaned, F.when(cleaned != "", F.struct(F.length(cleaned), -F.col(order)))), F.lit(""))
 
 
+def longest_text(column: str, order: str) -> Column:
+    return longest_of(text.strip_brand_noise(F.col(column)), order)
+
+
 def merge_by_id(rows: DataFrame, key: str, order: str, desc: str, duty: str) -> DataFrame:
     """One row an id: first non-blank values in file order, the best texts, repeated duties dropped."""
-    kept = drop_empty_ids(rows, key)
+    # texts are cleaned in a projection of their own, so once
+    kept = drop_empty_ids(rows, key).withColumns({"_desc": text.strip_brand_noise(F.col(desc)), "_duty": text.strip_brand_noise(F.col(duty))})
     others = [c for c in rows.columns if c not in (key, order, desc, duty)]
-    merged = kept.groupBy("_nid").agg(*[first_nonblank(c, order).alias(c) for c in others], longest_text(desc, order).alias("_d"), longest_text(duty, order).alias("_r"))
+    merged = kept.groupBy("_nid").agg(*[first_nonblank(c, order).alias(c) for c in others], longest_of(F.col("_desc"), order).alias("_d"), longest_of(F.col("_duty"), order).alias("_r"))
     both = text.merge_description_duty(F.col("_d"), F.col("_r"))
     return merged.withColumn("_both", both).select(F.col("_nid").alias(key), *others, F.col("_both.description").alias(desc), F.col("_both.duty").alias(duty))
 
@@ -97,15 +102,17 @@ def import_projection(sheet: DataFrame, now: Column) -> DataFrame:
 
 
 def with_surrogate_ids(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Dense ids from start + 1 in a total order, ranked in two steps so that no task sorts all rows."""
-    spark = rows.sparkSession
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    """Dense ids from start + 1 in a total order, ranked in two steps so that no task sorts all rows.
+
+    The ranges are written before they are counted: read again from the same files, a row keeps its range though executors are lost.
+    """
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
     offsets, total = [], start
     for p in sorted(counts):
         offsets.append((p, total))
         total += counts[p]
-    table = spark.createDataFrame(offsets or [(0, start)], "_part int, _offset long")
+    table = rows.sparkSession.createDataFrame(offsets or [(0, start)], "_part int, _offset long")
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.withColumn("_n", number).join(F.broadcast(table), "_part").withColumn("id", F.col("_n") + F.col("_offset")).drop("_part", "_n", "_offset")
 

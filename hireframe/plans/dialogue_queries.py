@@ -254,13 +254,31 @@ def x37(spark, d):
     return V.table(spark, d, "events").select("event_id", D.repair_json(F.expr("left(props, length(props) - CAST(event_id % 2 AS INT))")).alias("fixed"))
 
 
-@query("t7_side_panel_clean")
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+# the texts are in normal form KC already; the line at the end is written as that form has it
+_PANEL = "'职位描述' || chr(10) || text || chr(10) || '· •' || chr(10) || '李女士 今日活跃' || chr(10) || 'ABC'"
+
+
+@query(
+    "t7_side_panel_clean",
+    rf"""WITH l AS (SELECT doc_id, list_transform(string_split_regex({_PANEL}, '\r\n|[\n\r\x0B\f\x1C-\x1E]'), lambda x: {_STRIP.format("x")}) AS lines FROM documents),
+k AS (SELECT doc_id, list_filter(lines, lambda x: x <> '' AND NOT regexp_matches(lower(x), '{"|".join(D.PANEL_WORDS)}') AND NOT (regexp_matches(x, '先生|女士') AND regexp_matches(x, '活跃|招聘经理|沟通')) AND NOT regexp_matches(x, '^[\s·•]+$')) AS lines FROM l)
+SELECT doc_id, {_STRIP.format("array_to_string(list_transform(lines, lambda x: CASE WHEN x = '职位描述' THEN '' ELSE x END), chr(10))")} AS cleaned FROM k""",
+)
 def t7(spark, d):
     said = F.concat(F.lit("职位描述\n"), "text", F.lit("\n· •\n李女士 今日活跃\nＡＢＣ"))
     return V.table(spark, d, "documents").select("doc_id", D.clean_side_panel(said).alias("cleaned"))
 
 
-@query("x27_split_duty")
+_SAID = "'岗位职责:1、' || left(text, length(text) // 2) || chr(10) || '任职要求:' || substr(text, length(text) // 2 + 1)"
+_PART = "regexp_extract(" + _SAID + ", '(?s)^(.*?)(?:任职资格|任职要求|岗位要求)(.*)$', {0})"
+_DUTY = r"regexp_replace({0}, '(?m)^(?:工作职责|岗位职责|工作内容|职位描述)[：:\s\d、．.]*', '', 'g')".format(_STRIP.format(_PART.format(1)))
+
+
+@query(
+    "x27_split_duty",
+    f"SELECT doc_id, {_STRIP.format(_DUTY)} AS duty, {_STRIP.format(_PART.format(2))} AS requirement FROM documents",
+)
 def x27(spark, d):
     said = F.concat(F.lit("岗位职责：1、"), F.expr("left(text, CAST(length(text) DIV 2 AS INT))"), F.lit("\n任职要求："), F.expr("substr(text, CAST(length(text) DIV 2 AS INT) + 1)"))
     return V.table(spark, d, "documents").select("doc_id", D.split_duty(said).alias("s")).select("doc_id", "s.*")

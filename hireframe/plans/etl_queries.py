@@ -10,7 +10,13 @@ from . import views as V
 from .catalogue import query
 
 TITLE = "split_part(text, ' ', 1)"
-CRAWL = "crawl AS (SELECT doc_id AS ord, CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN (doc_id // 6) || '.0' ELSE ' ' || (doc_id // 6) END AS jid, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END AS company, lang AS city, CASE WHEN doc_id % 5 = 0 THEN '' ELSE left(text, 200) END AS description, CASE WHEN doc_id % 7 = 0 THEN left(text, 100) ELSE substr(text, 201, 80) END AS duty FROM documents)"
+# the second half before the first, so that no text holds it; the text with other white space, equal but for that
+_HALF = {"spark": "CAST(length(text) DIV 2 AS INT)", "sql": "(length(text) // 2)"}
+TURNED = {k: f"concat(substr(text, {h} + 1), ' ', left(text, {h}))" for k, h in _HALF.items()}
+SECOND = {k: f"substr(text, {h} + 1)" for k, h in _HALF.items()}
+SPACED = "replace(text, ' ', ' \n')"
+SHEET_DUTY = {k: f"CASE WHEN (doc_id {div} 6) % 2 = 0 THEN {SPACED} ELSE {TURNED[k]} END" for k, div in (("spark", "DIV"), ("sql", "//"))}
+CRAWL = "crawl AS (SELECT doc_id AS ord, CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN (doc_id // 6) || '.0' ELSE ' ' || (doc_id // 6) END AS jid, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END AS company, lang AS city, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS description, " + SHEET_DUTY["sql"] + " AS duty FROM documents)"
 NID = "CASE WHEN regexp_matches(trim(coalesce(jid, '')), '^\\d+\\.0$') THEN left(trim(jid), length(trim(jid)) - 2) ELSE trim(coalesce(jid, '')) END"
 
 
@@ -20,8 +26,8 @@ def _crawl(spark, d):
         F.expr("CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN concat(doc_id DIV 6, '.0') ELSE concat(' ', doc_id DIV 6) END").alias("jid"),
         F.expr("CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END").alias("company"),
         F.col("lang").alias("city"),
-        F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE left(text, 200) END").alias("description"),
-        F.expr("CASE WHEN doc_id % 7 = 0 THEN left(text, 100) ELSE substr(text, 201, 80) END").alias("duty"),
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END").alias("description"),
+        F.expr(SHEET_DUTY["spark"]).alias("duty"),
     )
 
 
@@ -90,12 +96,10 @@ def a15(spark, d):
     return E.page_duplicates(rows, "grp", "page", "jid")
 
 
-def _branded(c):
-    """Texts with brand strings put in, the same way in both engines."""
-    return F.expr(f"concat(CASE doc_id % 6 WHEN 0 THEN '【BOSS直聘】招聘 ' WHEN 1 THEN 'boss直聘  上直聘 ' WHEN 2 THEN 'xBOSSx BOSS ok，直聘。' WHEN 3 THEN '下载 boss ' WHEN 4 THEN 'see https://m.kanzhun.com/a?b=1 and KANZHUN here  ' ELSE 'www.kanzhun.com/x\n\n\n\n' END, left({c}, 60))")
-
-
-BRANDED = "concat(CASE doc_id % 6 WHEN 0 THEN '【BOSS直聘】招聘 ' WHEN 1 THEN 'boss直聘  上直聘 ' WHEN 2 THEN 'xBOSSx BOSS ok，直聘。' WHEN 3 THEN '下载 boss ' WHEN 4 THEN 'see https://m.kanzhun.com/a?b=1 and KANZHUN here  ' ELSE 'www.kanzhun.com/x\n\n\n\n' END, left(text, 60))"
+_BRANDS = "CASE doc_id % 6 WHEN 0 THEN '【BOSS直聘】招聘 ' WHEN 1 THEN 'boss直聘  上直聘 ' WHEN 2 THEN 'xBOSSx BOSS ok，直聘。' WHEN 3 THEN '下载 boss ' WHEN 4 THEN 'see https://m.kanzhun.com/a?b=1 and KANZHUN here  ' ELSE 'www.kanzhun.com/x\n\n\n\n' END"
+# brand strings before, in the middle of and after the whole text
+BRANDINGS = {k: f"concat({_BRANDS}, left(text, {h}), '\n', {_BRANDS}, '\n', substr(text, {h} + 1), '\n', {_BRANDS})" for k, h in _HALF.items()}
+BRANDED = BRANDINGS["sql"]
 _T1 = BRANDED
 for _s in text.BRAND_STRINGS:
     _T1 = f"replace({_T1}, '{_s}', '')"
@@ -103,20 +107,22 @@ _T1 = rf"regexp_replace({_T1}, '(?i)上直聘|用直聘|下载\s*BOSS|打开\s*B
 # RE2 has no look-around: the letters around are captured and put back
 _T1 = rf"regexp_replace({_T1}, '(?i)(^|[^A-Za-z])BOSS($|[^A-Za-z])', '\1\2', 'g')"
 _T1 = rf"regexp_replace({_T1}, '(^|[\s，,。.；;：:])直聘($|[\s，,。.；;：:])', '\1\2', 'g')"
+_UNDOMAIN = r"regexp_replace(regexp_replace({0}, '(?i)https?://[^\s)\]\"'']*kanzhun[^\s)\]\"'']*', '', 'g'), '(?i)[a-z0-9.-]*kanzhun[a-z0-9./?#&=%-]*', '', 'g')"
 _T2 = rf"regexp_replace(regexp_replace({BRANDED}, '(?i)https?://[^\s)\]\"'']*kanzhun[^\s)\]\"'']*', '', 'g'), '(?i)[a-z0-9.-]*kanzhun[a-z0-9./?#&=%-]*', '', 'g')"
 
 
 @query("t1_brand_noise", f"SELECT doc_id, {_clean(_T1)} AS cleaned FROM documents")
 def t1(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", text.strip_brand_noise(_branded("text")).alias("cleaned"))
+    return V.table(spark, d, "documents").select("doc_id", text.strip_brand_noise(F.expr(BRANDINGS["spark"])).alias("cleaned"))
 
 
 @query("t2_domain_noise", f"SELECT doc_id, {_clean(_T2)} AS cleaned FROM documents")
 def t2(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", text.strip_domain_noise(_branded("text")).alias("cleaned"))
+    return V.table(spark, d, "documents").select("doc_id", text.strip_domain_noise(F.expr(BRANDINGS["spark"])).alias("cleaned"))
 
 
-PAIR = f"""p AS (SELECT doc_id, {_clean("left(text, 80)")} AS d, {_clean("CASE WHEN doc_id % 3 = 0 THEN left(text, 40) WHEN doc_id % 3 = 1 THEN replace(left(text, 120), ' ', '  ') ELSE substr(text, 50, 60) END")} AS r FROM documents),
+PAIR_DUTY = {k: f"CASE doc_id % 3 WHEN 0 THEN {SECOND[k]} WHEN 1 THEN {SPACED} ELSE {TURNED[k]} END" for k in _HALF}
+PAIR = f"""p AS (SELECT doc_id, {_clean("text")} AS d, {_clean(PAIR_DUTY["sql"])} AS r FROM documents),
 k AS (SELECT *, {KEY.format("d")} AS nd, {KEY.format("r")} AS nr FROM p)"""
 
 
@@ -125,12 +131,12 @@ k AS (SELECT *, {KEY.format("d")} AS nd, {KEY.format("r")} AS nr FROM p)"""
     f"WITH {PAIR} SELECT doc_id, CASE WHEN d = '' THEN r WHEN r = '' THEN d WHEN contains(nd, nr) OR contains(nr, nd) THEN CASE WHEN length(d) >= length(r) THEN d ELSE r END ELSE d END AS description, CASE WHEN d = '' OR r = '' OR contains(nd, nr) OR contains(nr, nd) THEN '' ELSE r END AS duty FROM k",
 )
 def t4(spark, d):
-    duty = F.expr("CASE WHEN doc_id % 3 = 0 THEN left(text, 40) WHEN doc_id % 3 = 1 THEN replace(left(text, 120), ' ', '  ') ELSE substr(text, 50, 60) END")
-    both = text.merge_description_duty(F.left("text", F.lit(80)), duty)
+    both = text.merge_description_duty(F.col("text"), F.expr(PAIR_DUTY["spark"]))
     return V.table(spark, d, "documents").select("doc_id", both.alias("b")).select("doc_id", "b.*")
 
 
-BLOCKS = f"[{_clean('left(text, 90)')}, {_clean('substr(text, 10, 30)')}, {_clean('CASE WHEN doc_id % 2 = 0 THEN replace(left(text, 90), chr(32), chr(32) || chr(10)) ELSE substr(text, 300, 50) END')}]"
+THIRD = {k: f"CASE WHEN doc_id % 2 = 0 THEN {SPACED} ELSE {TURNED[k]} END" for k in _HALF}
+BLOCKS = f"[{_clean(_UNDOMAIN.format('text'))}, {_clean(_UNDOMAIN.format(SECOND['sql']))}, {_clean(_UNDOMAIN.format(THIRD['sql']))}]"
 
 
 @query(
@@ -141,25 +147,29 @@ f AS (SELECT * FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.doc_id = x.d
 SELECT doc_id, coalesce(string_agg(b, '\n\n' ORDER BY i) , '') AS merged FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
 )
 def t5(spark, d):
-    third = F.expr("CASE WHEN doc_id % 2 = 0 THEN replace(left(text, 90), ' ', ' \n') ELSE substr(text, 300, 50) END")
-    merged = text.merge_blocks(F.left("text", F.lit(90)), F.substring("text", 10, 30), third)
+    merged = text.merge_blocks(F.col("text"), F.expr(SECOND["spark"]), F.expr(THIRD["spark"]))
     return V.table(spark, d, "documents").select("doc_id", merged.alias("merged"))
 
 
-@query("t3_comparison_key", f"SELECT doc_id, {KEY.format('left(text, 200)')} AS k FROM documents")
+@query("t3_comparison_key", f"SELECT doc_id, {KEY.format('text')} AS k FROM documents")
 def t3(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", text.comparison_key(F.left("text", F.lit(200))).alias("k"))
+    return V.table(spark, d, "documents").select("doc_id", text.comparison_key(F.col("text")).alias("k"))
+
 
+STYLED = {k: f"concat('.a-b {{color:red}} ', left(text, {h}), '\n.c{{}}', substr(text, {h} + 1), '\n.d{{x}}')" for k, h in _HALF.items()}
 
-@query("t8_css_strip", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('.a-b {color:red} ' || left(text, 50) || chr(10) || '.c{}', '\.[a-zA-Z0-9_-]+\s*\{[^}]*\}', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
+
+@query("t8_css_strip", rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({STYLED['sql']}, '\.[a-zA-Z0-9_-]+\s*\{{[^}}]*\}}', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
 def t8(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", text.strip_css_rules(F.expr("concat('.a-b {color:red} ', left(text, 50), '\n', '.c{}')")).alias("cleaned"))
+    return V.table(spark, d, "documents").select("doc_id", text.strip_css_rules(F.expr(STYLED["spark"])).alias("cleaned"))
+
+
+MORE = {k: f"CASE WHEN doc_id % 2 = 0 THEN {SECOND[k]} ELSE {TURNED[k]} END" for k in _HALF}
 
 
-@query("t11_append_unless_contained", "SELECT doc_id, CASE WHEN contains(left(text, 60), s) THEN left(text, 60) ELSE left(text, 60) || chr(10) || s END AS merged FROM (SELECT doc_id, text, trim(CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 20) ELSE substr(text, 400, 20) || 'q' END, ' \t\n') AS s FROM documents)".replace("\\t", "\t").replace("\\n", "\n"))
+@query("t11_append_unless_contained", f"SELECT doc_id, CASE WHEN contains(text, s) THEN text ELSE text || chr(10) || s END AS merged FROM (SELECT doc_id, text, {STRIP.format(MORE['sql'])} AS s FROM documents)")
 def t11(spark, d):
-    more = F.expr("CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 20) ELSE concat(substr(text, 400, 20), 'q') END")
-    return V.table(spark, d, "documents").select("doc_id", text.append_unless_contained(F.left("text", F.lit(60)), more).alias("merged"))
+    return V.table(spark, d, "documents").select("doc_id", text.append_unless_contained(F.col("text"), F.expr(MORE["spark"])).alias("merged"))
 
 
 @query(
@@ -226,11 +236,11 @@ def x13(spark, d):
 
 @query(
     "x14_batch_prompt",
-    "SELECT batch, string_agg('=== 职位 ' || lang || ' (公司: ' || source || ') ===' || chr(10) || chr(10) || left(text, 20) || chr(10) || chr(10) || chr(10), chr(10) ORDER BY doc_id) AS prompt FROM (SELECT *, doc_id // 10 AS batch FROM documents) GROUP BY batch",
+    "SELECT batch, string_agg('=== 职位 ' || lang || ' (公司: ' || source || ') ===' || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10), chr(10) ORDER BY doc_id) AS prompt FROM (SELECT *, doc_id // 10 AS batch FROM documents) GROUP BY batch",
 )
 def x14(spark, d):
     rows = V.table(spark, d, "documents").withColumn("batch", F.expr("doc_id DIV 10"))
-    piece = text.batch_piece(F.col("lang"), F.col("source"), F.lit(None).cast("int"), F.left("text", F.lit(20)))
+    piece = text.batch_piece(F.col("lang"), F.col("source"), F.lit(None).cast("int"), F.col("text"))
     grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("doc_id", piece.alias("p")))).alias("ps"))
     return grouped.select("batch", F.array_join("ps.p", "\n").alias("prompt"))
 

@@ -78,8 +78,10 @@ def test_merges(spark):
 
 
 def test_dialogue(spark):
-    assert dialogue.duty_and_requirement("岗位职责：1、写代码\n任职要求：本科") == ("写代码", ":本科")
-    assert dialogue.side_panel("职位描述\n写代码\n李女士 今日活跃\n· •\n举报") == "写代码"
+    said = ["岗位职责：1、写代码\n任职要求：本科", " ｗ工作内容 \n工作内容: 2. b\n岗位要求\n任职资格 c ", "no heading", None]
+    assert [tuple(r) for r in apply(spark, said, dialogue.split_duty)] == [("写代码", ":本科"), ("w工作内容 \nb", "任职资格 c"), ("no heading", ""), ("", "")]
+    said = ["职位描述\n写代码\n李女士 今日活跃\n· •\n举报", "a\u2028 职位描述 \r\n去APP看 \x0bＡ 先生\x85b\x1f", None, " \n"]
+    assert apply(spark, said, dialogue.clean_side_panel) == ["写代码", "a\n\nA 先生\nb", "", ""]
     assert dialogue.trimmed_leak('MATCH (n) WHERE n.x = "a" RETURN n"}') == 'MATCH (n) WHERE n.x = "a" RETURN n'
     assert dialogue.query_of('{"query": "{\\"cypher\\": \\"RETURN 1\\"}"}') == "RETURN 1"
     assert dialogue.repaired_json('{"a": [1, 2,') == '{"a": [1, 2]}' and dialogue.repaired_json("nope{") is None
