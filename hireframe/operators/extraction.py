@@ -86,10 +86,36 @@ def extract(docs: DataFrame, extractor: Callable[[pd.DataFrame], list[dict]] = r
     return docs.mapInPandas(each, out)
 
 
+def extract_each(docs: DataFrame, extractor: Callable[[pd.DataFrame], list[dict]] = rule_based) -> DataFrame:
+    """extract with one document a call, so that a failing document fails alone."""
+
+    def one_by_one(frame: pd.DataFrame) -> list[dict]:
+        return [extractor(frame.iloc[k : k + 1])[0] for k in range(len(frame))]
+
+    return extract(docs, one_by_one)
+
+
+def batch_graphs(extracted: DataFrame, batch: str = "batch", key: str = "id") -> DataFrame:
+    """Each document with the nodes and relationships of its whole batch, in order of the documents; a batch is a few documents by contract."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("graph").alias("g"))), lambda a, b: F.signum(a["k"] - b["k"]).cast("int"))
+    whole = extracted.groupBy(batch).agg(parts.alias("parts"))
+    whole = whole.select(batch, F.struct(F.flatten(F.transform("parts", lambda p: p["g"]["nodes"])).alias("nodes"), F.flatten(F.transform("parts", lambda p: p["g"]["relationships"])).alias("relationships")).alias("graph"))
+    return extracted.drop("graph").join(whole, batch)
+
+
+def parsed_extractions(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """answers with the graph that their JSON text tells of, after repair and strict filtering of labels, types and ends."""
+    from ..functions import dialogue
+
+    read = answers.withColumn("graph", F.from_json(dialogue.repair_json(F.col(answer)), schema.extraction())).where(F.col("graph").isNotNull())
+    allowed = lambda name, kinds: F.filter(F.coalesce(f"graph.{name}", F.array()), lambda x: x["type"].isin(kinds)).alias(name)
+    return G.sanitize_extraction(read.withColumn("graph", F.struct(allowed("nodes", schema.NODE_LABELS), allowed("relationships", schema.EDGE_TYPES))))
+
+
 def graph_rows(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cleaned (nodes, edges) of extractions: ids by name, merged places and years, remapped and valid edges."""
     clean = G.sanitize_extraction(extracted.withColumnRenamed("id", "doc"))
-    raw = G.flatten_nodes(clean, keys=["doc"]).withColumn("ord", F.col("doc") * 1000 + F.col("pos"))
+    raw = G.flatten_nodes(clean, keys=["doc"]).withColumn("ord", F.struct("doc", "pos"))
     companies, places, years = G.clean_companies(raw), G.clean_locations(raw), G.clean_years(raw)
     text_map = "map<string,string>"
     props = lambda *names: F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v != "").cast(text_map)

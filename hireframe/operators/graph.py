@@ -114,8 +114,8 @@ def merge_locations(locations: DataFrame) -> DataFrame:
     place with most of all rows is aggregated in parts like any other.
     """
     bare = F.when(F.col("name") == F.col("key"), F.col("ord"))
-    last = locations.groupBy("key").agg(F.coalesce(F.max(bare), F.lit(-1)).alias("last_bare"))
-    tail = F.when(F.col("ord") > F.col("last_bare"), F.struct(F.length("name"), "ord"))
+    last = locations.groupBy("key").agg(F.max(bare).alias("last_bare"))
+    tail = F.when(F.col("last_bare").isNull() | (F.col("ord") > F.col("last_bare")), F.struct(F.length("name"), "ord"))
     filled = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("ord")))
     out = locations.join(last, "key").groupBy("key", "id").agg(F.min_by("name", tail).alias("tail"), filled("city").alias("city"), filled("province").alias("province"))
     return out.select("id", F.coalesce("tail", "key").alias("name"), F.coalesce("city", F.lit("")).alias("city"), F.coalesce("province", F.lit("")).alias("province"))

@@ -29,6 +29,16 @@ def unparsed_formats(listings: DataFrame, top: int = 20) -> DataFrame:
     return failed.select(F.coalesce("salary_range", F.lit("NULL")).alias("format"), "cnt").orderBy(F.desc("cnt"), "format").limit(top)
 
 
+def unparsed_report(listings: DataFrame, top: int = 20) -> DataFrame:
+    """The most frequent unread formats, and one row "others" with the number of formats and rows beyond them."""
+    counts = unparsed_formats(listings, 2**31 - 1)
+    best = counts.orderBy(F.desc("cnt"), "format").limit(top)
+    sums = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"))
+    others = sums(counts).crossJoin(sums(best).toDF("n_best", "rows_best"))  # one row each
+    rest = others.select(F.lit("others").alias("format"), (F.col("rows") - F.col("rows_best")).alias("cnt"), (F.col("n") - F.col("n_best")).alias("formats"))
+    return best.select("format", "cnt", F.lit(1).cast("long").alias("formats")).unionByName(rest)
+
+
 def location_counts(listings: DataFrame) -> DataFrame:
     return listings.where(F.col("location").isNotNull() & (F.col("location") != "")).groupBy("location").agg(F.count("id").alias("cnt"))
 

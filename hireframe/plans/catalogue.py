@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["listing_queries", "etl_queries", "graph_queries", "dialogue_queries", "source_queries"]
+MODULES = ["listing_queries", "etl_queries", "graph_queries", "dialogue_queries", "source_queries", "account_queries"]
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
 

@@ -78,18 +78,24 @@ def w10(spark, d):
     return X.with_dense_batches(V.listings(spark, d)).select("data_year", "batch", "id")
 
 
-@query("g8_extract_counts", f"WITH {V.LISTINGS} SELECT type, count(*) AS n FROM (SELECT 'OFFERED_BY' AS type FROM job_listings UNION ALL SELECT 'LOCATED_IN' FROM job_listings UNION ALL SELECT 'YEAR' FROM job_listings) GROUP BY type")
+# the graph of all listings whose text is long enough, ids as the cleaned places, companies and years have them
+BUILT = """n AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+kept AS MATERIALIZED (SELECT o_orderkey AS id, o_custkey, o_orderpriority AS job_title, year(o_orderdate) AS data_year FROM orders, n, documents WHERE doc_id = o_orderkey % n AND length(text) > 10),
+people AS MATERIALIZED (SELECT c_custkey, c_name AS company_name, 'Company_' || left(md5(c_name), 6) AS company, n_name AS place_name, 'Location_' || left(md5(n_name), 6) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey),
+used AS (SELECT id, job_title, company_name, company, place_name, place, data_year FROM kept JOIN people ON o_custkey = c_custkey)"""
+BUILT_EDGES = f"WITH {BUILT} SELECT 'job_' || id AS src, company AS dst, 'OFFERED_BY' AS type FROM used UNION ALL SELECT 'job_' || id, place, 'LOCATED_IN' FROM used UNION ALL SELECT 'job_' || id, 'Year_' || data_year, 'YEAR' FROM used"
+
+
+@query("g8_extract_counts", BUILT_EDGES)
 def g8(spark, d):
-    rows = V.listings(spark, d).withColumn("requirements", F.lit("long enough text"))
-    nodes, edges = X.graph_rows(written(X.extract(X.documents(rows)), "extracted"))
-    return edges.groupBy("type").agg(F.count("*").alias("n"))
+    _, edges = X.graph_rows(written(X.extract(X.documents(V.listings(spark, d, texts=True))), "extracted"))
+    return edges.select("src", "dst", "type")
 
 
-@query("g11_graph_nodes", f"WITH {V.LISTINGS} SELECT * FROM (SELECT 'JobPosting' AS label, count(*) AS n FROM job_listings UNION ALL SELECT 'Company', count(DISTINCT company_name) FROM job_listings UNION ALL SELECT 'Location', count(DISTINCT split_part(location, '-', 1)) FROM job_listings UNION ALL SELECT 'Year', count(DISTINCT data_year) FROM job_listings)")
+@query("g11_graph_nodes", f"WITH {BUILT} SELECT 'job_' || id AS id, 'JobPosting' AS label, job_title AS name FROM used UNION SELECT company, 'Company', company_name FROM used UNION SELECT place, 'Location', place_name FROM used UNION SELECT 'Year_' || data_year, 'Year', CAST(data_year AS VARCHAR) FROM used")
 def g11(spark, d):
-    rows = V.listings(spark, d).withColumn("requirements", F.lit("long enough text"))
-    nodes, _ = X.graph_rows(written(X.extract(X.documents(rows)), "extracted"))
-    return nodes.groupBy(nodes["labels"][0].alias("label")).agg(F.count("*").alias("n"))
+    nodes, _ = X.graph_rows(written(X.extract(X.documents(V.listings(spark, d, texts=True))), "extracted"))
+    return nodes.select("id", nodes["labels"][0].alias("label"), nodes["properties"]["name"].alias("name"))
 
 
 @query("a18_page_outcome", "SELECT count(*) FILTER (o_orderstatus <> 'P') AS succeeded, count(*) FILTER (o_orderstatus = 'P') AS failed, max(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END) AS max_id FROM orders")
@@ -145,19 +151,24 @@ def st6(spark, d):
 
 @query("st_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS cnt FROM events GROUP BY ALL")
 def st_windows(spark, d):
-    counts = S.windowed_counts(V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", keys=["event_type"])
-    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "cnt")
+    """As a stream, whose batches give the counts of the windows they touch; the last count of a window is its own."""
+    stream = _stream(spark, d)
+    counts = S.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", keys=["event_type"])
+    path = fresh_path(spark, "windows")
+    S.run_available(counts, path + "-checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), "update")
+    last = spark.read.parquet(path).groupBy("window", "event_type").agg(F.max_by("cnt", "batch").alias("cnt"))
+    return last.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "cnt")
 
 
-@query("st2_graph_build", f"WITH {V.LISTINGS} SELECT type, count(*) AS n FROM (SELECT 'OFFERED_BY' AS type FROM job_listings UNION ALL SELECT 'LOCATED_IN' FROM job_listings UNION ALL SELECT 'YEAR' FROM job_listings) GROUP BY type")
+@query("st2_graph_build", BUILT_EDGES)
 def st2(spark, d):
     """Listings in two files, each a micro-batch of the resumable build; postings of the second meet companies of the first."""
     from ..streaming.graph_stream import build_graph
 
     source = fresh_path(spark, "listing-files")
-    rows = V.listings(spark, d).withColumn("requirements", F.lit("long enough text"))
+    rows = V.listings(spark, d, texts=True)
     for k in (0, 1):
         rows.where(f"id % 2 = {k}").coalesce(1).write.mode("append").parquet(source)
     stream = S.parquet_stream(spark, source, files_per_batch=1)
     nodes, edges = build_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
-    return edges.groupBy("type").agg(F.count("*").alias("n"))
+    return edges.select("src", "dst", "type")

@@ -94,6 +94,31 @@ def sheet_bytes(header: list[str], rows: list[list]) -> bytes:
     return out.getvalue()
 
 
+#: Rows that a sheet can hold below its header, by its format.
+SHEET_ROWS = 1_048_575
+
+
+def write_xlsx(df: DataFrame, path: str, most: int = SHEET_ROWS) -> str:
+    """One workbook at path; more rows than a sheet holds go to csv with a byte order mark instead. Returns the kind written.
+
+    The format is one file of at most ``most`` rows, so these pass through the driver; larger tables stay distributed.
+    """
+    spark = df.sparkSession
+    if df.limit(most + 1).count() > most:
+        marked = [F.col(f"`{c}`").alias(("\ufeff" if k == 0 else "") + c) for k, c in enumerate(df.columns)]
+        df.select(*marked).write.mode("overwrite").option("header", True).option("escape", '"').csv(path + ".csv")
+        return "csv"
+    rows = [[None if v is None else str(v) for v in r] for r in df.toLocalIterator()]
+    data = sheet_bytes(df.columns, rows)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return "xlsx"
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """Rows of one or many sheets as text columns, with _file and _row; a sheet is one task's work."""
     ship(spark)

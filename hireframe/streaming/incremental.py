@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dialogue as D
@@ -111,3 +111,51 @@ def text_events(events: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, time: str, width: str = "1 hour", delay: str = "1 day", keys: list[str] | None = None) -> DataFrame:
     """An addition: counts in tumbling windows of event time."""
     return events.withWatermark(time, delay).groupBy(F.window(time, width), *(keys or [])).agg(F.count("*").alias("cnt"))
+
+
+def with_fallback(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """Chunks (thread, seq, content); a thread whose stream gave none gets its non-streaming result as the only one."""
+    silent = results.join(chunks.select("thread").distinct(), "thread", "left_anti")
+    return chunks.select("thread", "seq", "content").unionByName(silent.select("thread", F.lit(0).cast("long").alias("seq"), "content"))
+
+
+def merge_thread_state(state: DataFrame | None, messages: DataFrame, keep: int = 6) -> DataFrame:
+    """Per thread: number of messages, last seq, and the last ``keep`` messages, from the stored state and new messages."""
+    tail = lambda c: F.slice(F.reverse(F.array_sort(c)), 1, keep)
+    # the newest of the batch come first, so at most keep messages of a thread are collected
+    newest = F.row_number().over(Window.partitionBy("thread").orderBy(F.desc("seq")))
+    ranked = messages.withColumn("_back", newest)
+    kept = F.collect_list(F.when(F.col("_back") <= keep, F.struct("seq", "role", "content")))
+    new = ranked.groupBy("thread").agg(F.count("*").alias("messages"), F.max("seq").alias("last_seq"), tail(kept).alias("tail"))
+    if state is None:
+        return new
+    both = state.unionByName(new).groupBy("thread").agg(F.sum("messages").alias("messages"), F.max("last_seq").alias("last_seq"), tail(F.flatten(F.collect_list("tail"))).alias("tail"))
+    return both
+
+
+def thread_state(stream: DataFrame, path: str, checkpoint: str, keep: int = 6) -> DataFrame:
+    """Keeps each thread's state over the batches of a stream of messages (thread, seq, role, content); returns the table.
+
+    The state after batch n is the folder n, made of folder n - 1 and the batch: a batch that runs again gives the same.
+    """
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{path}/after={number - 1}") if number else None
+        merge_thread_state(before, batch, keep).write.mode("overwrite").parquet(f"{path}/after={number}")
+
+    run_available(stream, checkpoint, each)
+    return spark.read.parquet(path).where(F.col("after") == spark.read.parquet(path).agg(F.max("after")).first()[0]).drop("after")
+
+
+def clicked_cards(cards: DataFrame, per_page: int = 15, pages: int = 10) -> DataFrame:
+    """Cards (keyword, page, pos, jid, ...) that a run by clicks takes: the first of each page up to an empty one, each id once a run.
+
+    per_page and pages are the run's own limits; a page without cards ends its keyword.
+    """
+    gap = cards.select("keyword", "page").distinct()
+    order = Window.partitionBy("keyword").orderBy("page")
+    reached = gap.withColumn("nth", F.row_number().over(order)).where((F.col("nth") == F.col("page")) & (F.col("page") <= pages)).select("keyword", "page")
+    taken = cards.where(F.col("pos") <= per_page).join(reached, ["keyword", "page"])
+    first = Window.partitionBy("jid").orderBy("keyword", "page", "pos")
+    return taken.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
