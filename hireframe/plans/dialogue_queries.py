@@ -139,14 +139,8 @@ def o6(spark, d):
     return C.session_page(C.sessions(_chat(spark, d)), 10, 20)
 
 
-@query("o7_messages", f"WITH {CHAT} SELECT * FROM chat WHERE thread % 7 = 3")
+@query("o7_messages", f"WITH {CHAT} SELECT * FROM chat")
 def o7(spark, d):
-    rows = _chat(spark, d)
-    return C.session_messages(rows, rows.where("thread % 7 = 3").select("thread").distinct())
-
-
-@query("o7_all_messages", f"WITH {CHAT} SELECT * FROM chat")
-def o7_all(spark, d):
     rows = _chat(spark, d)
     return C.session_messages(rows, rows.select("thread").distinct())
 
@@ -230,9 +224,9 @@ def x35(spark, d):
     return V.table(spark, d, "events").select("event_id", D.usage(line).alias("u")).select("event_id", "u.*")
 
 
-@query("x23_arg_normalise")
+@query("x23_arg_normalise", "SELECT event_id, (['MATCH (n)', 'RETURN 1', 'plain', 'only', ''])[event_id % 5 + 1] AS query FROM events")
 def x23(spark, d):
-    shapes = F.expr("""CASE event_id % 5 WHEN 0 THEN '{"cypher_query":" MATCH (n) "}' WHEN 1 THEN '{"query":"{\\"cypher\\":\\"RETURN 1\\"}"}' WHEN 2 THEN 'plain' WHEN 3 THEN '{"x":"only"}' ELSE '{"x":"a","y":"b"}' END""")
+    shapes = F.expr("""CASE event_id % 5 WHEN 0 THEN '{"cypher_query":" MATCH (n) "}' WHEN 1 THEN '{"query":"{\\\\"cypher\\\\":\\\\"RETURN 1\\\\"}"}' WHEN 2 THEN 'plain' WHEN 3 THEN '{"x":"only"}' ELSE '{"x":"a","y":"b"}' END""")
     return V.table(spark, d, "events").select("event_id", D.normalized_argument(shapes).alias("query"))
 
 
@@ -249,7 +243,7 @@ def x25(spark, d):
     return V.table(spark, d, "events").select("event_id", D.trim_json_leak(F.element_at(_array(leaks), (F.col("event_id") % 4 + 1).cast("int"))).alias("query"))
 
 
-@query("x37_json_repair")
+@query("x37_json_repair", r"SELECT event_id, regexp_replace(props, '\s*([:,])\s*', '\1 ', 'g') AS fixed FROM events")
 def x37(spark, d):
     return V.table(spark, d, "events").select("event_id", D.repair_json(F.expr("left(props, length(props) - CAST(event_id % 2 AS INT))")).alias("fixed"))
 
