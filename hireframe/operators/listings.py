@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import salary, text
 
+#: Rows of the city dimension, at most: it is broadcast, and tried row by row on locations without an exact match.
+MOST_CITIES = 20_000
+
 
 def search(listings: DataFrame, job_title: str | None = None, company_name: str | None = None, location: str | None = None, search_keyword: str | None = None, data_year: int | None = None) -> DataFrame:
     """Substring filters that all hold; the keyword may be in any of four columns. Empty and 0 mean no filter.
@@ -78,10 +81,12 @@ def match_provinces(locations: DataFrame, cities: DataFrame, column: str = "loca
     """Distinct locations with province and tier: 1 exact city, 2 exact alias without 市, 3 first partial match.
 
     Exact tiers are hash joins; a partial match is tried only for what they leave, once for each distinct location. The city
-    table is a dimension of some hundred rows with an order (ord). carry: columns to keep, where locations are distinct already.
+    table is a dimension of at most MOST_CITIES rows (checked) with an order (ord). carry: columns to keep, where locations are distinct already.
     """
     from ..functions.geo import city_name
 
+    if cities.limit(MOST_CITIES + 1).count() > MOST_CITIES:
+        raise ValueError(f"the city table is a dimension of at most {MOST_CITIES} rows")
     found = locations.select(F.col(column).alias("location"), *(carry or []))
     found = found if carry else found.distinct()
     found = found.withColumn("_where", text.strip(F.col("location"))).withColumn("_city", city_name(F.col("location")))
