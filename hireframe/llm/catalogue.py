@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, html_text, license_scan, near_dup, packing, repetition, sharding, topk, toxicity, url_filter
+from . import bpe, centroids, decontaminate, html_text, lexical_search, license_scan, near_dup, packing, repetition, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
         "op9_topk": topk.op9_topk,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_centroid_clusters": centroids.op11_centroid_clusters,
+        "op12_ranked_search": lexical_search.op12_ranked_search,
+        "op13_decontaminate": decontaminate.op13_decontaminate,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict:
     return {
         "op1_url_filter": url_filter.ORACLE,
         "op9_topk": topk.ORACLE,
+        "op11_centroid_clusters": centroids.ORACLE,
+        "op12_ranked_search": lexical_search.ORACLE,
+        "op13_decontaminate": decontaminate.ORACLE,
     }
