@@ -117,11 +117,12 @@ def transfers(state: DataFrame, dims: int, scale: int, clusters: int) -> dict[in
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["c", "limb", "n", "s"])
 
     parts = state.where("_owner <> _from").select("_v", "_owner", "_from").mapInArrow(sums, "c int, limb int, n long, s array<long>")
-    whole = parts.groupBy("c", "limb").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[k].cast("decimal(38,0)")).alias(f"s{k}") for k in range(dims)])
+    digit = parts.select("c", "limb", "n", F.posexplode("s").alias("k", "s")).groupBy("c", "limb", "k").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     found: dict[int, tuple[int, list[int]]] = {}
-    for row in whole.collect():  # a row or two for each cluster
-        n, s = found.get(row["c"], (0, [0] * dims))
-        found[row["c"]] = (n + row["n"], [a + (int(row[f"s{k}"]) << LIMB * row["limb"]) for k, a in enumerate(s)])
+    for row in digit.collect():  # a row or two for each component of a cluster
+        n, s = found.setdefault(row["c"], (0, [0] * dims))
+        s[row["k"]] += int(row["s"]) << LIMB * row["limb"]
+        found[row["c"]] = (n + row["n"] if row["k"] == 0 else n, s)
     return found
 
 
@@ -129,7 +130,7 @@ def first_centroids(rows: DataFrame, clusters: int, scale: int) -> list[list[int
     """The integers of the vectors whose keys have the smallest hashes."""
     hashed = F.sha2(F.concat(F.lit("1:"), F.col("_id").cast("string")), 256)
     chosen = rows.orderBy(hashed.asc_nulls_last(), "_v").limit(clusters).select("_v").collect()
-    return [[int(x) for x in row] for row in floors(np.array([r["_v"] for r in chosen], np.float64).reshape(len(chosen), -1), scale)]
+    return [[int(x) for x in floors(np.array([r["_v"]], np.float64), scale)[0]] for r in chosen]
 
 
 def delta_lloyd(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", dims: int = DIMENSIONS, clusters: int = CLUSTERS, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, list[list[int]]]:
