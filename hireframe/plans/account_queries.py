@@ -8,13 +8,15 @@ from ..functions import dialogue as D
 from ..operators import accounts as A
 from ..operators import extraction as X
 from ..operators import graph as G
+from ..operators import keyed as E
 from ..operators import quality as Q
 from ..scratch import fresh_path, written
 from ..sources import readers as R
 from ..streaming import incremental as S
+from ..streaming import stateful as M
 from . import views as V
 from .catalogue import query
-from .listing_queries import SALARY_SQL
+from .listing_queries import NAMES, PROVINCE_ROWS, SALARY_SQL
 from .source_queries import BUILT
 
 NOW, SECRET = 1_700_000_000, "a secret of the tests"
@@ -51,32 +53,67 @@ def x34(spark, d):
 
 def _stored_listings(spark, d):
     path = fresh_path(spark, "stored-listings")
-    A.save_version(V.listings(spark, d).select("id", "salary_range", "salary_avg"), path)
+    E.save_bucketed(V.listings(spark, d).select("id", "salary_range", "salary_avg"), path, "id")
     return path
 
 
+def _files(spark, path):
+    return sorted(spark.read.parquet(path).inputFiles())
+
+
 FILLED = "CASE WHEN j.salary_range IS NOT NULL AND coalesce(salary_avg, 0) = 0 THEN coalesce(monthly, salary_avg) ELSE salary_avg END"
 
 
 @query("k4_salary_update", f"WITH {V.LISTINGS}, {SALARY_SQL} SELECT id, j.salary_range, {FILLED} AS salary_avg FROM job_listings j LEFT JOIN parsed p ON p.salary_range = j.salary_range")
 def k4(spark, d):
     path = _stored_listings(spark, d)
-    changes = Q.fill_salary(A.read_version(spark, path)).where("monthly IS NOT NULL").select("id", "salary_avg")
-    A.update_rows(spark, path, changes, "id")
-    return A.read_version(spark, path)
+    changes = Q.fill_salary(E.read_bucketed(spark, path)).where("monthly IS NOT NULL").select("id", "salary_avg")
+    E.update_bucketed(spark, path, changes, "id")
+    return E.read_bucketed(spark, path)
 
 
 @query("k6_dry_run", f"WITH {V.LISTINGS}, {SALARY_SQL} SELECT id FROM (SELECT id, salary_avg AS old, {FILLED} AS new FROM job_listings j LEFT JOIN parsed p ON p.salary_range = j.salary_range) WHERE new IS NOT NULL AND old IS DISTINCT FROM new")
 def k6(spark, d):
-    """The keys that an update would change; the stored table has no new version."""
+    """The keys that an update would change; the stored table has no new file."""
     path = _stored_listings(spark, d)
-    changes = Q.fill_salary(A.read_version(spark, path)).where("monthly IS NOT NULL").select("id", "salary_avg")
-    changed = written(A.update_rows(spark, path, changes, "id", dry_run=True), "changed")
-    if A._versions(spark, path) != [1]:
+    before = _files(spark, path)
+    changes = Q.fill_salary(E.read_bucketed(spark, path)).where("monthly IS NOT NULL").select("id", "salary_avg")
+    changed = E.update_bucketed(spark, path, changes, "id", dry_run=True)
+    if _files(spark, path) != before:
+        raise RuntimeError("a dry run has written")
+    return changed.select("id")
+
+
+def _stored_cities(spark, d):
+    """A dimension with a place for each customer, named in all the ways that are cleaned."""
+    path = fresh_path(spark, "stored-cities")
+    names = F.array(*[F.lit(n) for n in NAMES])
+    rows = V.table(spark, d, "customer").select(F.col("c_name").alias("short_name"), F.element_at(names, (F.col("c_custkey") % len(NAMES) + 1).cast("int")).alias("full_name"))
+    E.save_bucketed(rows, path, "short_name")
+    return path
+
+
+CLEANED = f"""WITH known(a, b) AS (VALUES {PROVINCE_ROWS}), names AS (SELECT c_name AS short_name, ([{", ".join("'" + n.replace("'", "''") + "'" for n in NAMES)}])[c_custkey % {len(NAMES)} + 1] AS full_name FROM customer),
+s AS (SELECT *, trim(trim(trim(trim(trim(full_name), '"'), ''''), '"'), '''') AS t FROM names), c AS (SELECT short_name, full_name, CASE WHEN full_name = '' THEN '' ELSE coalesce(b, t) END AS cleaned FROM s LEFT JOIN known ON a = t)"""
+
+
+@query("k6_city_dry_run", f"{CLEANED} SELECT short_name, full_name AS old_full_name, cleaned AS new_full_name FROM c WHERE full_name <> cleaned")
+def k6_cities(spark, d):
+    path = _stored_cities(spark, d)
+    before = _files(spark, path)
+    changed = E.clean_dimension(spark, path)
+    if _files(spark, path) != before:
         raise RuntimeError("a dry run has written")
     return changed
 
 
+@query("k6_city_update", f"{CLEANED} SELECT short_name, cleaned AS full_name FROM c")
+def k6_city_update(spark, d):
+    path = _stored_cities(spark, d)
+    E.clean_dimension(spark, path, dry_run=False)
+    return E.read_bucketed(spark, path)
+
+
 @query(
     "o4_unparsed_report",
     f"""WITH {V.LISTINGS}, {SALARY_SQL}, f AS (SELECT j.salary_range AS format, count(*) AS cnt FROM job_listings j JOIN parsed p ON p.salary_range = j.salary_range WHERE coalesce(salary_avg, 0) = 0 AND monthly IS NULL GROUP BY 1),
@@ -177,10 +214,11 @@ def st7(spark, d):
 
 @query("st8_thread_state", "WITH m AS (SELECT conv_id AS thread, CAST(turn AS BIGINT) AS seq, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT thread, count(*) AS messages, max(seq) AS last_seq, string_agg(text, '|' ORDER BY seq DESC) FILTER (back <= 6) AS tail FROM m GROUP BY thread")
 def st8(spark, d):
-    """The messages come in three files, each a micro-batch."""
-    source = fresh_path(spark, "messages")
+    """The messages come in three parts of several files, a part a micro-batch; the stream is stopped and resumed before the last."""
+    source, out, mark = (fresh_path(spark, f"threads{x}") for x in ("-messages", "", "-checkpoint"))
     rows = V.table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").cast("long").alias("seq"), "role", F.col("text").alias("content"))
     for k in range(3):
-        rows.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(source)
-    state = S.thread_state(S.parquet_stream(spark, source, files_per_batch=1), fresh_path(spark, "threads"), fresh_path(spark, "threads-checkpoint"))
+        S.append_files(rows.where(F.col("seq") % 3 == k), source, ["thread"])
+        if k:
+            state = M.thread_state(S.parquet_stream(spark, source, files_per_batch=S.FILES), out, mark)
     return state.select("thread", "messages", "last_seq", F.array_join(F.transform("tail", lambda m: m["content"]), "|").alias("tail"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import dialogue as D
 from ..functions import text
 from ..operators import conversation as C
+from ..scratch import fresh_path
+from ..streaming import incremental as S
+from ..streaming import stateful as M
 from . import views as V
 from .catalogue import query
 
@@ -92,15 +95,29 @@ def w5(spark, d):
     return C.duplicate_queries(_calls(spark, d)).select("thread", "turn_no", "seq", "key", "nth", "previous")
 
 
-@query(
-    "st9_quota_decision",
-    f"""WITH {CALLS}, c AS (SELECT *, count(result) OVER w AS used, count(*) FILTER ({ROUND.format('result')}) OVER w AS rt, count(*) FILTER ({FAULT.format('result')}) OVER w AS er, {CLASS.format('query')} AS class FROM nth WINDOW w AS (PARTITION BY thread, turn_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT thread, turn_no, seq, CASE WHEN used >= 12 THEN 'hard_cap' WHEN nth > 1 THEN 'duplicate' WHEN er >= 2 THEN 'preflight_cap' WHEN class <> 'ok' THEN class WHEN rt >= 5 THEN 'round_cap' ELSE 'execute' END AS decision FROM c""",
-)
+DECISIONS = f"""WITH {CALLS}, c AS (SELECT *, count(result) OVER w AS used, count(*) FILTER ({ROUND.format('result')}) OVER w AS rt, count(*) FILTER ({FAULT.format('result')}) OVER w AS er, {CLASS.format('query')} AS class FROM nth WINDOW w AS (PARTITION BY thread, turn_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT thread, turn_no, seq, CASE WHEN used >= 12 THEN 'hard_cap' WHEN nth > 1 THEN 'duplicate' WHEN er >= 2 THEN 'preflight_cap' WHEN class <> 'ok' THEN class WHEN rt >= 5 THEN 'round_cap' ELSE 'execute' END AS decision FROM c"""
+
+
+@query("st9_quota_decision", DECISIONS)
 def st9(spark, d):
     return C.quota_decisions(_calls(spark, d)).select("thread", "turn_no", "seq", "decision")
 
 
+@query("st9_online_quota", DECISIONS)
+def st9_online(spark, d):
+    """The same decisions from a stream: calls come in four parts, and the stream is stopped and resumed after each two."""
+    source, out, mark = (fresh_path(spark, f"quota{x}") for x in ("-calls", "", "-checkpoint"))
+    calls = _calls(spark, d)
+    last = calls.agg(F.max("seq")).first()[0] or 0
+    for k in range(4):
+        S.append_files(calls.where(F.floor(F.col("seq") * 4 / (last + 1)) == k), source, ["thread", "turn_no"])
+        if k % 2:
+            with M.state_in_rocksdb(spark):
+                decided = S.append_batches(M.online_quota(S.parquet_stream(spark, source, files_per_batch=S.FILES)), out, mark)
+    return decided
+
+
 @query("j13_paired_calls", f"WITH {TOOLS}, a AS (SELECT thread, turn_no, seq, row_number() OVER (PARTITION BY thread, turn_no ORDER BY seq) AS n FROM turns WHERE role = 'assistant'), b AS (SELECT thread, turn_no, seq, row_number() OVER (PARTITION BY thread, turn_no ORDER BY seq) AS n FROM turns WHERE role = 'tool') SELECT b.thread, b.turn_no, CAST(b.n AS INT) AS nth, b.seq AS result_seq, a.seq AS call_seq FROM b LEFT JOIN a ON a.thread = b.thread AND a.turn_no = b.turn_no AND a.n = b.n")
 def j13(spark, d):
     rows = C.with_turns(_tools(spark, d))
@@ -114,7 +131,38 @@ def j12(spark, d):
     return C.calls_with_results(calls, rows.where("role = 'tool'")).groupBy("thread", "tool_call_id").agg(F.count("*").alias("n"), F.min("result_seq").alias("first_result"))
 
 
-@query("w6_repair_rounds")
+@query(
+    "j12_stream_pairs",
+    """WITH a AS (SELECT user_id AS thread, event_id % 3 AS call, event_id AS call_seq, ts FROM events WHERE event_type = 'view'), b AS (SELECT user_id AS thread, event_id % 3 AS call, event_id AS result_seq, ts FROM events WHERE event_type IN ('purchase', 'error'))
+SELECT a.thread, a.call, call_seq, result_seq FROM a LEFT JOIN b ON b.thread = a.thread AND b.call = a.call AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""",
+)
+def j12_stream(spark, d):
+    """Calls and results as two streams; a last mark on both sides, later than all, lets the watermark pass the open calls."""
+    source, out, mark = (fresh_path(spark, f"pairs{x}") for x in ("-events", "", "-checkpoint"))
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("thread"), (F.col("event_id") % 3).alias("call"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+    last = e.agg(F.max("seq")).first()[0] or 0
+    for k in range(3):
+        S.append_files(e.where(F.floor(F.col("seq") * 3 / (last + 1)) == k), source, ["thread"])
+    for days in (2, 4):
+        marks = e.agg((F.max("at") + F.expr(f"INTERVAL {days} DAY")).alias("at")).where("at IS NOT NULL")
+        S.append_files(marks.select(F.lit(None).cast("long").alias("thread"), F.lit(None).cast("long").alias("call"), F.lit(None).cast("long").alias("seq"), "at", F.explode(F.array(F.lit("view"), F.lit("error"))).alias("event_type")), source, ["event_type"])
+    stream = S.parquet_stream(spark, source, files_per_batch=S.FILES)
+    calls = stream.where("event_type = 'view'").select("thread", "call", F.col("seq").alias("call_seq"), F.col("at").alias("started"))
+    results = stream.where("event_type IN ('purchase', 'error')").select("thread", "call", F.col("seq").alias("result_seq"), F.col("at").alias("ended"))
+    paired = S.append_batches(M.paired_streams(calls, results, ["thread", "call"], "6 hours", "1 hour"), out, mark)
+    return paired.where("call_seq IS NOT NULL").select("thread", "call", "call_seq", "result_seq")
+
+
+@query(
+    "w6_repair_rounds",
+    f"""WITH {TOOLS}, m AS (SELECT *, CASE WHEN event_type = 'view' THEN (['t0', 't1', 't2'])[1:event_id % 4] END AS calls FROM tools JOIN (SELECT event_id, event_type FROM events) ON event_id = seq),
+r AS (SELECT *, sum(CASE WHEN role = 'tool' THEN 0 ELSE 1 END) OVER (PARTITION BY thread ORDER BY seq) AS round FROM m),
+h AS (SELECT thread, round, role AS head, calls AS asked, coalesce(lead(role) OVER (PARTITION BY thread ORDER BY round), 'end') AS next FROM r WHERE role <> 'tool'),
+k AS (SELECT r.*, head, asked, next, row_number() OVER (PARTITION BY r.thread, r.round, r.tool_call_id ORDER BY seq) AS again FROM r LEFT JOIN h ON h.thread = r.thread AND h.round = r.round),
+g AS (SELECT *, role = 'tool' AND coalesce(head = 'assistant' AND list_contains(asked, tool_call_id) AND again = 1, false) AS answers FROM k),
+o AS (SELECT *, coalesce(head = 'assistant' AND next <> 'assistant' AND count(*) FILTER (answers) OVER (PARTITION BY thread, round) < coalesce(len(asked), 0), false) AS undone FROM g)
+SELECT thread, seq, role, CAST(CASE WHEN undone AND role = 'assistant' THEN 0 ELSE coalesce(len(calls), 0) END AS INT) AS n_calls FROM o WHERE role <> 'tool' OR answers AND NOT undone""",
+)
 def w6(spark, d):
     return C.repaired_rounds(_tools(spark, d)).select("thread", "seq", "role", F.size(F.coalesce("calls", F.array().cast("array<string>"))).alias("n_calls"))
 

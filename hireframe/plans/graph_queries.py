@@ -305,6 +305,42 @@ def _shared_skill(spark, d):
 
 query("g12_cypher_shared_skill")(_shared_skill)
 
+# Paths of any length. On the graph above every path ends after some steps; referrals run into a cycle of three.
+
+WALKS = """e AS MATERIALIZED (SELECT row_number() OVER () AS k, src, dst, type FROM edges), w AS (SELECT src, dst, [k] AS used FROM e WHERE src IN (SELECT id FROM nodes WHERE {start})
+ UNION ALL SELECT w.src, e.dst, list_append(used, e.k) FROM w JOIN e ON e.src = w.dst WHERE NOT list_contains(used, e.k))"""
+REFERRALS = """nodes AS (SELECT 'Company_' || c_custkey AS id, 'Company' AS label, c_name AS name FROM customer),
+edges AS (SELECT 'Company_' || c_custkey AS src, 'Company_' || CASE WHEN c_custkey > 3 THEN c_custkey // 3 ELSE c_custkey % 3 + 1 END AS dst, 'REFERS' AS type FROM customer)"""
+
+
+def _referrals(spark, d):
+    c = V.table(spark, d, "customer")
+    label = lambda k: F.concat(F.lit("Company_"), k.cast("string"))
+    to = F.expr("CASE WHEN c_custkey > 3 THEN c_custkey DIV 3 ELSE c_custkey % 3 + 1 END")
+    people = c.select(label(F.col("c_custkey")).alias("id"), F.array(F.lit("Company")).alias("labels"), F.create_map(F.lit("name"), "c_name").alias("properties"))
+    return Graph(people, c.select(label(F.col("c_custkey")).alias("src"), label(to).alias("dst"), F.lit("REFERS").alias("type"), F.create_map().cast("map<string,string>").alias("properties")))
+
+
+def referrals(name: str, text: str, oracle: str, start: str = "true") -> None:
+    query(name, f"WITH RECURSIVE {REFERRALS}, {WALKS.format(start=start)} {oracle}")(lambda spark, d: _referrals(spark, d).query(text))
+
+
+query(
+    "g12_cypher_open_path",
+    f"WITH RECURSIVE {GRAPH}, {WALKS.format(start="label = 'JobPosting' AND name = '1-URGENT'")} SELECT label, name, count(*) AS paths FROM w JOIN nodes ON id = dst GROUP BY ALL",
+)(_cypher("MATCH (p:JobPosting {name: '1-URGENT'})-[*]->(x) RETURN head(labels(x)) AS label, x.name AS name, count(*) AS paths"))
+referrals("g12_cypher_open_cycle", "MATCH (a)-[:REFERS*2..]->(b) RETURN b.name AS name, count(*) AS paths", "SELECT name, count(*) AS paths FROM w JOIN nodes ON id = dst WHERE len(used) >= 2 GROUP BY 1")
+referrals("g12_cypher_nine_steps", "MATCH (a)-[r:REFERS*1..9]->(b) RETURN b.name AS name, count(*) AS paths, max(size(r)) AS longest", "SELECT name, count(*) AS paths, CAST(max(len(used)) AS INT) AS longest FROM w JOIN nodes ON id = dst WHERE len(used) <= 9 GROUP BY 1")
+referrals("g12_cypher_reach", "MATCH (a)-[:REFERS*]->(b) RETURN b.name AS name, count(DISTINCT a) AS reached_from", "SELECT name, count(DISTINCT src) AS reached_from FROM w JOIN nodes ON id = dst GROUP BY 1")
+referrals(
+    "g12_cypher_path_values",
+    "MATCH p = (a:Company)-[:REFERS*0..]->(b) WHERE a.name ENDS WITH '7' RETURN a.name AS name, length(p) AS steps, [n IN nodes(p) WHERE n.name ENDS WITH '1' | right(n.name, 3)] AS ends, size(relationships(p)) AS edges, CASE WHEN b.name = a.name THEN 'self' ELSE last(split(b.name, '#')) END AS target",
+    """, along AS (SELECT w.src, used, list(m.name ORDER BY pos) AS names FROM (SELECT src, used, unnest(used) AS k, unnest(range(len(used))) AS pos FROM w) w JOIN e USING (k) JOIN nodes m ON m.id = e.dst GROUP BY ALL),
+q AS (SELECT name, [name] AS names FROM nodes WHERE ends_with(name, '7') UNION ALL SELECT n.name, list_prepend(n.name, names) FROM along JOIN nodes n ON n.id = along.src)
+SELECT name, CAST(len(names) - 1 AS INT) AS steps, list_transform(list_filter(names, lambda x: ends_with(x, '1')), lambda x: right(x, 3)) AS ends, CAST(len(names) - 1 AS INT) AS edges, CASE WHEN names[-1] = name THEN 'self' ELSE split_part(names[-1], '#', 2) END AS target FROM q""",
+    "ends_with(name, '7')",
+)
+
 TEXTS = ["MATCH (n) RETURN n", "match (n) set n.x=1", "MATCH (n) WHERE n.name='set' RETURN n", "", "RETURN", "MATCH (n) DELETE n", "SHOW DATABASES", "RETURN 1; RETURN 2", "RETURN 1;  ", "CALL db.labels()"]
 TEXT_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TEXTS) + "]"
 

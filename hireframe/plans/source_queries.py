@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as X
 from ..scratch import fresh_path, written
+from ..sources import cards as C
 from ..sources import readers as R
 from ..streaming import incremental as S
+from ..streaming import seen as N
 from . import views as V
 from .catalogue import query
 
@@ -17,9 +19,38 @@ def s18(spark, d):
     return V.table(spark, d, "pages").select("page_id", R.links(F.col("html")).alias("l")).select("page_id", F.size("l").cast("long").alias("n_links"), F.get("l", F.lit(0)).alias("first"))
 
 
-@query("s10_page_records")
+@query(
+    "s10_page_records",
+    """WITH li AS (SELECT page_id, unnest(l) AS name, unnest(range(len(l))) AS idx FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages))
+SELECT page_id, CAST(idx AS INT) AS idx, trim(name) || '__' AS job_id, trim(name) AS name FROM li WHERE idx < 30 AND length(trim(name)) >= 2""",
+)
 def s10(spark, d):
-    return V.table(spark, d, "pages").select("page_id", R.page_record(F.col("html")).alias("r")).select("page_id", "r.*")
+    return C.page_cards(V.table(spark, d, "pages").select("page_id", "html")).select("page_id", "idx", F.col("职位ID").alias("job_id"), F.col("岗位名称").alias("name"))
+
+
+def _result_pages(spark, d):
+    """Result pages of 40 orders each, in three layouts, with fields that are missing or stand in second places."""
+    one = F.expr("""CASE o_orderkey DIV 40 % 3
+WHEN 0 THEN concat('<li class="job-card-box x"><div class="job-info"><a class="job-name" href="/j">', o_orderpriority, if(o_orderkey % 5 = 0, '<br>', ''), '</a><span class="salary">', floor(o_totalprice), '元/月</span></div><p class="job-limit">', o_orderstatus, '<em>年</em></p><a class="company-name">C', o_custkey, '</a></li>')
+WHEN 1 THEN concat('<div class="wide job-card-wrapper"><h3 class="job-title">', if(o_orderkey % 2 = 0, o_orderpriority, ' '), '</h3><a ka="the_job_', o_orderkey, '">J', o_orderkey, '</a><div class="company-text"></div><b class="brand-name"> B ', o_custkey, '</b><i class="job-area">', if(o_orderkey % 3 = 0, '', o_orderstatus), '</i><i class="area">武汉&amp;', o_orderstatus, '</i></div>')
+ELSE concat('<div class="job-primary"><div class="job-info"> ', if(o_orderkey % 7 = 0, o_orderstatus, concat(o_orderpriority, ' extra')), '</div></div>') END""")
+    rows = V.table(spark, d, "orders").select(F.expr("o_orderkey DIV 40").alias("page"), F.struct(F.col("o_orderkey").alias("k"), one.alias("card")).alias("c"))
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["card"]), "\n")  # at most 40 a page
+    return rows.groupBy("page").agg(F.concat(F.lit('<ul><li><a>menu</a></li></ul><ul class="rec-job-list">'), cards, F.lit("</ul>")).alias("html"))
+
+
+@query(
+    "s10_result_cards",
+    """WITH c AS (SELECT *, o_orderkey // 40 AS page, o_orderkey // 40 % 3 AS layout, row_number() OVER (PARTITION BY o_orderkey // 40 ORDER BY o_orderkey) - 1 AS idx FROM orders),
+f AS (SELECT page, CAST(idx AS INT) AS idx,
+ CASE layout WHEN 0 THEN o_orderpriority WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'J' || o_orderkey END ELSE CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus ELSE split_part(o_orderpriority, ' ', 1) END END AS name,
+ CASE layout WHEN 0 THEN 'C' || o_custkey WHEN 1 THEN 'B ' || o_custkey ELSE '' END AS company, CASE layout WHEN 0 THEN CAST(floor(o_totalprice) AS BIGINT) || '元/月' ELSE '' END AS salary,
+ CASE layout WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN '武汉&' || o_orderstatus ELSE o_orderstatus END ELSE '' END AS place, CASE layout WHEN 0 THEN o_orderstatus || '年' ELSE '' END AS experience FROM c WHERE idx < 30)
+SELECT page, idx, name || '_' || company || '_' || place AS job_id, name, company, salary, place, experience FROM f WHERE length(name) >= 2""",
+)
+def s10_cards(spark, d):
+    names = {"职位ID": "job_id", "岗位名称": "name", "公司名称": "company", "薪资范围": "salary", "工作地点": "place", "工作经验": "experience"}
+    return C.page_cards(_result_pages(spark, d)).drop("html").withColumnsRenamed(names)
 
 
 @query("s11_page_paragraph")
@@ -132,6 +163,18 @@ def st3(spark, d):
     return _run(S.without_repeats(_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"]), "st3")
 
 
+@query("st3_long_run", "SELECT user_id, event_type, min(event_id // 1000) AS first_part FROM events GROUP BY ALL")
+def st3_long(spark, d):
+    """Parts of a thousand events each are a batch; the keys that were seen are read from the buckets that a batch touches."""
+    source, out, mark = (fresh_path(spark, f"seen{x}") for x in ("-events", "", "-checkpoint"))
+    e = V.table(spark, d, "events").select("user_id", "event_type", F.expr("event_id DIV 1000").alias("first_part"))
+    part = F.floor(F.col("first_part") * 3 / (e.agg(F.max("first_part")).first()[0] + 1))
+    for k in range(3):
+        # a key's rows of a part are in one file; the first of them is the earliest
+        S.append_files(e.where(part == k).groupBy("user_id", "event_type").agg(F.min("first_part").alias("first_part")), source, ["user_id", "event_type"])
+    return N.append_unseen(S.parquet_stream(spark, source, files_per_batch=S.FILES), out, mark, ["user_id", "event_type"], buckets=64)
+
+
 @query("st4_event_projection", f"WITH {RAW} SELECT thread, seq, CASE event WHEN 'on_chat_model_stream' THEN 'chunk' WHEN 'on_tool_start' THEN 'tool_start' WHEN 'on_tool_end' THEN 'tool_end' ELSE 'tool_error' END AS type, CASE WHEN event <> 'on_chat_model_stream' THEN name END AS name, CASE WHEN event = 'on_chat_model_stream' THEN props END AS content, CASE WHEN event = 'on_tool_start' THEN props END AS cypher_preview, CASE WHEN event = 'on_tool_end' THEN props END AS output_preview, CASE WHEN event = 'on_tool_error' THEN props END AS error FROM raw WHERE event <> 'other' AND (event <> 'on_chat_model_stream' OR seq % 4 <> 0)")
 def st4(spark, d):
     return _run(S.agent_events(_raw_events(_stream(spark, d))), "st4")

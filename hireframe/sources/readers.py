@@ -221,23 +221,3 @@ def longest_paragraph(html: Column) -> Column:
     """The longest paragraph, the first of equals; null without any."""
     found = F.transform(paragraphs(html), lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("i"), p.alias("p")))
     return F.array_max(found)["p"]
-
-
-#: Ordered ways to find a record's fields: (tag, class) candidates, first that gives text wins.
-CARD_FIELDS = {"title": [("span", "job-name"), ("a", "job-name"), ("h1", None), ("h2", None)], "company": [("a", "company-name"), ("span", "company-name"), ("footer", None)], "salary": [("span", "salary"), ("span", "red")]}
-
-
-def record_of(html: str | None) -> dict:
-    found = _Blocks(lambda tag, attrs: any(tag == t and (c is None or c in attrs.get("class", "").split()) for options in CARD_FIELDS.values() for t, c in options))
-    found.feed(html or "")
-    found.close()
-    out = {}
-    for field, options in CARD_FIELDS.items():
-        texts = [next((x for n, a, x in found.done if n == t and (c is None or c in a.get("class", "").split()) and len(x) >= 2), None) for t, c in options]
-        out[field] = next((x for x in texts if x), None)
-    return out
-
-
-@F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in CARD_FIELDS]))
-def page_record(column: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([record_of(h) for h in column], columns=list(CARD_FIELDS))

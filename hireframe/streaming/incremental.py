@@ -61,6 +61,15 @@ def parquet_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.parquet(path[:-1] + f"[{path[-1]}]")
 
 
+#: Files of a part that is added to a folder.
+FILES = 4
+
+
+def append_files(rows: DataFrame, path: str, keys: list[str], files: int = FILES) -> None:
+    """Adds rows to a folder as some files, rows of equal keys in one, so that a stream of the folder takes them in one batch."""
+    rows.repartition(files, *keys).write.mode("append").parquet(path)
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Runs what is there through ``each`` and ends; run again with the same checkpoint, it goes on from there."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
@@ -133,21 +142,6 @@ def merge_thread_state(state: DataFrame | None, messages: DataFrame, keep: int =
     return both
 
 
-def thread_state(stream: DataFrame, path: str, checkpoint: str, keep: int = 6) -> DataFrame:
-    """Keeps each thread's state over the batches of a stream of messages (thread, seq, role, content); returns the table.
-
-    The state after batch n is the folder n, made of folder n - 1 and the batch: a batch that runs again gives the same.
-    """
-    spark = stream.sparkSession
-
-    def each(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{path}/after={number - 1}") if number else None
-        merge_thread_state(before, batch, keep).write.mode("overwrite").parquet(f"{path}/after={number}")
-
-    run_available(stream, checkpoint, each)
-    return spark.read.parquet(path).where(F.col("after") == spark.read.parquet(path).agg(F.max("after")).first()[0]).drop("after")
-
-
 def clicked_cards(cards: DataFrame, per_page: int = 15, pages: int = 10) -> DataFrame:
     """Cards (keyword, page, pos, jid, ...) that a run by clicks takes: the first of each page up to an empty one, each id once a run.
 

@@ -198,7 +198,7 @@ def small_graph(spark):
         ("MATCH (x) WHERE x.n IS NULL OR x.n > 1 RETURN id(x) AS x", [("b",), ("c",)]),
         ("UNWIND [1, 2, 2] AS k WITH k, count(*) AS n WHERE n > $least RETURN k, n", [(2, 2)]),
         ("MATCH (x)-[r:R {w: '5'}]->() RETURN type(r) AS t, r.w + 1 AS w", [("R", 6.0)]),
-        ("MATCH (x:P), (y:Q) RETURN DISTINCT id(y) AS y", [("b",)]),
+        ("MATCH (x:P), (y:Q) WHERE x.n = y.n RETURN DISTINCT id(y) AS y", [("b",)]),
         ("MATCH (x) RETURN x.n AS n ORDER BY n DESC LIMIT 2", [(None,), ("2",)]),
         ("RETURN 1 + 2 * 3 AS v", [(7,)]),
     ],
@@ -207,6 +207,13 @@ def test_patterns(small_graph, source, wanted):
     assert sorted(map(repr, (tuple(r) for r in small_graph.query(source, {"least": 1}).collect()))) == sorted(map(repr, wanted))
 
 
+def test_untied_patterns(small_graph):
+    source = "MATCH (x:P), (y:Q) RETURN DISTINCT id(y) AS y"
+    with pytest.raises(CypherError):
+        small_graph.query(source)
+    assert [tuple(r) for r in Graph(small_graph.nodes, small_graph.edges, cross=True).query(source).collect()] == [("b",)]
+
+
 @pytest.mark.parametrize("source", ["MATCH (n) SET n.x = 1 RETURN n", "CALL db.labels()", "RETURN 1; RETURN 2", "MATCH (n)", "MATCH (n) RETURN $missing", "MATCH (n RETURN n"])
 def test_refused(small_graph, source):
     with pytest.raises(CypherError):
