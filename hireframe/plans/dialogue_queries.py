@@ -143,13 +143,14 @@ def j12_stream(spark, d):
     last = e.agg(F.max("seq")).first()[0] or 0
     for k in range(3):
         S.append_files(e.where(F.floor(F.col("seq") * 3 / (last + 1)) == k), source, ["thread"])
-    for days in (2, 4):
+    none = [F.lit(v).cast("long").alias(c) for c, v in (("thread", -1), ("call", -1), ("seq", None))]  # rows without a key are dropped before they count for the watermark
+    for days in (2, 4):  # each mark in a batch of its own: the watermark of one counts in the next
         marks = e.agg((F.max("at") + F.expr(f"INTERVAL {days} DAY")).alias("at")).where("at IS NOT NULL")
-        S.append_files(marks.select(F.lit(None).cast("long").alias("thread"), F.lit(None).cast("long").alias("call"), F.lit(None).cast("long").alias("seq"), "at", F.explode(F.array(F.lit("view"), F.lit("error"))).alias("event_type")), source, ["event_type"])
-    stream = S.parquet_stream(spark, source, files_per_batch=S.FILES)
-    calls = stream.where("event_type = 'view'").select("thread", "call", F.col("seq").alias("call_seq"), F.col("at").alias("started"))
-    results = stream.where("event_type IN ('purchase', 'error')").select("thread", "call", F.col("seq").alias("result_seq"), F.col("at").alias("ended"))
-    paired = S.append_batches(M.paired_streams(calls, results, ["thread", "call"], "6 hours", "1 hour"), out, mark)
+        S.append_files(marks.select(*none, "at", F.explode(F.array(F.lit("view"), F.lit("error"))).alias("event_type")), source, ["event_type"])
+        stream = S.parquet_stream(spark, source, files_per_batch=S.FILES)
+        calls = stream.where("event_type = 'view'").select("thread", "call", F.col("seq").alias("call_seq"), F.col("at").alias("started"))
+        results = stream.where("event_type IN ('purchase', 'error')").select("thread", "call", F.col("seq").alias("result_seq"), F.col("at").alias("ended"))
+        paired = S.append_batches(M.paired_streams(calls, results, ["thread", "call"], "6 hours", "1 hour"), out, mark)
     return paired.where("call_seq IS NOT NULL").select("thread", "call", "call_seq", "result_seq")
 
 

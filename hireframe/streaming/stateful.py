@@ -2,16 +2,19 @@
 
 A micro-batch touches the state of the keys it has rows of and no other; what it gives out are these keys' rows. The state
 is part of the query's checkpoint: stopped and started again, it goes on from the last batch, and a batch that runs again
-starts from the state before it. State of a key that has no rows for the time to live is dropped.
+starts from the state before it. With a time to live, state of a key that has no rows for so long is dropped; such a query
+asks for expired state batch after batch and never ends by itself, so it is for a stream that stays up.
 """
 
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -22,8 +25,11 @@ from ..operators.conversation import dedupe_key
 from ..shipping import ship
 from .incremental import run_available
 
+# A processor is also asked for its state's schema by a process that has none of the files shipped, so it travels whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: Thirty days, in milliseconds.
+#: A time to live for streams that stay up: thirty days, in milliseconds.
 KEEP_MS = 30 * 24 * 3600 * 1000
 
 
@@ -68,14 +74,14 @@ class ThreadMemory(StatefulProcessor):
         yield pd.DataFrame({"thread": [key[0]], "messages": [n], "last_seq": [last], "tail": [messages]})
 
 
-def thread_memories(messages: DataFrame, keep: int = 6, ttl_ms: int | None = KEEP_MS) -> DataFrame:
+def thread_memories(messages: DataFrame, keep: int = 6, ttl_ms: int | None = None) -> DataFrame:
     """A stream of messages (thread, seq, role, content; seq is never null) as a stream of the threads' states."""
     ship(messages.sparkSession)
     rows = messages.select(F.col("thread").cast("long"), F.col("seq").cast("long"), "role", "content")
     return rows.groupBy("thread").transformWithStateInPandas(ThreadMemory(keep, ttl_ms), f"thread bigint, messages bigint, last_seq bigint, tail array<struct<{MESSAGE.replace(' ', ':').replace(',:', ',')}>>", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
-def thread_state(stream: DataFrame, path: str, checkpoint: str, keep: int = 6, ttl_ms: int | None = KEEP_MS) -> DataFrame:
+def thread_state(stream: DataFrame, path: str, checkpoint: str, keep: int = 6) -> DataFrame:
     """Runs a stream of messages that are there through the memories and returns each thread's; run again, it goes on.
 
     A batch writes the states of its own threads, in a folder of its number; older ones of the same threads are passed over.
@@ -86,7 +92,7 @@ def thread_state(stream: DataFrame, path: str, checkpoint: str, keep: int = 6, t
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     with state_in_rocksdb(spark):
-        run_available(thread_memories(stream, keep, ttl_ms), checkpoint, each, "update")
+        run_available(thread_memories(stream, keep), checkpoint, each, "update")
     return latest(spark.read.parquet(path))
 
 
@@ -113,7 +119,7 @@ class TurnQuota(StatefulProcessor):
         used, trips, faults = self.counters.get() if self.counters.exists() else (0, 0, 0)
         calls = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a turn's calls of one batch
         out = []
-        for seq, query, kind, answered, trip, fault in zip(*(calls[c].tolist() for c in ("seq", "key", "class", "answered", "trip", "fault")), strict=True):
+        for seq, query, kind, answered, trip, fault in zip(*(calls[c].tolist() for c in ("seq", "key", "kind", "answered", "trip", "fault")), strict=True):
             again = self.seen.containsKey((query,))
             if used >= self.hard:
                 decision = "hard_cap"
@@ -133,7 +139,7 @@ class TurnQuota(StatefulProcessor):
         yield pd.DataFrame({"thread": key[0], "turn_no": key[1], "seq": [s for s, _ in out], "decision": [d for _, d in out]})
 
 
-def online_quota(calls: DataFrame, hard: int = 12, errors: int = 2, rounds: int = 5, ttl_ms: int | None = KEEP_MS) -> DataFrame:
+def online_quota(calls: DataFrame, hard: int = 12, errors: int = 2, rounds: int = 5, ttl_ms: int | None = None) -> DataFrame:
     """A stream of calls (thread, turn_no, seq, query, result) as a stream of their decisions.
 
     A turn's calls come in order of seq from batch to batch, as a log gives them; within a batch they are put in order.
@@ -145,7 +151,7 @@ def online_quota(calls: DataFrame, hard: int = 12, errors: int = 2, rounds: int
         F.col("turn_no").cast("long"),
         F.col("seq").cast("long"),
         F.coalesce(dedupe_key(F.col("query")), F.lit("")).alias("key"),
-        preflight(F.col("query")).alias("class"),
+        preflight(F.col("query")).alias("kind"),
         flag(F.col("result").isNotNull()).alias("answered"),
         flag(D.is_round_trip(F.col("result"))).alias("trip"),
         flag(D.is_preflight_error(F.col("result"))).alias("fault"),
@@ -159,7 +165,8 @@ def online_quota(calls: DataFrame, hard: int = 12, errors: int = 2, rounds: int
 def paired_streams(starts: DataFrame, ends: DataFrame, keys: list[str], within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Each start (keys, started, ..) with the ends (keys, ended, ..) that follow it within a time; a start without any has nulls.
 
-    Rows may come ``late``; beyond it, the state of both sides is dropped, and starts without an end are given out.
+    Rows may come ``late``; beyond it, the state of both sides is dropped, and starts without an end are given out, in the
+    batch after the one whose times passed them. Rows with a null key move no watermark.
     """
     a = starts.withWatermark("started", late).select(*[F.col(k).alias(f"_a_{k}") for k in keys], *[c for c in starts.columns if c not in keys])
     b = ends.withWatermark("ended", late).select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in ends.columns if c not in keys])
