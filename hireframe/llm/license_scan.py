@@ -2,14 +2,16 @@
 
 A text's lines are its paragraphs. Those that hold an anchor word get the sum of the weights of their
 n-grams (sparse logistic regression, see license_model), whose softmax gives the family or the calibrated
-unknown class. A family counts once its templates confirm it: the paragraph must contain most word pairs
-of one of them. A further family of the same line counts if the line also contains most of the pairs that
-only this family's templates have.
+unknown class. The classifier identifies: a family that is not likelier than the unknown class, or whose
+probability stays below the minimum when the other licences found there are left aside, is no result,
+whatever its templates say. The templates only confirm: the paragraph must contain most word pairs of one
+of the family's, and for a further family of the same line most of the pairs that only its templates have.
 
 A notice may be broken into lines. A line without a family of its own, but made up of the word pairs of a
 family's templates, is read with the words around it, as many as the longest template has on either side,
-blank lines or not. The family counts if these words contain most pairs of a template and most of its
-pairs that only this family has, or (a notice cut short) if they are mostly part of one template.
+blank lines or not; these words are a paragraph that the classifier judges by the same rule. To confirm
+its family they must contain most pairs of a template and most of its pairs that only this family has,
+or (a notice cut short) be mostly part of one template.
 
 Everything is one projection: no shuffle, no Python on the executors; the model is a constant of the plan,
 of bounded size (at most the n-grams of the templates).
@@ -118,6 +120,13 @@ def _rated(shown: Column, others: Column, logits: Column) -> Column:
     return F.transform(shown, lambda f: F.struct(f["family"].alias("family"), F.least(F.lit(1.0), weight(f["at"]) / F.greatest(weight(f["at"]), _total(logits) - aside(f))).alias("probability"), f["cover"].alias("cover")))
 
 
+def _identified(shown: Column, others: Column, logits: Column, model: LicenseModel) -> Column:
+    """Those of the confirmed families that the classifier names: likelier than the unknown class, and probable enough."""
+    least = F.element_at(logits, model.classes.index(UNKNOWN) + 1)
+    above = F.filter(shown, lambda f: F.element_at(logits, f["at"] + 1) > least)
+    return F.filter(bound(above, lambda some: _rated(some, others, logits)), lambda f: f["probability"] >= MIN_PROBABILITY)
+
+
 def classified(words: Column, model: LicenseModel) -> Column:
     """Array of (family, probability, cover) of a line's words: the licences that it names."""
     none = F.array().cast("array<struct<family: string, probability: double, cover: double>>")
@@ -129,7 +138,7 @@ def classified(words: Column, model: LicenseModel) -> Column:
         first = x["c"]
         sure = (first["probability"] >= MIN_PROBABILITY) & (first["cover"] >= MIN_COVER)
         best = (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int")
-        rest = bound(_shown(F.filter(families_of(model), lambda f: ~sure | (f["family"] != first["family"])), x["pairs"], False), lambda s: _rated(s, F.when(sure, F.array(best)).otherwise(F.array().cast("array<int>")), x["z"]))
+        rest = bound(_shown(F.filter(families_of(model), lambda f: ~sure | (f["family"] != first["family"])), x["pairs"], False), lambda s: _identified(s, F.when(sure, F.array(best)).otherwise(F.array().cast("array<int>")), x["z"], model))
         return F.when(first["family"] == UNKNOWN, none).otherwise(F.concat(F.when(sure, F.array(first)).otherwise(none), rest))
 
     return bound(F.struct(logits_of(words, model).alias("z"), _windows(words, 2).alias("pairs")), judged)
@@ -152,7 +161,7 @@ def broken(lines: Column, at: Column, model: LicenseModel) -> Column:
         return F.filter(families_of(model), lambda f: F.size(F.array_intersect(f["all"], pairs)) >= F.greatest(F.lit(1.0), MIN_COVER * F.size(F.array_distinct(pairs))))
 
     def read(families: Column) -> Column:
-        return F.when(F.size(families) == 0, none).otherwise(bound(around(model.longest), lambda w: bound(_shown(families, _windows(w, 2), True), lambda s: F.when(F.size(s) == 0, none).otherwise(bound(logits_of(w, model), lambda z: _rated(s, F.array().cast("array<int>"), z))))))
+        return F.when(F.size(families) == 0, none).otherwise(bound(around(model.longest), lambda w: bound(_shown(families, _windows(w, 2), True), lambda s: F.when(F.size(s) == 0, none).otherwise(bound(logits_of(w, model), lambda z: _identified(s, F.array().cast("array<int>"), z, model))))))
 
     return bound(bound(_windows(around(1), 2), made_up), read)
 

@@ -410,6 +410,26 @@ def test_calibration_of_unseen_wording():
             assert brute_license(model, t)[0] == license_model.UNKNOWN, t
 
 
+def altered(model, weights=None, bias=None):
+    return license_model.LicenseModel(model.classes, weights or model.weights, bias or model.bias, model.references, model.longest, model.scale)
+
+
+def test_the_classifier_decides(spark):
+    """Texts in which every template confirms: nothing is found by a model that knows nothing, or takes all for unknown."""
+    model = license_model.trained()
+    texts = [*[t for t, f in LICENSES.items() if f], *WRAPPED.values(), "Released under the MIT License and licensed under the Apache License, Version 2.0."]
+    found = lambda m: [{x["family"] for x in r["licenses"]} for r in license_scan.scan_licenses(docs(spark, texts), model=m).orderBy("doc_id").collect()]
+    assert all(found(model))
+    blind = altered(model, weights={g: [0.0] * len(model.classes) for g in model.weights})
+    assert not any(found(blind))
+    unknown = model.classes.index(license_model.UNKNOWN)
+    assert not any(found(altered(model, bias=[b + 1e3 * (k == unknown) for k, b in enumerate(model.bias)])))
+    # a model that takes MIT for ISC names neither: its families are not confirmed
+    mit, isc = model.classes.index("MIT"), model.classes.index("ISC")
+    turned = {g: [w[isc] if k == mit else w[mit] if k == isc else x for k, x in enumerate(w)] for g, w in model.weights.items()}
+    assert all("MIT" not in f and "ISC" not in f for f in found(altered(model, weights=turned)))
+
+
 WRAPPED = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
