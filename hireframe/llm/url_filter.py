@@ -1,15 +1,18 @@
 """URL filter by rules (host, path prefix), as a sort-merge range join in DataFrame operations.
 
 A host is turned into its reversed labels (``www.example.com`` -> ``com.example.www``), so a rule for a
-host and its subdomains becomes a prefix of the key. Each url asks at every level of its host that some
-rule can have; within one host a rule's path prefix is the interval [path, path + 0xFF) of bytes, and
-the intervals of a host are nested or disjoint. Rule bounds and urls are sorted together by
-(host, path) and swept once: the running sum of starts and ends is the depth of the stack of active
-rules, and the rule last opened at that depth is its top.
-
-Skew: a host may hold most urls (all of ``com``). Hosts above 1/512 of the asked keys (at most 512 of
-them, whatever the input) are split into salts, and their rules repeated for each salt. A salt depends on the
-row and on the partition that read it, so rows that are equal are split as well.
+host and its subdomains becomes a prefix of the key. A verdict depends on host and path alone, so each
+pair of them is judged once: it asks at every level of its host that some rule can have; within one host a
+rule's path prefix is the interval [path, path + 0xFF) of bytes, and the intervals of a host are nested or
+disjoint. Rule bounds and pairs are sorted together by (host, path) and swept once: the running sum of
+starts and ends is the depth of the stack of active rules, and the rule last opened at that depth is its
+top. A rule covers a set of hosts times a set of paths, which is no one interval of a joined key: that is
+why the levels of a host are asked one by one, and the longest of their tops wins. Rows then take the
+verdict of their pair by a join.
+
+Skew: a host may hold most pairs (all of ``com``), and a pair most rows. Hosts above 1/512 of the asked keys (at
+most 512 of them, whatever the input) are split into salts, and their rules repeated for each salt; rows of a hot
+pair are dealt over salts in the join, by their place in what was read, so rows that are equal are split as well.
 
 Defined results: null url or no ``://`` gives empty host and path and the default verdict; repeated rows
 stay; of rules with the same host and path, ``block`` wins; an empty rule table leaves every url to the
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import hot_keys, spread_join, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host is hot above this share of the asked keys; at most so many hosts can be.
@@ -70,12 +73,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     depth = ruled.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("d")).first()["d"] or 1
 
     urls = pages.select(F.col(key).alias("_id"), F.coalesce(url_host(F.col(url)), F.lit("")).alias("host"), F.coalesce(url_path(F.col(url)), F.lit("")).alias("path"))
+    pairs = written(urls.groupBy("host", "path").agg(F.count("*").alias("rows")), "url-pairs")
     labels = F.reverse(F.split("host", r"\.", -1))
     levels = F.sequence(F.lit(1), F.least(F.size("_labels"), F.lit(depth)))
     asked = (
-        urls.withColumn("_labels", labels)
-        .select("_id", "host", "path", "_labels", F.explode(levels).alias("level"))
-        .select("_id", "host", "path", "level", F.array_join(F.slice("_labels", F.lit(1), F.col("level")), ".").alias("rhost"))
+        pairs.withColumn("_labels", labels)
+        .select("host", "path", "_labels", F.explode(levels).alias("level"))
+        .select("host", "path", F.array_join(F.slice("_labels", F.lit(1), F.col("level")), ".").alias("rhost"))
     )
     counts = asked.groupBy("rhost").count()
     total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
@@ -102,14 +106,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     )
     points = salted(asked).select(
         "rhost",
-        F.pmod(F.xxhash64("_id", "host", "path", F.spark_partition_id()), F.col("salts")).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"),
         F.col("path").cast("binary").alias("at"),
         F.lit(1).alias("kind"),
         F.lit(0).alias("step"),
-        "_id",
         "host",
         "path",
-        "level",
     )
     swept = bounds.unionByName(points, allowMissingColumns=True)
     order = Window.partitionBy("rhost", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -117,18 +119,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     topped = (
         swept.withColumn("depth", F.sum("step").over(order))
         .withColumn("top", F.last("rule", ignorenulls=True).over(level))
-        .where(F.col("kind") == 1)
-        .withColumn("top", F.when(F.col("depth") > 0, F.col("top")))
-        .where(F.col("top").isNotNull() | (F.col("level") == 1))
-    )
-    best = topped.groupBy("_id", "host", "path").agg(F.max("top").alias("top"), F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("n"))
-    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(
-        F.col("_id").alias(key),
-        "host",
-        "path",
-        F.col("top.col3").alias("rule"),
-        F.coalesce(F.col("top.verdict"), F.lit(default)).alias("verdict"),
+        .where((F.col("kind") == 1) & (F.col("depth") > 0) & F.col("top").isNotNull())
     )
+    best = topped.groupBy("host", "path").agg(F.max("top").alias("top"))
+    rows = pairs.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    place = F.monotonically_increasing_id()  # of a row among those its task reads: the same whenever the task runs again
+    judged = spread_join(urls, best, ["host", "path"], hot_keys(pairs, ["host", "path"], "rows", rows), place, "left")
+    return judged.select(F.col("_id").alias(key), "host", "path", F.col("top.col3").alias("rule"), F.coalesce(F.col("top.verdict"), F.lit(default)).alias("verdict"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
