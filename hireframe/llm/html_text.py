@@ -6,10 +6,14 @@ and the contents (its text outside links) are counted over the host's pages, pag
 importance of a node is the entropy of its contents and presentations, scaled to 0..1 by the number of pages
 that have it: a branch that reads the same on nearly every page has an importance near 0, and so has a menu,
 whose text is all links. Where the markup speaks against a branch (tags and names of menus, headers, footers,
-sidebars, notices, adverts, forms or comments; or it stands beside the page's articles or main element) its
-importance is a tenth of that, for entropy cannot tell an advert or a comment that differs from page to page
-from an article. Of a node that fewer than ``MIN_PAGES`` pages have, only the markup tells. Branches of low
-importance are removed from each page of the host, those within articles too.
+sidebars, notices, adverts, forms or comments; or it stands beside the page's articles or main element) entropy
+alone cannot tell an advert or a footer that differs from page to page from an article; how much of the pages'
+text outside links the branch holds can. One that holds at least half of it, over the host's pages, is what the
+pages are about, whatever its name: it keeps its importance. Of any other it is a tenth, and of comments, too,
+which may be longer than what they comment on. Of a node that fewer than ``MIN_PAGES`` pages have, only the
+markup tells. Branches of low importance are removed from each page of the host, those within articles too.
+So the markup's word is overruled in both directions: an unnamed strap goes, a story in a box named like a
+widget, or beside the teasers that are the page's only articles, stays.
 
 Not removed for its entropy: a branch that holds over half of the page's body text (the text of paragraphs,
 headings, lists and tables outside links, or where there is none all text outside links), as several pages may
@@ -35,6 +39,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +51,8 @@ from .url_filter import url_host
 
 #: A node is judged by entropy if so many pages of the host have it, and removed below this importance.
 MIN_PAGES, MIN_IMPORTANCE, CONTENT_SHARE = 8, 0.15, 0.9
-#: What the markup's word against a node leaves of its importance.
-AGAINST = 0.1
+#: What the markup's word against a node leaves of its importance, unless it holds so many thousandths of the pages' text.
+AGAINST, HELD = 0.1, 500
 #: So many removed nodes at most are broadcast (eight bytes each).
 BROADCAST_NODES = 2_000_000
 
@@ -268,8 +273,8 @@ def judged(node: Node) -> bool:
     return node.against or not (node.framing or node.tag in ("#root", "html", "body", "article", "main") or node.tag in BODY_TEXT or node.tag in INLINE)
 
 
-def body_paths(root: Node) -> set[int]:
-    """Paths of the branches that hold over half of the page's body text and are not spoken against."""
+def body_paths(root: Node, gone: set[int]) -> set[int]:
+    """Paths of the branches that hold over half of the page's body text, outside those that are spoken against and gone."""
     # lengths of the text in BODY_TEXT elements and of all text, both outside links
     held: dict[int, list[int]] = {}
     stack = [(root, False, [0, 0], iter(root.children))]
@@ -280,7 +285,7 @@ def body_paths(root: Node) -> set[int]:
                 n = len("".join(child.split())) * (not top.framing)
                 sums[0] += n * told
                 sums[1] += n
-            elif child.tag != "a" and not child.unseen and not child.against:
+            elif child.tag != "a" and not child.unseen and not (child.against and child.path in gone):
                 stack.append((child, told or child.tag in BODY_TEXT, [0, 0], iter(child.children)))
                 break
         else:
@@ -324,7 +329,7 @@ def extract(source: str, removed: Removed | None = None, host: int = 0) -> str:
             todo += top.elements()
         gone = removed.among(paths)
         if gone:
-            gone -= body_paths(root)
+            gone -= body_paths(root, gone)
     return "\n\n".join(blocks(root, gone))
 
 
@@ -332,13 +337,17 @@ def extract(source: str, removed: Removed | None = None, host: int = 0) -> str:
 PLAIN, SPOKEN, MARK = range(3)
 
 
-def style_counts(source: str, host: int = 0) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Hash of the page's text, and (path, hash of its content, hash of its presentation, kind) of the nodes that may be removed and of the mark."""
+def style_counts(source: str, host: int = 0) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Hash of the page's text, and (path, hash of its content, hash of its presentation, kind, share) of the nodes that may be removed and of the mark.
+
+    share: thousandths of the page's text outside links that a node holds which is spoken against, but not as comments; else 0.
+    """
     root = page_tree(source, host)
     said: list[str] = []  # text outside links, in page order
     spans: dict[int, list[tuple[int, int]]] = {}
     styles: dict[int, list[str]] = {}
     kinds: dict[int, int] = {}
+    weighed: set[int] = set()
     stack = [(root, 0, iter(root.children))]
     while stack:
         top, start, rest = stack[-1]
@@ -357,9 +366,15 @@ def style_counts(source: str, host: int = 0) -> tuple[int, list[tuple[int, int,
                 spans.setdefault(top.path, []).append((start, len(said)))
                 styles.setdefault(top.path, []).append(",".join(c.tag for c in top.elements()))
                 kinds[top.path] = SPOKEN if top.against else PLAIN
+                if top.against and COMMENT_NAMES.isdisjoint(top.names | top.parts):
+                    weighed.add(top.path)
+    sizes = list(accumulate(map(len, said), initial=0))
+    share = {k: 1000 * sum(sizes[b] - sizes[a] for a, b in spans[k]) // max(1, sizes[-1]) for k in weighed}
     content = {k: _hash("\n".join(x for a, b in v for x in said[a:b])) for k, v in spans.items()}
-    text = _hash("\n".join(blocks(root, None)))
-    return text, [(tree_mark(host), text, text, MARK), *((k, content[k], _hash(";".join(styles[k])), kinds[k]) for k in sorted(spans))]
+    # what tells pages apart: their text by the markup, and what it speaks against but holds most of the page
+    large = [content[k] for k in sorted(share) if share[k] >= HELD]
+    text = _hash("\n".join([*blocks(root, None), *map(str, large)]))
+    return text, [(tree_mark(host), text, text, MARK, 0), *((k, content[k], _hash(";".join(styles[k])), kinds[k], share.get(k, 0)) for k in sorted(spans))]
 
 
 def page_host(url: str) -> Column:
@@ -369,7 +384,7 @@ def page_host(url: str) -> Column:
 
 def low_importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, node) of the style trees' nodes whose importance is below MIN_IMPORTANCE, and of the trees' marks."""
-    parts = ("node", "content", "style", "kind")
+    parts = ("node", "content", "style", "kind", "share")
     entry = pa.list_(pa.struct([(c, pa.int64()) for c in parts]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,15 +400,15 @@ def low_importance(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
     taken = pages.select(page_host(url).alias("host"), F.col(f"`{html}`").alias("html"))
     # pages of one text count once, whatever their number
-    texts = taken.mapInArrow(count, "host long, said long, nodes array<struct<node: long, content: long, style: long, kind: long>>").groupBy("host", "said").agg(F.min("nodes").alias("nodes"))
+    texts = taken.mapInArrow(count, "host long, said long, nodes array<struct<node: long, content: long, style: long, kind: long, share: long>>").groupBy("host", "said").agg(F.min("nodes").alias("nodes"))
     nodes = texts.select("host", F.explode("nodes").alias("x"))
     values = F.explode(F.expr("array(struct(true AS content, x.content AS value), struct(false AS content, x.style AS value))"))
-    counts = nodes.select("host", "x.node", "x.kind", values.alias("y")).groupBy("host", "node", "kind", "y.content", "y.value").agg(F.count("*").alias("n"))
-    entropy = counts.groupBy("host", "node", "kind", "content").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log"))
+    counts = nodes.select("host", "x.node", "x.kind", "x.share", values.alias("y")).groupBy("host", "node", "kind", "y.content", "y.value").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
+    entropy = counts.groupBy("host", "node", "kind", "content").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log"), F.sum("share").alias("share"))
     scaled = F.greatest(F.lit(0.0), (F.log("pages") - F.col("n_log") / F.col("pages")) / F.log(F.greatest("pages", F.lit(2))))
     share = F.when(F.col("content"), CONTENT_SHARE).otherwise(1 - CONTENT_SHARE)
-    nodes = entropy.groupBy("host", "node", "kind").agg(F.max("pages").alias("pages"), F.sum(scaled * share).alias("importance"))
-    told = F.when(F.col("kind") == SPOKEN, AGAINST).otherwise(1.0)
+    nodes = entropy.groupBy("host", "node", "kind").agg(F.max("pages").alias("pages"), F.sum(scaled * share).alias("importance"), F.max("share").alias("share"))
+    told = F.when((F.col("kind") == SPOKEN) & ((F.col("pages") < MIN_PAGES) | (F.col("share") < HELD * F.col("pages"))), AGAINST).otherwise(1.0)
     importance = F.when(F.col("pages") >= MIN_PAGES, F.col("importance")).otherwise(1.0) * told
     nodes = written(nodes.select("host", "node", "kind", "pages", importance.alias("importance")), "style-nodes")
     # every page carries its host's mark, so the mark's pages are the host's

@@ -200,6 +200,29 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+STORY = "Story {i} tells of {x} and of all that came of it, at some length, for a page is about something"
+OVERRULED = {
+    "widget.org": ("<div class='widget-content'><h1>Title {i}</h1><p>" + STORY + "</p></div><div class='ad-box'>Buy {i} now</div>", "Title {i}\n\n" + STORY),
+    "teaser.org": ("<div class='story'><p>" + STORY + "</p></div><article class='teaser'>More {i}</article><div class=legal>Imprint</div>", STORY + "\n\nMore {i}"),
+    "talk.org": ("<div class='post'><p>Post {i} on {x}</p></div><div id='comments'><p>" + STORY + "</p><p>" + STORY + " again</p></div>", "Post {i} on {x}"),
+    "bare.org": ("<div class=u><a href=/>Home</a> <a href=/n>News</a></div><div class=v><div class=s>Open all day, every day</div><div class=t><p>" + STORY + "</p></div></div><div class=w>Open all day, every day</div>", STORY),
+}
+
+
+def test_evidence_overrules_the_markup(spark):
+    """A story in a box that is named like a widget, or beside teasers, stays; comments go though they are longer; bare markup comes out clean."""
+    fill = lambda t, i: t.format(i=i, x="x" * (i + 1))
+    rows = [(i, f"http://{h}/{i}", "<body>" + fill(page, i) + "</body>") for h, (page, _) in OVERRULED.items() for i in range(20)]
+    rows += [(i, f"http://few.org/{i}", fill(OVERRULED["widget.org"][0], i)) for i in range(3)]
+    out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in out:
+        host = r["url"].split("/")[2]
+        wanted = "" if host == "few.org" else fill(OVERRULED[host][1], r["page_id"])  # of few pages only the markup tells
+        assert r["main"]["text"] == wanted, r["url"]
+    by_markup = {r["url"].split("/")[2]: html_text.extract(r["html"]) == fill(OVERRULED[r["url"].split("/")[2]][1], r["page_id"]) for r in out if "few" not in r["url"]}
+    assert by_markup == {"widget.org": False, "teaser.org": False, "talk.org": True, "bare.org": False}
+
+
 def test_copies_of_an_article_stay(spark):
     rows = [(i, "http://c.org/x", "<nav>n</nav><article><h1>H</h1><p>Same text</p></article>") for i in range(30)]
     out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
@@ -239,15 +262,17 @@ def plain_style_trees(rows):
         if len(held) < html_text.MIN_PAGES:
             continue
         seen: dict = {}
+        shares: dict = {}
         for nodes in held.values():
-            for node, content, style, kind in nodes:
+            for node, content, style, kind, share in nodes:
                 seen.setdefault((node, kind), []).append((content, style))
+                shares[node, kind] = shares.get((node, kind), 0) + share
         for (node, kind), many in seen.items():
             n, importance = len(many), 1.0
             if n >= html_text.MIN_PAGES:
                 entropy = [sum(-c / n * np.log(c / n) for c in Counter(x).values()) / np.log(n) for x in zip(*many, strict=True)]
                 importance = html_text.CONTENT_SHARE * entropy[0] + (1 - html_text.CONTENT_SHARE) * entropy[1]
-            if kind == html_text.SPOKEN:
+            if kind == html_text.SPOKEN and (n < html_text.MIN_PAGES or shares[node, kind] < html_text.HELD * n):
                 importance *= html_text.AGAINST
             if kind == html_text.MARK or importance < html_text.MIN_IMPORTANCE:
                 out.add((host, node))
