@@ -6,7 +6,9 @@ as several rules depend on the order in which nodes were extracted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -198,17 +200,39 @@ def new_edges(candidates: DataFrame, nodes: DataFrame, stored: DataFrame) -> Dat
     return fresh.join(edge_key(stored).select(*keys), keys, "left_anti").drop("_props")
 
 
-def load_stats(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of candidate edges: rows, missing fields, missing ends, loadable; and the first example of each fault."""
+def judged_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate edges with _fault: field (src, type or dst is missing), end (an end is no node), or null."""
     ids = nodes.select("id").distinct()
     marked = candidates.join(ids.select(F.col("id").alias("src"), F.lit(1).alias("_s")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(1).alias("_d")), "dst", "left")
-    lacking = F.coalesce(F.col("src"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("dst"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("type"), F.lit("")).eqNullSafe("")
-    loose = ~lacking & (F.col("_s").isNull() | F.col("_d").isNull())
-    sample = F.concat_ws(" ", "src", "type", "dst")
-    return marked.agg(
-        F.count("*").alias("edges"),
-        F.count_if(lacking).alias("missing_field"),
-        F.count_if(loose).alias("missing_end"),
-        F.count_if(~lacking & ~loose).alias("loadable"),
-        F.min(F.when(loose, sample)).alias("first_missing_end"),
-    )
+    lacking = reduce(Column.__or__, [F.coalesce(F.col(c), F.lit("")) == "" for c in ("src", "dst", "type")])
+    fault = F.when(lacking, "field").when(F.col("_s").isNull() | F.col("_d").isNull(), "end")
+    return marked.withColumn("_fault", fault).drop("_s", "_d")
+
+
+def load_figures() -> list[Column]:
+    """Of judged edges: rows, missing fields, missing ends, loadable; and the first example of a missing end."""
+    fault = F.coalesce("_fault", F.lit(""))
+    return [
+        F.count(F.lit(1)).alias("edges"),
+        F.count_if(fault == "field").alias("missing_field"),
+        F.count_if(fault == "end").alias("missing_end"),
+        F.count_if(fault == "").alias("loadable"),
+        F.min(F.when(fault == "end", F.concat_ws(" ", "src", "type", "dst"))).alias("first_missing_end"),
+    ]
+
+
+def load_stats(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    return judged_edges(candidates, nodes).agg(*load_figures())
+
+
+def load_edges(candidates: DataFrame, nodes: DataFrame, path: str) -> dict:
+    """Writes the loadable edges to path; returns the load's figures, which are taken in the write itself, without a second pass."""
+    seen = Observation()
+    judged_edges(candidates, nodes).observe(seen, *load_figures()).where("_fault IS NULL").drop("_fault").write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
+def collected_neighbours(edges: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node and the list of its distinct (rel, node) pairs, in order; an empty list if it has none."""
+    pair = F.struct(F.struct("type", "props", "direction").alias("rel"), F.struct(F.col("other").alias("id"), F.col("other_labels").alias("labels")).alias("node"))
+    return neighbourhood(edges, nodes, node_id).groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("other").isNotNull(), pair))).alias("relationships"))

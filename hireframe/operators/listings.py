@@ -77,11 +77,41 @@ def shares(stats: DataFrame) -> DataFrame:
     return stats.where("cnt > 0").withColumn("percent", F.round(100 * F.col("cnt") / whole, 2))
 
 
+#: Characters of the grams by which names are found within others.
+GRAM = 3
+
+
+def grams(c: Column, *sizes: int) -> Column:
+    """Distinct runs of so many characters."""
+    one = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))
+    runs = [F.when(F.length(c) >= n, one(n)) for n in sizes]
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(r, F.array().cast("array<string>")) for r in runs])))
+
+
+def name_grams(cities: DataFrame) -> DataFrame:
+    """An inverted list of names (side, gram, short_name, full_name, ord): 'name' has each name by its rarest gram, 'part' by all of its grams.
+
+    A text that holds a name holds its rarest gram; a part of a name of at most GRAM characters is a gram, a longer one begins with one.
+    Empty texts are part of every name, and an empty name of every text: for these the first name, or the first empty one, will do.
+    """
+    named = cities.where("short_name IS NOT NULL").select("short_name", "full_name", "ord")
+    size = F.least(F.length("short_name"), F.lit(GRAM))
+    own = F.when(size == 0, F.array(F.lit(""))).otherwise(F.coalesce(*[F.when(size == n, grams(F.col("short_name"), n)) for n in range(1, GRAM + 1)]))
+    each = named.withColumn("gram", F.explode(own))
+    often = each.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "gram").groupBy("short_name", "full_name", "ord").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    parts = named.withColumn("gram", F.explode(grams(F.col("short_name"), *range(1, GRAM + 1))))
+    first = named.orderBy("ord").limit(1).withColumn("gram", F.lit(""))
+    sides = [rarest.withColumn("side", F.lit("name")), parts.withColumn("side", F.lit("part")), first.withColumn("side", F.lit("part"))]
+    return reduce(DataFrame.unionByName, sides)
+
+
 def match_provinces(locations: DataFrame, cities: DataFrame, column: str = "location", aliases: bool = True, unknown: str | None = "未知", carry: list[str] | None = None) -> DataFrame:
     """Distinct locations with province and tier: 1 exact city, 2 exact alias without 市, 3 first partial match.
 
-    Exact tiers are hash joins; a partial match is tried only for what they leave, once for each distinct location. The city
-    table is a dimension of at most MOST_CITIES rows (checked) with an order (ord). carry: columns to keep, where locations are distinct already.
+    Exact tiers are hash joins. For what they leave, each location once, a partial match (a name within the location, or the
+    location's city within a name) is found by an equality of character grams and then verified. The city table is a
+    dimension of at most MOST_CITIES rows (checked) with an order (ord). carry: columns to keep, where locations are distinct already.
     """
     from ..functions.geo import city_name
 
@@ -94,8 +124,15 @@ def match_provinces(locations: DataFrame, cities: DataFrame, column: str = "loca
     alias = cities.where(F.endswith("short_name", F.lit("市"))).groupBy(F.expr("left(short_name, length(short_name) - 1)").alias("alias")).agg(F.max_by("full_name", "ord").alias("t2"))
     exact = found.join(F.broadcast(first), F.col("_city") == F.col("short_name"), "left").drop("short_name")
     exact = exact.join(F.broadcast(alias), F.col("_city") == F.col("alias"), "left").drop("alias") if aliases else exact.withColumn("t2", F.lit(None).cast("string"))
+    asked = lambda side, g: F.struct(F.lit(side).alias("side"), g.alias("gram"))
+    within = F.transform(F.array_append(grams(F.col("_where"), *range(1, GRAM + 1)), F.lit("")), lambda g: asked("name", g))
+    left = F.col("t1").isNull() & F.col("t2").isNull()
+    # the city is asked for by its beginning; a location that is settled asks for nothing
+    asking = F.when(left, F.array_append(within, asked("part", F.left("_city", F.lit(GRAM)))))
+    exact = exact.withColumn("_ask", F.explode_outer(asking)).select("*", "_ask.side", "_ask.gram").drop("_ask")
+    names = name_grams(cities).select(F.col("side").alias("_side"), F.col("gram").alias("_gram"), "short_name", "full_name", "ord")
     partial = F.contains("_where", "short_name") | F.contains("short_name", "_city") | F.contains("_city", "short_name")
-    third = exact.join(F.broadcast(cities.select("short_name", "full_name", "ord")), F.col("t1").isNull() & F.col("t2").isNull() & partial, "left")
+    third = exact.join(names, (F.col("side") == F.col("_side")) & (F.col("gram") == F.col("_gram")) & partial, "left")
     kept = [F.first(c).alias(c) for c in ("t1", "t2", *(carry or []))]
     out = third.groupBy("location").agg(*kept, F.min_by("full_name", "ord").alias("t3"))
     tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3)
@@ -112,21 +149,29 @@ def location_statistics(listings: DataFrame, cities: DataFrame, start: int = 202
     return zero_filled(matched.groupBy("data_year", "province").agg(F.sum("n").alias("cnt")), "province").select("data_year", "province", "cnt")
 
 
-def words_of(texts: DataFrame, key: str, column: str = "requirements", least: int = 2) -> DataFrame:
-    """(key, word): the Han runs of each text that are no stop words, one row a use."""
-    words = texts.select(key, F.explode(text.han_runs(F.col(column), least)).alias("word"))
+def used_texts(texts: DataFrame, uses: DataFrame, key: str) -> DataFrame:
+    """texts with how often they are used: n over all years, and years (data_year, n), of uses (key, data_year, n); one row a text."""
+    by_text = uses.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list(F.struct("data_year", "n")).alias("years"))  # as many entries as there are years
+    return texts.join(by_text, key)
+
+
+def words_of(texts: DataFrame, column: str = "requirements", least: int = 2, carry: tuple[str, ...] = ("n", "years")) -> DataFrame:
+    """(word, and what is carried): the Han runs of each text that are no stop words, one row a use in a text.
+
+    What a text's words are counted by comes with them, so they are summed where they are read: only counts of words move.
+    """
+    words = texts.select(*carry, F.explode(text.han_runs(F.col(column), least)).alias("word"))
     return words.where(~F.col("word").isin(text.STOP_WORDS))
 
 
-def word_counts(words: DataFrame, uses: DataFrame, key: str) -> DataFrame:
-    """(data_year, word, cnt) of words (key, word) by uses (key, data_year, n): how many listings of a year have the text."""
-    return words.join(uses, key).groupBy("data_year", "word").agg(F.sum("n").alias("cnt"))
+def word_counts(words: DataFrame) -> DataFrame:
+    """(data_year, word, cnt) of words (word, years): how many listings of a year have the text."""
+    return words.select("word", F.inline("years")).groupBy("data_year", "word").agg(F.sum("n").alias("cnt"))
 
 
-def overall_counts(words: DataFrame, uses: DataFrame, key: str) -> DataFrame:
-    """(word, cnt) over all years: uses are summed by text first, so a word's row is not multiplied by the years."""
-    total = uses.groupBy(key).agg(F.sum("n").alias("n"))
-    return words.join(total, key).groupBy("word").agg(F.sum("n").alias("cnt"))
+def overall_counts(words: DataFrame) -> DataFrame:
+    """(word, cnt) over all years."""
+    return words.groupBy("word").agg(F.sum("n").alias("cnt"))
 
 
 def top_words(counts: DataFrame, top: int = 100) -> DataFrame:
@@ -134,10 +179,10 @@ def top_words(counts: DataFrame, top: int = 100) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), "word").limit(min(max(top, 10), 500))
 
 
-def top_words_by_year(words: DataFrame, uses: DataFrame, key: str, top: int = 100) -> DataFrame:
-    """Yearly counts of the words in the overall top; other words go before the years are joined."""
-    best = top_words(overall_counts(words, uses, key), top).select("word")
-    return word_counts(words.join(F.broadcast(best), "word", "left_semi"), uses, key).select("data_year", "word", "cnt")
+def top_words_by_year(words: DataFrame, top: int = 100) -> DataFrame:
+    """Yearly counts of the words in the overall top; other words go before the years are told apart."""
+    best = top_words(overall_counts(words), top).select("word")
+    return word_counts(words.join(F.broadcast(best), "word", "left_semi")).select("data_year", "word", "cnt")
 
 
 def word_totals(counts: DataFrame) -> DataFrame:

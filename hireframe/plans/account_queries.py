@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import dialogue as D
 from ..operators import accounts as A
 from ..operators import extraction as X
@@ -114,6 +117,19 @@ def k6_city_update(spark, d):
     return E.read_bucketed(spark, path)
 
 
+@query("k14_created_tables", "SELECT n_name AS short_name, r_name AS full_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'Customer ' || c_custkey, c_mktsegment FROM customer")
+def k14(spark, d):
+    """Tables are created once; a second run leaves them and their rows alone."""
+    database = "k14_" + uuid.uuid4().hex
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{fresh_path(spark, database)}'")
+    for _ in range(2):
+        schema.create_tables(spark, ["city_mapping"], database)
+        if spark.table(f"{database}.city_mapping").isEmpty():
+            more = V.table(spark, d, "customer").select(F.concat(F.lit("Customer "), "c_custkey").alias("short_name"), F.col("c_mktsegment").alias("full_name"))
+            V.cities(spark, d).select("short_name", "full_name").unionByName(more).write.insertInto(f"{database}.city_mapping")
+    return spark.table(f"{database}.city_mapping")
+
+
 @query(
     "o4_unparsed_report",
     f"""WITH {V.LISTINGS}, {SALARY_SQL}, f AS (SELECT j.salary_range AS format, count(*) AS cnt FROM job_listings j JOIN parsed p ON p.salary_range = j.salary_range WHERE coalesce(salary_avg, 0) = 0 AND monthly IS NULL GROUP BY 1),

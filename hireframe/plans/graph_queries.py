@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import guards
 from ..operators import graph as G
 from ..operators.cypher import Graph
+from ..scratch import fresh_path
 from . import views as V
 from .catalogue import query
 
@@ -231,11 +232,34 @@ def k8(spark, d):
     return G.new_edges(o, ends, o.where("dst = 'Year_1997'")).drop("properties")
 
 
-@query("k9_load_stats", "SELECT count(*) AS edges, count(*) FILTER (o_orderkey % 7 = 0) AS missing_field, count(*) FILTER (o_orderkey % 7 <> 0 AND o_custkey % 5 = 0) AS missing_end, count(*) FILTER (o_orderkey % 7 <> 0 AND o_custkey % 5 <> 0) AS loadable, min(CASE WHEN o_orderkey % 7 <> 0 AND o_custkey % 5 = 0 THEN 'JobPosting_' || o_orderkey || ' OFFERED_BY ' || 'Company_' || o_custkey END) AS first_missing_end FROM orders")
-def k9(spark, d):
+K9 = "SELECT count(*) AS edges, count(*) FILTER (o_orderkey % 7 = 0) AS missing_field, count(*) FILTER (o_orderkey % 7 <> 0 AND o_custkey % 5 = 0) AS missing_end, count(*) FILTER (o_orderkey % 7 <> 0 AND o_custkey % 5 <> 0) AS loadable, min(CASE WHEN o_orderkey % 7 <> 0 AND o_custkey % 5 = 0 THEN 'JobPosting_' || o_orderkey || ' OFFERED_BY ' || 'Company_' || o_custkey END) AS first_missing_end FROM orders"
+
+
+def _loads(spark, d):
     o = V.table(spark, d, "orders").select(F.concat(F.lit("JobPosting_"), "o_orderkey").alias("src"), F.concat(F.lit("Company_"), "o_custkey").alias("dst"), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'OFFERED_BY' END").alias("type"))
-    ends = nodes(spark, d).where("NOT (id LIKE 'Company%' AND CAST(substr(id, 9) AS INT) % 5 = 0)")
-    return G.load_stats(o, ends)
+    return o, nodes(spark, d).where("NOT (id LIKE 'Company%' AND CAST(substr(id, 9) AS INT) % 5 = 0)")
+
+
+@query("k9_load_stats", K9)
+def k9(spark, d):
+    return G.load_stats(*_loads(spark, d))
+
+
+@query("k9_observed_load", K9)
+def k9_observed(spark, d):
+    """The figures of a load, as the write of its edges took them."""
+    found = G.load_edges(*_loads(spark, d), fresh_path(spark, "loaded"))
+    return spark.createDataFrame([tuple(found.values())], "edges long, missing_field long, missing_end long, loadable long, first_missing_end string").toDF(*found)
+
+
+@query(
+    "a10_collected_neighbours",
+    f"WITH {GRAPH}, a AS (SELECT DISTINCT CASE WHEN src = 'Location_NATION_3' THEN dst ELSE src END AS other, type, CASE WHEN src = 'Location_NATION_3' THEN 'out' ELSE 'in' END AS direction FROM edges WHERE src = 'Location_NATION_3' OR dst = 'Location_NATION_3') SELECT 'Location_NATION_3' AS id, count(*) AS n, string_agg(type || ' ' || direction || ' ' || other || ':' || label, ',' ORDER BY type, direction, other) AS pairs FROM a JOIN nodes ON nodes.id = other",
+)
+def a10(spark, d):
+    found = G.collected_neighbours(edges(spark, d), nodes(spark, d), "Location_NATION_3")
+    one = lambda x: F.concat_ws(" ", x["rel"]["type"], x["rel"]["direction"], F.concat(x["node"]["id"], F.lit(":"), x["node"]["labels"]))
+    return found.select("id", F.size("relationships").cast("long").alias("n"), F.array_join(F.transform("relationships", one), ",").alias("pairs"))
 
 
 # Patterns.

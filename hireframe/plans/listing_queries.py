@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, salary, text
 from ..operators import listings as L
 from ..operators import quality as Q
+from ..operators import search_index as I
+from ..scratch import fresh_path
 from . import views as V
 from .catalogue import query
 
@@ -58,35 +60,46 @@ def j1(spark, d):
     return L.match_provinces(names, V.cities(spark, d)).select("location", "province")
 
 
+@query(
+    "j1_partial_customers",
+    f"""WITH {V.CITIES}, cut AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'x' || c_name || n_name WHEN 1 THEN left(n_name, CAST(2 + c_custkey % 6 AS INT)) || '市-' || c_name WHEN 2 THEN c_mktsegment || c_custkey ELSE ' ' || n_name || '市 ' END AS location FROM customer JOIN nation ON c_nationkey = n_nationkey),
+cit AS (SELECT location, trim(split_part(split_part(trim(location), '-', 1), '市', 1)) AS city FROM cut)
+SELECT location, coalesce((SELECT full_name FROM cities WHERE short_name = city), (SELECT arg_min(full_name, ord) FROM cities WHERE contains(trim(location), short_name) OR contains(short_name, city) OR contains(city, short_name)), '未知') AS province FROM cit""",
+)
+def j1_customers(spark, d):
+    homes = V.table(spark, d, "customer").join(F.broadcast(V.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    place = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('x', c_name, n_name) WHEN 1 THEN concat(left(n_name, CAST(2 + c_custkey % 6 AS INT)), '市-', c_name) WHEN 2 THEN concat(c_mktsegment, c_custkey) ELSE concat(' ', n_name, '市 ') END")
+    return L.match_provinces(homes.select(place.alias("location")), V.cities(spark, d)).select("location", "province")
+
+
 WORDS = f"""{V.HAN_TEXTS}, words AS (SELECT data_year, n, unnest(regexp_extract_all(requirements, '[一-龥]{{2,10}}')) AS word FROM han_texts),
 counts AS (SELECT data_year, word, CAST(sum(n) AS BIGINT) AS cnt FROM words WHERE word NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) GROUP BY ALL),
 tops AS (SELECT word, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts GROUP BY word ORDER BY cnt DESC, word LIMIT 100)"""
 
 
 def _words(spark, d):
-    """Words, their uses, and the key of both."""
     texts, uses = V.han_texts(spark, d)
-    return L.words_of(texts, "doc_id"), uses, "doc_id"
+    return L.words_of(L.used_texts(texts, uses, "doc_id"))
 
 
 @query("a3_wordcloud_top", f"WITH {WORDS} SELECT * FROM tops")
 def a3_top(spark, d):
-    return L.top_words(L.overall_counts(*_words(spark, d)))
+    return L.top_words(L.overall_counts(_words(spark, d)))
 
 
 @query("a3_wordcloud_by_year", f"WITH {WORDS} SELECT * FROM counts WHERE word IN (SELECT word FROM tops)")
 def a3_years(spark, d):
-    return L.top_words_by_year(*_words(spark, d))
+    return L.top_words_by_year(_words(spark, d))
 
 
 @query("a3_wordcloud_totals", f"WITH {WORDS} SELECT CAST(sum(cnt) AS BIGINT) AS total_words, count(DISTINCT word) AS unique_words FROM counts")
 def a3_totals(spark, d):
-    return L.word_totals(L.overall_counts(*_words(spark, d)))
+    return L.word_totals(L.overall_counts(_words(spark, d)))
 
 
 @query("o3_yearly_top_words", f"WITH {WORDS} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY data_year ORDER BY cnt DESC, word) AS INT) AS rank FROM counts) WHERE rank <= 10")
 def o3(spark, d):
-    return L.yearly_top(L.word_counts(*_words(spark, d)))
+    return L.yearly_top(L.word_counts(_words(spark, d)))
 
 
 @query(
@@ -240,3 +253,21 @@ def a6(spark, d):
 @query("o5_unmatched_locations", f"WITH {COVER} SELECT location, city, cnt FROM covered WHERE province IS NULL")
 def o5(spark, d):
     return Q.missing_cities(Q.coverage(V.listings(spark, d), _half(spark, d)))
+
+
+def _searchable(spark, d):
+    """Listings in files of some thousand rows, by company, with signatures."""
+    path = fresh_path(spark, "searchable")
+    rows = V.listings(spark, d).withColumn("requirements", F.concat_ws(" ", "job_title", "location"))
+    I.save_searchable(rows, path, ["job_title", "company_name", "location", "requirements", "search_keyword"], ["company_name"], rows=2000)
+    return path
+
+
+@query("f2_indexed_search", f"WITH {V.LISTINGS} SELECT id, company_name, location FROM job_listings WHERE company_name ILIKE '%#00000012%' AND location ILIKE '%nation_1%'")
+def f2_indexed(spark, d):
+    return I.search_indexed(spark, _searchable(spark, d), company_name="#00000012", location="Nation_1").select("id", "company_name", "location")
+
+
+@query("f2_indexed_keyword", f"WITH {V.LISTINGS} SELECT id, company_name FROM job_listings WHERE job_title ILIKE '%r#0000001_7%' OR company_name ILIKE '%r#0000001_7%' OR concat_ws(' ', job_title, location) ILIKE '%r#0000001_7%' OR search_keyword ILIKE '%r#0000001_7%'")
+def f2_indexed_keyword(spark, d):
+    return I.search_indexed(spark, _searchable(spark, d), search_keyword="R#0000001_7").select("id", "company_name")

@@ -55,13 +55,13 @@ EDGE_TYPES = ["OFFERED_BY", "LOCATED_IN", "REQUIRES_SKILL", "BELONGS_TO", "YEAR"
 SHEET_COLUMNS = {"岗位名称": "job_title", "公司名称": "company_name", "薪资范围": "salary_range", "城市": "location", "职位描述": "requirements", "搜索关键词": "search_keyword", "数据年份": "data_year"}
 
 
-def create_tables(spark, names: list[str] | None = None) -> list[str]:
-    """Creates the stored tables that do not exist yet, as Parquet tables of the session's catalogue."""
+def create_tables(spark, names: list[str] | None = None, database: str | None = None) -> list[str]:
+    """Creates the stored tables that do not exist yet, as Parquet tables of the session's catalogue, in its database or another."""
     made = []
     for name, schema in {"job_listings": job_listings, "city_mapping": city_mapping, "users": users, "chat_sessions": chat_sessions, "chat_messages": chat_messages}.items():
         if names is None or name in names:
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema())
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {f'{database}.' if database else ''}{name} ({columns}) USING parquet")
             made.append(name)
     return made
 
