@@ -69,6 +69,16 @@ def rule_based(frame: pd.DataFrame) -> list[dict]:
     return out
 
 
+#: Columns that an extractor reads; one that states none is given all.
+rule_based.reads = ("metadata",)
+
+
+def read_by(docs: DataFrame, extractor: Callable) -> DataFrame:
+    """The id of docs and what the extractor reads: texts that it does not look at are not sent to Python."""
+    reads = getattr(extractor, "reads", None)
+    return docs if reads is None else docs.select("id", *reads)
+
+
 def extract(docs: DataFrame, extractor: Callable[[pd.DataFrame], list[dict]] = rule_based) -> DataFrame:
     """docs with success, error_msg and graph (schema.extraction), one Arrow batch at a time; a failing batch fails its rows only."""
     ship(docs.sparkSession)

@@ -119,13 +119,13 @@ BUILT_EDGES = f"WITH {BUILT} SELECT 'job_' || id AS src, company AS dst, 'OFFERE
 
 @query("g8_extract_counts", BUILT_EDGES)
 def g8(spark, d):
-    _, edges = X.graph_rows(written(X.extract(X.documents(V.listings(spark, d, texts=True))), "extracted"))
+    _, edges = X.graph_rows(written(X.extract(X.read_by(X.documents(V.listings(spark, d, texts=True)), X.rule_based)), "extracted"))
     return edges.select("src", "dst", "type")
 
 
 @query("g11_graph_nodes", f"WITH {BUILT} SELECT 'job_' || id AS id, 'JobPosting' AS label, job_title AS name FROM used UNION SELECT company, 'Company', company_name FROM used UNION SELECT place, 'Location', place_name FROM used UNION SELECT 'Year_' || data_year, 'Year', CAST(data_year AS VARCHAR) FROM used")
 def g11(spark, d):
-    nodes, _ = X.graph_rows(written(X.extract(X.documents(V.listings(spark, d, texts=True))), "extracted"))
+    nodes, _ = X.graph_rows(written(X.extract(X.read_by(X.documents(V.listings(spark, d, texts=True)), X.rule_based)), "extracted"))
     return nodes.select("id", nodes["labels"][0].alias("label"), nodes["properties"]["name"].alias("name"))
 
 
@@ -205,13 +205,12 @@ def st_windows(spark, d):
 
 @query("st2_graph_build", BUILT_EDGES)
 def st2(spark, d):
-    """Listings in two files, each a micro-batch of the resumable build; postings of the second meet companies of the first."""
+    """Listings in two parts of many files; the build is stopped after the first and resumed, so postings of the second meet its companies."""
     from ..streaming.graph_stream import build_graph
 
-    source = fresh_path(spark, "listing-files")
+    source, out, mark = (fresh_path(spark, f"graph{x}") for x in ("-listings", "", "-checkpoint"))
     rows = V.listings(spark, d, texts=True)
     for k in (0, 1):
-        rows.where(f"id % 2 = {k}").coalesce(1).write.mode("append").parquet(source)
-    stream = S.parquet_stream(spark, source, files_per_batch=1)
-    nodes, edges = build_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
+        rows.where(f"id % 2 = {k}").write.mode("append").parquet(source)
+        nodes, edges = build_graph(S.parquet_stream(spark, source), out, mark)
     return edges.select("src", "dst", "type")

@@ -52,7 +52,7 @@ def build_graph(listings: DataFrame, path: str, checkpoint: str, extractor: Call
     spark = listings.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        load_batch(spark, path, number, X.extract(X.documents(batch), extractor))
+        load_batch(spark, path, number, X.extract(X.read_by(X.documents(batch), extractor), extractor))
 
     run_available(listings, checkpoint, each)
     return stored(spark, path, "nodes"), stored(spark, path, "edges")
@@ -62,4 +62,4 @@ def retry_failed(listings: DataFrame, path: str, number: int, extractor: Callabl
     """Extracts the stored failures again, as a batch of its own (give it a number no stream uses, such as -1)."""
     spark = listings.sparkSession
     failed = written(stored(spark, path, "failed").select("id").distinct(), "graph-failed")
-    load_batch(spark, path, number, X.extract(X.documents(listings.join(failed, "id", "left_semi")), extractor))
+    load_batch(spark, path, number, X.extract(X.read_by(X.documents(listings.join(failed, "id", "left_semi")), extractor), extractor))
