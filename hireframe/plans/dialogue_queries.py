@@ -279,11 +279,17 @@ def x23(spark, d):
     return V.table(spark, d, "events").select("event_id", D.normalized_argument(shapes).alias("query"))
 
 
-@query("x24_query_from_prose", r"SELECT event_id, (['MATCH (n) RETURN n', 'MATCH (a) RETURN a', '', 'CALL db.labels()'])[event_id % 4 + 1] AS query FROM events")
+@query(
+    "x24_query_from_prose",
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'MATCH (n) WHERE n.k = ' || event_id || ' RETURN n' WHEN 1 THEN 'MATCH (a' || event_id || ') RETURN a' || event_id WHEN 3 THEN 'CALL db.labels(' || event_id || ')'
+ WHEN 5 THEN 'optional match (b) return b.x' || event_id WHEN 7 THEN 'RETURN ' || event_id || ' AS n' ELSE '' END AS query FROM events""",
+)
 def x24(spark, d):
-    said = ["see ```cypher\nMATCH (n) RETURN n\n``` ok", "so: MATCH (a) RETURN a\n\nand more", "nothing MATCHED", "I CALL db.labels()"]
-    said[3] = "CALL db.labels()"
-    return V.table(spark, d, "events").select("event_id", D.query_in_prose(F.element_at(_array(said), (F.col("event_id") % 4 + 1).cast("int"))).alias("query"))
+    """Answers with a fenced query, one amid prose up to an empty line, none, a call, a writing one, lower case, one too short, and a fence without its language."""
+    said = F.expr("""CASE event_id % 8 WHEN 0 THEN concat('see ```cypher\nMATCH (n) WHERE n.k = ', event_id, ' RETURN n\n``` ok') WHEN 1 THEN concat('so: MATCH (a', event_id, ') RETURN a', event_id, '\n\nand MATCH more')
+ WHEN 2 THEN concat('nothing MATCHED ', event_id) WHEN 3 THEN concat('I CALL db.labels(', event_id, ')') WHEN 4 THEN concat('```\nMATCH (n) SET n.x = ', event_id, '\n``` but MATCH (m) RETURN m')
+ WHEN 5 THEN concat('try optional match (b) return b.x', event_id, '``` MATCH (c)') WHEN 6 THEN 'MATCH x' ELSE concat('```\r\nRETURN ', event_id, ' AS n\r\n```') END""")
+    return V.table(spark, d, "events").select("event_id", D.query_in_prose(said).alias("query"))
 
 
 @query("x25_json_leak_trim", "SELECT event_id, (['MATCH (n) RETURN n', 'RETURN 1', 'WHERE n.x = \"a\"', 'LIMIT 5'])[event_id % 4 + 1] AS query FROM events")
