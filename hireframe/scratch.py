@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the setting is absent."""
+    """The folder of spark.checkpoint.dir; one of our own only where the setting is absent and there is one machine, as in tests."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = tempfile.mkdtemp(prefix="hireframe-")
         spark.sparkContext.setCheckpointDir(name)
     return name
