@@ -150,7 +150,8 @@ def j12_stream(spark, d):
         stream = S.parquet_stream(spark, source, files_per_batch=S.FILES)
         calls = stream.where("event_type = 'view'").select("thread", "call", F.col("seq").alias("call_seq"), F.col("at").alias("started"))
         results = stream.where("event_type IN ('purchase', 'error')").select("thread", "call", F.col("seq").alias("result_seq"), F.col("at").alias("ended"))
-        paired = S.append_batches(M.paired_streams(calls, results, ["thread", "call"], "6 hours", "1 hour"), out, mark)
+        with M.state_partitions(spark):
+            paired = S.append_batches(M.paired_streams(calls, results, ["thread", "call"], "6 hours", "1 hour"), out, mark)
     return paired.where("call_seq IS NOT NULL").select("thread", "call", "call_seq", "result_seq")
 
 

@@ -34,15 +34,29 @@ KEEP_MS = 30 * 24 * 3600 * 1000
 
 
 @contextmanager
-def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries that start within keep their state in RocksDB, which state of several variables needs."""
-    name, wanted = PROVIDER
-    before = spark.conf.get(name)
-    spark.conf.set(name, wanted)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Queries that start within keep these settings; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def state_partitions(spark: SparkSession, partitions: int | None = None):
+    """The number of a query's state partitions, which its checkpoint fixes for good: by default as many as there are cores, at most the session's."""
+    name = "spark.sql.shuffle.partitions"
+    return settings(spark, {name: str(partitions or min(int(spark.conf.get(name)), spark.sparkContext.defaultParallelism))})
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, which state of several variables needs."""
+    with settings(spark, dict([PROVIDER])), state_partitions(spark, partitions):
+        yield
 
 
 # Memories of threads.
