@@ -122,8 +122,11 @@ def parsed_extractions(answers: DataFrame, answer: str = "answer") -> DataFrame:
     return G.sanitize_extraction(read.withColumn("graph", F.struct(allowed("nodes", schema.NODE_LABELS), allowed("relationships", schema.EDGE_TYPES))))
 
 
-def graph_rows(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cleaned (nodes, edges) of extractions: ids by name, merged places and years, remapped and valid edges."""
+def graph_rows(extracted: DataFrame, apart: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cleaned (nodes, edges) of extractions: ids by name, merged places and years, remapped and valid edges.
+
+    apart: companies of different names whose short hashes are equal keep a row each, as places do; a load keeps one row an id.
+    """
     clean = G.sanitize_extraction(extracted.withColumnRenamed("id", "doc"))
     raw = G.flatten_nodes(clean, keys=["doc"]).withColumn("ord", F.struct("doc", "pos"))
     companies, places, years = G.clean_companies(raw), G.clean_locations(raw), G.clean_years(raw)
@@ -131,7 +134,7 @@ def graph_rows(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     props = lambda *names: F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v != "").cast(text_map)
     named = lambda df, label, *names: df.select("id", F.array(F.lit(label)).alias("labels"), props(*names).alias("properties"))
     jobs = G.keep_first_nodes(raw.where(F.col("type").isin("JobPosting", "Skill")).select("id", "type", "properties", "ord")).select("id", F.array("type").alias("labels"), "properties")
-    nodes = jobs.unionByName(named(G.keep_first_nodes(companies.select("id", "name", "ord")), "Company", "name")).unionByName(named(G.merge_locations(places), "Location", "name", "city", "province")).unionByName(named(G.keep_first_nodes(years.select("id", "name", "ord")), "Year", "name"))
+    nodes = jobs.unionByName(named(G.keep_first_nodes(companies.select("id", "name", "ord"), *["name"] * apart), "Company", "name")).unionByName(named(G.merge_locations(places), "Location", "name", "city", "province")).unionByName(named(G.keep_first_nodes(years.select("id", "name", "ord")), "Year", "name"))
     edges = G.flatten_edges(clean).select("src", "dst", "type", "properties")
     edges = G.valid_edges(G.remap_edges(edges, G.id_mapping(companies, places, years)), nodes)
     return nodes, G.edge_key(edges).dropDuplicates(["src", "type", "dst", "_props"]).drop("_props")

@@ -123,11 +123,11 @@ def merge_locations(locations: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("tail", "key").alias("name"), F.coalesce("city", F.lit("")).alias("city"), F.coalesce("province", F.lit("")).alias("province"))
 
 
-def keep_first_nodes(nodes: DataFrame) -> DataFrame:
-    """One row an id, the first by ord, without ordering whole groups."""
-    others = [c for c in nodes.columns if c != "id"]
-    first = nodes.groupBy("id").agg(F.min_by(F.struct(*others), "ord").alias("n"))
-    return first.select("id", *[F.col(f"n.{c}").alias(c) for c in others])
+def keep_first_nodes(nodes: DataFrame, *more: str) -> DataFrame:
+    """One row an id, the first by ord, without ordering whole groups; with more columns one row for each of their values too."""
+    others = [c for c in nodes.columns if c not in ("id", *more)]
+    first = nodes.groupBy("id", *more).agg(F.min_by(F.struct(*others), "ord").alias("n"))
+    return first.select("id", *more, *[F.col(f"n.{c}").alias(c) for c in others])
 
 
 def id_mapping(*cleaned: DataFrame) -> DataFrame:
