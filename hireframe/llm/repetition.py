@@ -23,7 +23,9 @@ from .shared import add_by_block, table
 
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.5, 0.3
+# Spans lie within repeated windows of three words, of which the base rule already allows no more than half of a text; a
+# share that is to decide anything is far below that. For passages of 8 words it is the 0.12 in use for web text.
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.12, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: The struct that judge_texts adds.
