@@ -188,13 +188,14 @@ def s17(spark, d):
 
 
 def _extracted(spark, d):
-    docs = X.with_batches(X.documents(V.listings(spark, d, texts=True)))
-    return written(X.extract(docs), "extracted")
+    """Extractions with batch and hash of the text; the texts themselves are not written again."""
+    docs = X.documents(V.listings(spark, d, texts=True))
+    return written(X.extract(X.with_batches(docs).withColumn("doc_hash", X.content_hash()).drop("page_content")), "extracted")
 
 
 @query("j16_batch_graphs", f"WITH {BUILT} SELECT id, id // 10 AS batch, CAST(count(*) OVER (PARTITION BY id // 10) * 4 AS INT) AS nodes, CAST(count(*) OVER (PARTITION BY id // 10) * 3 AS INT) AS relationships FROM used")
 def j16(spark, d):
-    return X.batch_graphs(_extracted(spark, d)).select("id", "batch", F.size("graph.nodes").alias("nodes"), F.size("graph.relationships").alias("relationships"))
+    return X.batch_graphs(_extracted(spark, d).drop("doc_hash")).select("id", "batch", F.size("graph.nodes").alias("nodes"), F.size("graph.relationships").alias("relationships"))
 
 
 @query("g9_single_extraction", f"WITH {BUILT} SELECT id, 'job_' || id AS job, 'company_' || company_name AS company, true AS success FROM used")
