@@ -376,6 +376,24 @@ def repeats_matter(clauses: list[tuple]) -> bool:
     return True
 
 
+def counts_ends(clauses: list[tuple]) -> bool:
+    """Whether clauses begin with a MATCH of one walk, and the next projection groups its ends by their values and only counts rows."""
+    if len(clauses) < 2 or clauses[0][0] != "match" or clauses[1][0] != "project":
+        return False
+    _, patterns, where, optional = clauses[0]
+    _, _, _, items, order, *_ = clauses[1]
+    if optional or len(patterns) != 1 or patterns[0][0] is not None or len(patterns[0][1]) != 3:
+        return False
+    start, edge, end = patterns[0][1]
+    found = [a for e, _, _ in items for a in aggregates(e)]
+    if not edge["steps"] or edge["var"] is not None or (edge["steps"][1] is not None and edge["steps"][1] <= UNROLLED) or not found or start["var"] is not None and start["var"] == end["var"]:
+        return False
+    gone = {start["var"]} - {None}
+    asked = [variables(e) for e in conjuncts(where)]
+    said = set().union(*(variables(e) for e, _, _ in items), *(variables(e) for e, _ in order))
+    return all(a[1] == "count" and not a[2] and a[3] == [("star",)] for a in found) and not gone & said and ("star",) not in [e for e, _, _ in items] and all(a == gone or not a & gone for a in asked)
+
+
 def aggregates(e) -> list[tuple]:
     """Aggregate calls within an expression."""
     if isinstance(e, tuple):
@@ -433,11 +451,14 @@ class _Lowering:
         self.local: dict[str, Column] = {}
         self.types: dict[str, T.DataType] = {}
         self.few, self.once = True, False
+        #: whether the coming MATCH is one walk whose paths are only counted by their ends; whether rows have a number of paths
+        self.counted = self.weighted = False
 
     def run(self, clauses: list[tuple]) -> DataFrame:
         df: DataFrame | None = None
         for k, clause in enumerate(clauses):
             self.once = not repeats_matter(clauses[k + 1 :])
+            self.counted = k == 0 and counts_ends(clauses)
             if df is not None:
                 self.types = {f.name: f.dataType for f in df.schema}
             df = getattr(self, clause[0])(df, *clause[1:])
@@ -510,7 +531,7 @@ class _Lowering:
         _, name, distinct, args = e
         if name == "count":
             if args == [("star",)]:
-                return F.count("*")
+                return F.coalesce(F.sum("__n"), F.lit(0).cast("long")) if self.weighted else F.count("*")
             c = identity(self.value(args[0], known), self.kind(args[0]))
             return F.count_distinct(c) if distinct else F.count(c)
         if name == "collect":
@@ -655,7 +676,7 @@ class _Lowering:
                 if not any(e[0] == "compare" and e[1] == "=" and any(variables(a) and variables(b) and variables(a) <= known and variables(b) <= new for a, b in (e[2:], e[:1:-1])) for e in conjuncts(where)):
                     raise CypherError("nothing ties these patterns together: name a common variable, state an equality between them, or open the graph with cross")
             waiting.remove(pattern)
-            found, edges = self.chain(found, *pattern, alone)
+            found, edges = self.chain(found, *pattern, alone, where)
             self.few = False
             used += edges
         for i, (a, some, types) in enumerate(used):
@@ -668,19 +689,23 @@ class _Lowering:
                     found = found.where(~F.array_contains(*((a, b) if some else (b, a))))
                 else:
                     found = found.where(a != b)
-        if where is not None:
-            found = found.where(self.value(where, set(self.bound(found))))
+        for e in conjuncts(where):
+            if not (self.weighted and variables(e) <= {patterns[0][1][0]["var"]}):  # those of a start that is gone were judged there
+                found = found.where(self.value(e, set(self.bound(found))))
         new = [f"`{c}`" for c in self.bound(found) if c not in before and not c.startswith("#")]
         if not optional:
-            return found.select(*[f"`{c}`" for c in before], *new)
+            return found.select(*[f"`{c}`" for c in before], *new, *["__n"] * self.weighted)
         if not before:
             return self.rows(None).join(found.select(*new), F.lit(True), "left").drop("__one")
         far = found.select(*[F.col(f"`{k}`").alias(f"__f{k[2:]}") for k in keys], *new)
         same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__f{k[2:]}`")) for k in keys]
         return once.join(far, same, "left").select(*[f"`{c}`" for c in before], *new)
 
-    def chain(self, df: DataFrame | None, path: str | None, chain: list, alone: bool) -> tuple[DataFrame, list[tuple]]:
-        """df joined with a pattern; also what edges it uses: (identities, whether these are lists, types)."""
+    def chain(self, df: DataFrame | None, path: str | None, chain: list, alone: bool, where=None) -> tuple[DataFrame, list[tuple]]:
+        """df joined with a pattern; also what edges it uses: (identities, whether these are lists, types).
+
+        What of ``where`` is about a new start alone is asked there already, before any path is made.
+        """
         known = set(self.bound(df))
         names = [x["var"] or f"#{'e' if k % 2 else 'n'}{next(self.fresh)}" for k, x in enumerate(chain)]
         begin = next((k for k in range(0, len(chain), 2) if names[k] in known), 0)
@@ -689,6 +714,9 @@ class _Lowering:
         else:
             self.kinds[names[begin]] = "node"
             start = self.node_rows(chain[begin], names[begin]).drop(f"__{names[begin]}")
+            for e in conjuncts(where):
+                if variables(e) == {names[begin]}:
+                    start = start.where(self.value(e, {names[begin]}))
             df = start if df is None else df.crossJoin(start)
         used: list[tuple] = []
         flipped = {"in": "out", "out": "in", "both": "both"}
@@ -744,6 +772,10 @@ class _Lowering:
         low, high = edge["steps"]
         hop = self.edge_rows(edge, "__hop")
         named = not name.startswith("#")
+        if self.counted:
+            self.weighted = True
+            self.kinds.pop(at)
+            return self.arrive(self.numbers(df, at, hop, low, high), node, to), None
         if self.once and alone and not path and not named and edge["direction"] != "both" and low <= 1 and (high is None or high > 1):
             return self.arrive(self.reached(df, at, hop, low, high), node, to), None
         rounds = high is None or high > UNROLLED
@@ -781,6 +813,47 @@ class _Lowering:
             self.kinds[name] = "edges"
         return self.arrive(found.drop("__start"), node, to), F.col(f"`{uses}`")
 
+    def numbers(self, df: DataFrame, at: str, hop: DataFrame, low: int, high: int | None) -> DataFrame:
+        """(__to, __n): how many paths of the pattern, from any of df's nodes, end there.
+
+        Paths that stand at one node and have used the same edges of those that a path can come to twice go on alike, so they
+        are one row with their number. An edge is come to once only if nothing leads to its start or nothing leads on from its
+        end; these are taken off round by round, and what is left need not lie on a cycle: the list of used edges then only
+        tells more paths apart than it must. All edges are read for the first step; further ones are those that start where
+        some edge ends.
+        """
+        hop = written(hop.select("__from", "__to", edge_identity(F.col("__hop")).alias("__e")), "edges")
+        later = written(hop.join(hop.select(F.col("__to").alias("__from")).distinct(), "__from", "left_semi"), "edges-later")
+        again, size = later, later.count()
+        while size:
+            again = again.join(again.select(F.col("__to").alias("__from")).distinct(), "__from", "left_semi")
+            again = written(again.join(again.select(F.col("__from").alias("__to")).distinct(), "__to", "left_semi"), "edges-again")
+            left = again.count()
+            if 2 * left > size and left:  # the rest is a cycle, or long chains not worth more rounds
+                break
+            size = left
+        marks = again.select("__from", "__to", F.col("__e").alias("__used"))
+        uses = [F.col("__from"), F.col("__to"), F.col("__e")]
+        marked = lambda e: e.join(marks.withColumnsRenamed({"__from": "__f", "__to": "__t"}).dropDuplicates(["__f", "__t", "__used"]), (F.col("__from") == F.col("__f")) & (F.col("__to") == F.col("__t")) & (F.col("__e") == F.col("__used")), "left").select(*uses, "__used")
+        no_edges = F.array().cast(f"array<{EDGE_IDENTITY}>")
+        grown = df.select(F.col(f"`{at}`")["id"].alias("__to")).groupBy("__to").agg(F.count("*").alias("__n")).withColumn("__uses", no_edges)
+        out, n = [grown] if low == 0 else [], 0
+        # nothing comes back to an edge that is not among the later ones; only these are looked up in the rest
+        later = written(marked(later), "edges-marked") if size else later.withColumn("__used", F.lit(None).cast(EDGE_IDENTITY))
+        while high is None or n < high:
+            n += 1
+            edges = later if n > 1 else hop.join(later.select("__from").distinct(), "__from", "left_anti").withColumn("__used", F.lit(None).cast(EDGE_IDENTITY)).unionByName(later)
+            here = grown.withColumnRenamed("__to", "__here").join(edges, F.col("__here") == F.col("__from"))
+            free = here.where(F.col("__used").isNull() | ~F.array_contains("__uses", F.col("__used")))
+            more = F.when(F.col("__used").isNull(), F.col("__uses")).otherwise(F.array_sort(F.array_append("__uses", F.col("__used"))))
+            grown = written(free.select("__to", "__n", more.alias("__uses")).groupBy("__to", "__uses").agg(F.sum("__n").alias("__n")), "numbers")
+            if grown.isEmpty():
+                break
+            if n >= low:
+                out.append(grown)
+        found = reduce(lambda a, b: a.unionByName(b), out) if out else grown
+        return found.groupBy("__to").agg(F.sum("__n").alias("__n"))
+
     @staticmethod
     def ordered(so_far: Column, new: Column, step: int) -> tuple[Column, Column]:
         return (so_far, new) if step > 0 else (new, so_far)
@@ -791,15 +864,19 @@ class _Lowering:
         edges = hop.select("__from", F.col("__to").alias("__next")).distinct()
         fresh = written(df.select(here.alias("__start"), here.alias("__to")).distinct(), "reached")
         seen = fresh if low == 0 else None
-        n = 0
+        n, check = 0, 1
         while high is None or n < high:
             n += 1
             grown = fresh.join(edges, F.col("__to") == F.col("__from")).select("__start", F.col("__next").alias("__to")).distinct()
-            fresh = written(grown if seen is None else grown.join(seen, ["__start", "__to"], "left_anti"), "reached")
+            # looking up all pairs each round would read them once a round; pairs that come back in between go on for less than
+            # as many rounds again, and are one in the end
+            if n >= check and seen is not None:
+                grown, check = grown.join(seen, ["__start", "__to"], "left_anti"), 2 * n
+            fresh = written(grown, "reached")
             if fresh.isEmpty():
                 break
             seen = fresh if seen is None else seen.unionByName(fresh)
-        return df.join(fresh if seen is None else seen, here == F.col("__start")).drop("__start")
+        return df.join(fresh if seen is None else seen.distinct(), here == F.col("__start")).drop("__start")
 
     def unwind(self, df: DataFrame | None, e, name: str) -> DataFrame:
         rows = self.rows(df)
@@ -826,7 +903,7 @@ class _Lowering:
             by = [identity(self.value(e, known), kept.get(label)).alias(f"__#{label}" if label in kept else label) for e, label in keys]
             self.few = self.few or not by
             out = (df.groupBy(*by) if by else df.groupBy()).agg(*totals, *firsts).select(*[f"`{n}`" for n in names])
-            scope = set(names)
+            scope, self.weighted = set(names), False
         else:
             made = [self.value(e, known).alias(label) for e, label, _ in items]
             out = df.select(*[f"`{c}`" for c in df.columns if c not in names], *made) if order and not distinct else df.select(*made)
