@@ -126,15 +126,17 @@ class TurnQuota(StatefulProcessor):
         self.hard, self.errors, self.rounds, self.ttl_ms = hard, errors, rounds, ttl_ms
 
     def init(self, handle) -> None:
-        self.counters = handle.getValueState("counters", "used bigint, round_trips bigint, errors bigint", self.ttl_ms)
-        self.seen = handle.getMapState("seen", "query string", "first bigint", self.ttl_ms)
+        # one value, so that a turn costs one read and one write of the store however many calls it has
+        self.turn = handle.getValueState("turn", "used bigint, round_trips bigint, errors bigint, seen array<string>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        used, trips, faults = self.counters.get() if self.counters.exists() else (0, 0, 0)
-        calls = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a turn's calls of one batch
-        out = []
-        for seq, query, kind, answered, trip, fault in zip(*(calls[c].tolist() for c in ("seq", "key", "kind", "answered", "trip", "fault")), strict=True):
-            again = self.seen.containsKey((query,))
+        used, trips, faults, before = self.turn.get() or (0, 0, 0, [])
+        seen, out, calls = set(before), [], []
+        for frame in rows:
+            calls += zip(*(frame[c].tolist() for c in ("seq", "key", "kind", "answered", "trip", "fault")), strict=True)
+        calls.sort(key=lambda x: x[0])  # a turn's calls of one batch
+        for seq, query, kind, answered, trip, fault in calls:
+            again = query in seen
             if used >= self.hard:
                 decision = "hard_cap"
             elif again:
@@ -145,11 +147,11 @@ class TurnQuota(StatefulProcessor):
                 decision = kind
             else:
                 decision = "round_cap" if trips >= self.rounds else "execute"
-            if not again:
-                self.seen.updateValue((query,), (seq,))
+            seen.add(query)
             out.append((seq, decision))
             used, trips, faults = used + answered, trips + trip, faults + fault
-        self.counters.update((used, trips, faults))
+        # beyond the hard cap no decision asks for what was seen
+        self.turn.update((used, trips, faults, [] if used >= self.hard else sorted(seen)))
         yield pd.DataFrame({"thread": key[0], "turn_no": key[1], "seq": [s for s, _ in out], "decision": [d for _, d in out]})
 
 
