@@ -30,7 +30,9 @@ def save_searchable(df: DataFrame, path: str, columns: list[str], order: list[st
     """Stores df in the order given, in files of at most so many rows, and the signatures of some text columns."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(f"{path}/rows")
     stored = df.sparkSession.read.parquet(f"{path}/rows").select(F.col("_metadata.file_name").alias("file"), *columns)
-    parts = [stored.select("file", F.lit(c).alias("column"), F.explode(bit_numbers(F.col(c))).alias("bit")) for c in columns]
+    # like values lie together, so a file has far fewer values than rows; each is taken apart once a file
+    values = [stored.select("file", F.lit(c).alias("column"), F.col(c).alias("value")).distinct() for c in columns]
+    parts = [v.select("file", "column", F.explode(bit_numbers(F.col("value"))).alias("bit")) for v in values]
     signed = reduce(DataFrame.unionByName, parts).groupBy("file", "column").agg(F.bitmap_construct_agg("bit").alias("bits"))
     signed.write.mode("overwrite").parquet(f"{path}/signatures")
 
