@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from unicodedata import normalize
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,10 +147,15 @@ def query_in_prose(text: Column) -> Column:
     return F.when(ok(fenced), fenced).when(ok(chunk), chunk).otherwise(F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def compatible(column: pd.Series) -> pd.Series:
-    """Texts in normal form KC, which Spark has no function for; null becomes empty."""
-    return column.fillna("").str.normalize("NFKC")
+#: Texts that are made Python texts at a time.
+AT_ONCE = 100
+
+
+@F.arrow_udf(T.StringType())
+def compatible(column: pa.Array) -> pa.Array:
+    """Texts in normal form KC, which Spark has no function for; null becomes empty. Few of a batch are Python texts at a time, the rest stays Arrow data."""
+    made = (pa.array([normalize("NFKC", t or "") for t in column.slice(at, AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(column), AT_ONCE))
+    return pa.concat_arrays([pa.array([], pa.string()), *made])
 
 
 def _stripped(c: Column) -> Column:
@@ -176,29 +183,28 @@ def repaired_json(s: str | None) -> str | None:
     """JSON text; with missing closing brackets and trailing commas mended; null if that is not enough."""
     if s is None:
         return None
-    for attempt in (s, _closed(s)):
+    for mend in (str, _closed):  # what is JSON is not mended
         try:
-            return json.dumps(json.loads(attempt), ensure_ascii=False)
+            return json.dumps(json.loads(mend(s)), ensure_ascii=False)
         except ValueError:
             continue
     return None
 
 
+#: Texts, the last one perhaps without its end, and brackets.
+_JSON_TEXT = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_JSON_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}\[\]]', re.DOTALL)
+
+
 def _closed(s: str) -> str:
-    open_, text, skip = [], False, False
-    for c in s:
-        if text:
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                text = False
-        elif c == '"':
-            text = True
+    open_, text = [], False
+    for token in _JSON_TOKENS.findall(s):
+        c = token[0]
+        if c == '"':  # only the last text can lack its end
+            text = not _JSON_TEXT.fullmatch(token)
         elif c in "{[":
             open_.append("}" if c == "{" else "]")
-        elif c in "}]" and open_:
+        elif open_:
             open_.pop()
     s = s + '"' * text
     s = re.sub(r",\s*$", "", s)
