@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -52,29 +55,54 @@ def column_number(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Cells of a workbook's first sheet as text, row by row."""
+def _elements(file, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag, one after the other; what was read is let go."""
+    above: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(file, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag == tag:
+            yield element
+            if above:
+                above[-1].clear()
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Cells of a workbook's first sheet as text, row by row; the sheet is never whole in memory, but for its packed bytes and shared texts."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(NS + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(NS + "si")]
+            with z.open("xl/sharedStrings.xml") as file:
+                shared = ["".join(t.text or "" for t in si.iter(NS + "t")) for si in _elements(file, NS + "si")]
         first = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-        rows = []
-        for row in ElementTree.fromstring(z.read(first)).iter(NS + "row"):
-            cells: dict[int, str | None] = {}
-            for k, c in enumerate(row.iter(NS + "c")):
-                kind, value = c.get("t"), c.find(NS + "v")
-                at = column_number(c.get("r") or "") if c.get("r") else k
-                if kind == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in c.iter(NS + "t"))
-                elif value is not None:
-                    cells[at] = shared[int(value.text)] if kind == "s" else value.text
-            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-        return rows
-
-
-def sheet_bytes(header: list[str], rows: list[list]) -> bytes:
+        with z.open(first) as file:
+            for row in _elements(file, NS + "row"):
+                yield _cells(row, shared)
+
+
+def _cells(row: ElementTree.Element, shared: list[str]) -> list[str | None]:
+    cells: dict[int, str | None] = {}
+    for k, c in enumerate(row.iter(NS + "c")):
+        kind, value = c.get("t"), c.find(NS + "v")
+        at = column_number(c.get("r") or "") if c.get("r") else k
+        if kind == "inlineStr":
+            cells[at] = "".join(t.text or "" for t in c.iter(NS + "t"))
+        elif value is not None:
+            cells[at] = shared[int(value.text)] if kind == "s" else value.text
+    return [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+def sheet_bytes(header: list[str], rows: Iterable[list]) -> bytes:
     """A workbook with one sheet of text cells."""
+    out = io.BytesIO()
+    write_sheet(out, header, rows)
+    return out.getvalue()
+
+
+def write_sheet(out, header: list[str], rows: Iterable[list]) -> None:
+    """Writes a workbook with one sheet of text cells to an open file, row by row."""
     from xml.sax.saxutils import escape
 
     line = lambda cells: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' if v is not None else "<c/>" for v in cells) + "</row>"
@@ -85,13 +113,16 @@ def sheet_bytes(header: list[str], rows: list[list]) -> bytes:
         "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{line(header)}{''.join(map(line, rows))}</sheetData></worksheet>",
     }
-    out = io.BytesIO()
+    start = '<?xml version="1.0" encoding="UTF-8"?>'
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in parts.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + body)
-    return out.getvalue()
+            z.writestr(name, start + body)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(f"{start}<worksheet {main}><sheetData>{line(header)}".encode())
+            for row in rows:
+                sheet.write(line(row).encode())
+            sheet.write(b"</sheetData></worksheet>")
 
 
 #: Rows that a sheet can hold below its header, by its format.
@@ -101,15 +132,31 @@ SHEET_ROWS = 1_048_575
 def write_xlsx(df: DataFrame, path: str, most: int = SHEET_ROWS) -> str:
     """One workbook at path; more rows than a sheet holds go to csv with a byte order mark instead. Returns the kind written.
 
-    The format is one file of at most ``most`` rows, so these pass through the driver; larger tables stay distributed.
+    The format is one file of at most ``most`` rows, which one task writes row by row; larger tables stay distributed.
     """
     spark = df.sparkSession
     if df.limit(most + 1).count() > most:
         marked = [F.col(f"`{c}`").alias(("\ufeff" if k == 0 else "") + c) for k, c in enumerate(df.columns)]
         df.select(*marked).write.mode("overwrite").option("header", True).option("escape", '"').csv(path + ".csv")
         return "csv"
-    rows = [[None if v is None else str(v) for v in r] for r in df.toLocalIterator()]
-    data = sheet_bytes(df.columns, rows)
+    columns = df.columns
+    said = lambda rows: ([None if v is None else str(v) for v in r] for r in rows)
+    if re.match(r"(?:file:)?/", path):
+        ship(spark)
+        local = re.sub(r"^file:/+", "/", path)
+
+        def write(rows):
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            part = f"{local}.{uuid.uuid4().hex}"  # a task that runs again does not write into the first one's file
+            with open(part, "wb") as out:
+                write_sheet(out, columns, said(rows))
+            os.replace(part, local)
+            return iter([1])
+
+        df.coalesce(1).rdd.mapPartitions(write).count()
+        return "xlsx"
+    # other file systems have no client in Python: the driver packs the rows as they come
+    data = sheet_bytes(columns, said(df.toLocalIterator()))
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
@@ -119,6 +166,14 @@ def write_xlsx(df: DataFrame, path: str, most: int = SHEET_ROWS) -> str:
     return "xlsx"
 
 
+#: Rows of a sheet that a reading task has in hand.
+ROWS_AT_ONCE = 2000
+
+
+def header_of(row: list[str | None]) -> list[str]:
+    return [h or f"c{i}" for i, h in enumerate(row)]
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """Rows of one or many sheets as text columns, with _file and _row; a sheet is one task's work."""
     ship(spark)
@@ -128,12 +183,21 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"], strict=True):
                 rows = sheet_rows(content)
-                header = [h or f"c{i}" for i, h in enumerate(rows[0])] if rows else []
-                data = [{h: r[i] for i, h in enumerate(header) if i < len(r) and r[i] is not None} for r in rows[1:]]
-                yield pd.DataFrame({"_file": name, "_row": range(len(data)), "cells": data, "header": [header] * len(data)})
+                header, done = header_of(next(rows, [])), 0
+                while part := list(islice(rows, ROWS_AT_ONCE)):
+                    data = [{h: r[i] for i, h in enumerate(header) if i < len(r) and r[i] is not None} for r in part]
+                    yield pd.DataFrame({"_file": name, "_row": range(done, done + len(data)), "cells": data})
+                    done += len(data)
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                first = list(islice(sheet_rows(content), 2))
+                if len(first) == 2:
+                    yield pd.DataFrame({"_file": [name], "header": [header_of(first[0])]})
 
-    rows = files.mapInPandas(cells, "_file string, _row long, cells map<string,string>, header array<string>")
-    headers = [r["header"] for r in rows.where("_row = 0").select("_file", "header").orderBy(F.lower("_file")).collect()]  # one row a file
+    rows = files.mapInPandas(cells, "_file string, _row long, cells map<string,string>")
+    headers = [r["header"] for r in files.mapInPandas(heads, "_file string, header array<string>").orderBy(F.lower("_file")).collect()]  # one row a file
     names = list(dict.fromkeys(h for header in headers for h in header))
     return rows.select("_file", "_row", *[F.col("cells")[n].alias(n) for n in names])
 
