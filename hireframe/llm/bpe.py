@@ -10,6 +10,9 @@ The vocabulary is one of ``tokenizers``' BPE files with word ends: its normalise
 its split and its byte alphabet are restated here; files of another kind are refused. Words that were
 seen before come from a table of bounded size.
 
+``LibraryBpe`` differs in one step, for operators that are about what comes after the ids: the library's own model
+merges a word that was not seen before.
+
 Defined results: a null text counts as empty and has no ids; texts and words of any length are encoded
 whole, in time linear in their length; ids of repeated rows are alike.
 """
@@ -65,6 +68,11 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+
+
 class WordBpe:
     """Encodes texts; made from the text of a vocabulary file."""
 
@@ -83,9 +91,16 @@ class WordBpe:
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.bytes = byte_characters()
         self.byte_table = dict(enumerate(self.bytes))
+        self._take(source, vocab, model["merges"])
+        # a chunk that is one normalised word and that word are one entry
+        self.ids_of = _Table(CACHE_IDS, self._chunk_ids)
+        self.both_of = _Table(CACHE_BOTH, lambda chunk: self._with_names(self._chunk_ids(chunk)))
+
+    def _take(self, source: str, vocab: dict[str, int], merges: list) -> None:
+        """Makes what encode_word needs."""
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for rank, (left, right) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
+        for rank, (left, right) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges):
             a, b, made = vocab[left], vocab[right], vocab[left + right]
             self.pair_rank[a, b] = rank
             self.parts.setdefault(made, (a, b, rank))
@@ -101,9 +116,6 @@ class WordBpe:
         self.right_edge = lru_cache(100_000)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(100_000)(lambda t: self._edge(t, 0))
         self.fits = _Table(500_000, lambda pair: self._fits(*divmod(pair, PAIR)))
-        # a chunk that is one normalised word and that word are one entry
-        self.ids_of = _Table(CACHE_IDS, self._chunk_ids)
-        self.both_of = _Table(CACHE_BOTH, lambda chunk: self._with_names(self._chunk_ids(chunk)))
 
     @staticmethod
     def _units(name: str) -> str:
@@ -131,10 +143,13 @@ class WordBpe:
                     return False
         return True
 
+    def _byte_units(self, word: str) -> str:
+        # the printable ASCII characters stand for themselves
+        return word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_table)
+
     def encode_word(self, word: str) -> bytes:
         """Ids of one split part, already normalised, as little-endian unsigned 32-bit integers."""
-        # the printable ASCII characters stand for themselves
-        units = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_table)
+        units = self._byte_units(word)
         units = units[:-1] + chr(ord(units[-1]) + END_SHIFT)
         last = [0] * len(units)  # 0 is no match: its length would be 0
         fits = self.fits
@@ -149,7 +164,7 @@ class WordBpe:
             ids.append(match >> LENGTH_BITS)
             at -= match & LENGTH
         ids.reverse()
-        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+        return packed(ids)
 
     def normalise(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -211,6 +226,19 @@ class WordBpe:
         return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
 
+class LibraryBpe(WordBpe):
+    """The same ids; words that are not in the table go through the merges of the ``tokenizers`` library."""
+
+    def _take(self, source: str, vocab: dict[str, int], merges: list) -> None:
+        from tokenizers import Tokenizer
+
+        self.fits = _Table(0, None)
+        self.merge = Tokenizer.from_str(source).model.tokenize
+
+    def encode_word(self, word: str) -> bytes:
+        return packed([t.id for t in self.merge(self._byte_units(word))])
+
+
 class _Table(dict):
     """Values made on demand and kept for short keys; emptied before a text or word that finds it full."""
 
@@ -232,12 +260,12 @@ class _Table(dict):
 _MADE: dict[str, WordBpe] = {}
 
 
-def loaded(source: str, most: int = CACHE_IDS) -> WordBpe:
+def loaded(source: str, most: int = CACHE_IDS, kind: type[WordBpe] = WordBpe) -> WordBpe:
     """The encoder of a vocabulary file's text, with at most so many words kept; one in each Python process."""
-    key = hashlib.md5(source.encode()).hexdigest()
+    key = kind.__name__ + hashlib.md5(source.encode()).hexdigest()
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = WordBpe(source)
+        _MADE[key] = kind(source)
         hold("bpe", _MADE.clear)
     _MADE[key].ids_of.most = most
     return _MADE[key]

@@ -1,6 +1,6 @@
 """Packing of documents into windows of a fixed number of tokens by the sum-of-squares rule.
 
-A document is its BPE ids and an end id. Whole windows are cut off its front; the rest is placed online:
+A document is its BPE ids, as the tokenizers library makes them, and an end id. Whole windows are cut off its front; the rest is placed online:
 of all fill levels with an open window (and a fresh window), it goes to the one that leaves the smallest
 sum of squared counts of windows by fill level, as kept in an array of level counts. Each partition packs
 for itself, with no shuffle. Windows stay open until they are full or the partition ends; the rule keeps
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import CACHE_IDS, loaded, vocabulary
+from .bpe import CACHE_IDS, LibraryBpe, loaded, vocabulary
 from .shared import BLOCK_CHARS, drop_held, release, ship, table
 
 WINDOW, END_ID = 4096, 2
@@ -122,7 +122,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_held("bpe")
-        bpe = loaded(source.value, cache_words)
+        bpe = loaded(source.value, cache_words, LibraryBpe)
         sequence = TaskContext.get().partitionId() << PARTITION_BITS
         rows: list[tuple] = []
 
