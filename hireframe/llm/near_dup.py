@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_held, hot_keys, release, ship, slices, spread_join, table, written
+from .shared import drop_held, hot_keys, release, ship, slices, small_batches, spread_join, table, written
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 24, 4
@@ -251,6 +251,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id (long), n_shingles, component_id and kept."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     signed = written(signed_documents(docs, key, text, width), "dup-signed")
     names = ["n", "set_a", "set_b"]
     sketch = [f"s{k}" for k in range(N_WORDS)]

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import CACHE_IDS, LibraryBpe, loaded, vocabulary
-from .shared import BLOCK_CHARS, drop_held, release, ship, table
+from .shared import BLOCK_CHARS, drop_held, release, ship, small_batches, table
 
 WINDOW, END_ID = 4096, 2
 PARTITION_BITS = 40
@@ -113,6 +113,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     cache_words: words whose ids a Python worker keeps, some 200 bytes each.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     source = vocabulary(docs.sparkSession, path)
     taken = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text"))
     key_type = taken.schema[key].dataType

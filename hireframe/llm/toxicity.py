@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import add_by_block, table
+from .shared import add_by_block, small_batches, table
 
 SAMPLE = 6000
 #: Lengths of word beginnings; least documents with label 1; least log ratio of an entry, and below which an extension is an exception.
@@ -169,6 +169,7 @@ def choose_entries(counts: pd.DataFrame, n_toxic: int, n_clean: int) -> dict[str
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Fits lexicon and curve on the ``sample`` rows of labelled (key, text, label) whose keys hash lowest."""
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("_at"))
     rows = rows.orderBy("_at").limit(sample).select("text", "label").repartition(max(1, spark.sparkContext.defaultParallelism)).cache()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
